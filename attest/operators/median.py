@@ -1,4 +1,4 @@
-"""Exact median of groups of any size."""
+"""Exact quantiles of groups of any size."""
 
 from __future__ import annotations
 
@@ -13,13 +13,14 @@ ACCURACY = 20_000
 MARGIN = 5.0 / ACCURACY
 
 
-def median_by(df: DataFrame, keys: list[str], value: str, name: str = "median_value") -> DataFrame:
-    """Exact median per key (the mean of the middle two), missing values skipped.
+def quantile_by(df: DataFrame, keys: list[str], value: str, probability: float,
+                name: str = "quantile_value") -> DataFrame:
+    """Exact interpolated quantile per key, missing values skipped.
 
-    `median` keeps every distinct value of a group in one task. Here an approximate bracket around
-    the middle comes first; rows below it are only counted, and just the distinct values inside it,
-    about 1 in 2,000 of a group, are ordered. The result is exact: a rank outside the bracket,
-    which the stated error rules out, is an error and never a guess.
+    `percentile` keeps every distinct value of a group in one task. Here an approximate bracket
+    around the rank comes first; rows below it are only counted, and just the distinct values
+    inside it, about 1 in 2,000 of a group, are ordered. The result is exact: a rank outside the
+    bracket, which the stated error rules out, is an error and never a guess.
     """
     rows = df.select(*keys, present(df, value).alias("_v"))
     for key in keys:
@@ -27,10 +28,9 @@ def median_by(df: DataFrame, keys: list[str], value: str, name: str = "median_va
     keyed = keys or ["_all"]
     if not keys:
         rows = rows.withColumn("_all", F.lit(0))
+    edges = [max(probability - MARGIN, 0.0), min(probability + MARGIN, 1.0)]
     bracket = rows.groupBy(*keyed).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY).alias("_b"),
-    )
+        F.count("_v").alias("_n"), F.percentile_approx("_v", edges, ACCURACY).alias("_b"))
     bracket = broadcast_if_small(bracket.select(
         *keyed, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")))
     inside = (
@@ -46,16 +46,22 @@ def median_by(df: DataFrame, keys: list[str], value: str, name: str = "median_va
 
     def at(rank):
         hit = F.col("_v").isNotNull() & (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)
-        return F.max(F.when(hit, F.col("_v")))
+        return F.max(F.when(hit, F.col("_v"))).cast("double")
 
-    low = at(F.floor((F.col("_n") + 1) / 2))
-    high = at(F.floor((F.col("_n") + 2) / 2))
-    picked = ranked.groupBy(*keyed, "_n").agg(low.alias("_low"), high.alias("_high"))
+    place = (F.col("_n") - 1) * F.lit(probability)
+    picked = ranked.groupBy(*keyed, "_n").agg(
+        at(F.floor(place) + 1).alias("_low"), at(F.ceil(place) + 1).alias("_high"))
     missed = F.col("_low").isNull() | F.col("_high").isNull()
+    share = place - F.floor(place)
     result = picked.select(*keyed, F.when(
-        missed, F.raise_error(F.lit("median rank outside its bracket")).cast("double"),
-    ).otherwise((F.col("_low").cast("double") + F.col("_high").cast("double")) / 2).alias(name))
-    # groups without any value have no bracket row left
+        missed, F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"),
+    ).otherwise(F.col("_low") * (1 - share) + F.col("_high") * share).alias(name))
+    # groups without any value have no row left inside the bracket
     empty = bracket.filter(F.col("_n") == 0).select(*keyed, F.lit(None).cast("double").alias(name))
     result = result.unionByName(empty)
     return result if keys else result.drop("_all")
+
+
+def median_by(df: DataFrame, keys: list[str], value: str, name: str = "median_value") -> DataFrame:
+    """Exact median per key: the mean of the middle two."""
+    return quantile_by(df, keys, value, 0.5, name)
