@@ -267,6 +267,39 @@ def _ungrouped(query: MetricQuery, source: DataFrame, owners: list[DataFrame]) -
     return result
 
 
+def summarize(df: DataFrame, metric: str, keys: list[str] | None = None, scale: int | None = None) -> DataFrame:
+    """All seven aggregates of a metric in one scan, and one more for the exact median.
+
+    Columns: value_sum, value_mean, value_median, value_min, value_max, value_count,
+    value_distinct, row_count. Rows with a missing key are left out; an empty table gives zeros.
+    """
+    keys = keys or []
+    for key in keys:
+        df = df.filter(F.col(key).isNotNull())
+    value = present(df, metric)
+    number = value.cast(f"decimal(18,{scale})") if scale is not None else value
+    folded = df.groupBy(*keys).agg(
+        F.sum(number).alias("s"), F.count(value).alias("value_count"), F.count(F.lit(1)).alias("row_count"),
+        F.min(value).alias("lo"), F.max(value).alias("hi"), F.count_distinct(value).alias("value_distinct"))
+    middle = median_by(df, keys, metric, "value_median")
+    if keys:
+        folded = folded.join(middle, keys)
+    else:
+        folded = folded.withColumn("value_median", middle.scalar())
+
+    def filled(column: Column) -> Column:
+        return F.when(F.col("row_count") == 0, F.lit(0.0)).otherwise(column.cast("double"))
+
+    return folded.select(
+        *keys,
+        F.coalesce(F.col("s").cast("double"), F.lit(0.0)).alias("value_sum"),
+        filled(F.try_divide(F.col("s").cast("double"), F.col("value_count").cast("double"))).alias("value_mean"),
+        filled(F.col("value_median")).alias("value_median"),
+        filled(F.col("lo")).alias("value_min"), filled(F.col("hi")).alias("value_max"),
+        "value_count", "value_distinct", "row_count",
+    )
+
+
 def top_per(df: DataFrame, outer: list[str], key: str, value: str) -> DataFrame:
     """The first key by value within each outer group; equal values give the smaller key."""
     best = F.min_by(F.struct(key, value), F.struct(-F.col(value), F.col(key)))
