@@ -23,7 +23,7 @@ DATE_SHAPES = [
     (r"^(1[3-9]|2\d|3[01]|0?[1-9]|1[0-2])-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
 ]
-AMBIGUOUS = r"^(\d+)/(\d+)(/.*)?$"
+AMBIGUOUS = r"^(0*(?:[1-9]|1[0-2]))/(0*(?:[1-9]|1[0-2]))(?:/|$)"
 
 
 def parse_date(col: Column) -> Column:
@@ -32,7 +32,8 @@ def parse_date(col: Column) -> Column:
     parsed = F.lit(None).cast("timestamp")
     for shape, pattern in reversed(DATE_SHAPES):
         parsed = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern))).otherwise(parsed)
-    return parsed
+    # most texts are too long, or hold no digit, and are left after this test
+    return F.when(text.rlike(r"^[\w :,/-]{6,20}$") & text.rlike(r"\d"), parsed)
 
 
 def as_date_value(df: DataFrame, name: str) -> Column:
@@ -42,9 +43,9 @@ def as_date_value(df: DataFrame, name: str) -> Column:
 
 def is_ambiguous(col: Column) -> Column:
     """a/b/... where both could be a month and they differ."""
-    a = F.regexp_extract(col, AMBIGUOUS, 1).try_cast("int")
-    b = F.regexp_extract(col, AMBIGUOUS, 2).try_cast("int")
-    return F.coalesce(a.between(1, 12) & b.between(1, 12) & (a != b), F.lit(False))
+    parts = [F.regexp_extract(col, AMBIGUOUS, i).cast("int") for i in (1, 2)]
+    # the shape is tested first, so the casts see digits only
+    return F.when(col.rlike(AMBIGUOUS), parts[0] != parts[1]).otherwise(F.lit(False))
 
 
 def month_start(col: Column) -> Column:

@@ -18,7 +18,8 @@ from attest.functions.vocab import (
     TOKEN_PATTERN,
 )
 
-YEAR = r"\b(19|20)\d\d\b"
+# (?U): letters of any script are part of a word
+YEAR = r"(?U)\b(19|20)[0-9][0-9]\b"
 
 
 def any_of(words: list[str]) -> str:
@@ -34,7 +35,7 @@ def first_label(text: Column, patterns: dict[str, str], default: str | None) ->
 
 
 def intent_label(text: Column) -> Column:
-    patterns = {name: "|".join(parts) for name, parts in INTENT_PATTERNS.items()}
+    patterns = {name: "(?U)" + "|".join(parts) for name, parts in INTENT_PATTERNS.items()}
     return F.when(text.isNotNull(), first_label(F.lower(text), patterns, DEFAULT_INTENT))
 
 
@@ -43,14 +44,14 @@ def month_mention(text: Column) -> Column:
     lowered = F.lower(text)
     found = F.lit(None).cast("int")
     for name, number in reversed(list(MONTH_NUMBERS.items())):
-        found = F.when(lowered.rlike(rf"\b{name}\b"), F.lit(number)).otherwise(found)
+        found = F.when(lowered.rlike(rf"(?U)\b{name}\b"), F.lit(number)).otherwise(found)
     # One alternation first, so texts that name no month cost one match instead of 23.
-    return F.when(lowered.rlike(rf"\b{any_of(list(MONTH_NUMBERS))}\b"), found)
+    return F.when(lowered.rlike(rf"(?U)\b{any_of(list(MONTH_NUMBERS))}\b"), found)
 
 
 def months_mentioned(text: Column) -> Column:
     """All month numbers a text names, sorted."""
-    hits = F.regexp_extract_all(F.lower(text), F.lit(rf"\b{any_of(list(MONTH_NUMBERS))}\b"), F.lit(1))
+    hits = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)\b{any_of(list(MONTH_NUMBERS))}\b"), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(hits, month_number)))
 
 
@@ -66,7 +67,7 @@ def mentions_year(text: Column) -> Column:
 
 
 def year_mention(text: Column) -> Column:
-    return F.regexp_extract(text, YEAR, 0).try_cast("int")
+    return F.when(text.rlike(YEAR), F.regexp_extract(text, YEAR, 0).cast("int"))
 
 
 def operation_word(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from attest.functions.vocab import ABS_TOL, REL_TOL
 
 BLANK = r"(?U)^\s*$"
+NUMBER = r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
 
 
 def is_float(dtype: T.DataType) -> bool:
@@ -107,6 +108,6 @@ def same_value(a: Column, b: Column, dtype: T.DataType) -> Column:
     if is_numeric(dtype):
         return close_to(a, b)
     text_a, text_b = F.trim(a.cast("string")), F.trim(b.cast("string"))
-    number_a, number_b = text_a.try_cast("double"), text_b.try_cast("double")
-    numeric = number_a.isNotNull() & number_b.isNotNull() & close_to(number_a, number_b)
-    return text_a.eqNullSafe(text_b) | numeric
+    numeric = F.when(text_a.rlike(NUMBER) & text_b.rlike(NUMBER),
+                     close_to(text_a.cast("double"), text_b.cast("double")))
+    return text_a.eqNullSafe(text_b) | F.coalesce(numeric, F.lit(False))

@@ -22,21 +22,27 @@ def date_profile(df: DataFrame, table: str) -> DataFrame:
     One aggregate over one scan of those columns. The set of months is bounded by the calendar.
     """
     fields = [f for f in df.schema.fields if is_temporal(f.dataType) or isinstance(f.dataType, T.StringType)]
+    # each text is parsed once, in a projection below the aggregate
+    parsed = df.select(
+        *[F.col(f.name).alias(f"value{i}") for i, f in enumerate(fields)],
+        *[as_date_value(df, f.name).alias(f"date{i}") for i, f in enumerate(fields)],
+        *[is_ambiguous(F.col(f.name)).alias(f"maybe{i}") for i, f in enumerate(fields)
+          if isinstance(f.dataType, T.StringType)])
     aggregates = []
     for i, field in enumerate(fields):
-        date = as_date_value(df, field.name)
+        value, date = F.col(f"value{i}"), F.col(f"date{i}")
         aggregates += [
-            F.count(field.name).alias(f"filled{i}"),
+            F.count(value).alias(f"filled{i}"),
             F.count(date).alias(f"parsed{i}"),
-            F.min(F.to_date(date)).alias(f"min{i}"),
-            F.max(F.to_date(date)).alias(f"max{i}"),
+            F.to_date(F.min(date)).alias(f"min{i}"),
+            F.to_date(F.max(date)).alias(f"max{i}"),
             F.collect_set(F.trunc(date, "MM")).alias(f"months{i}"),
         ]
         if isinstance(field.dataType, T.StringType):
-            unsure = is_ambiguous(F.col(field.name))
+            unsure = F.col(f"maybe{i}")
             aggregates += [F.count_if(unsure).alias(f"unsure{i}"),
-                           F.min(F.when(unsure, F.col(field.name))).alias(f"example{i}")]
-    folded = df.agg(*aggregates)
+                           F.min(F.when(unsure, value)).alias(f"example{i}")]
+    folded = parsed.agg(*aggregates)
     structs = []
     for i, field in enumerate(fields):
         text = isinstance(field.dataType, T.StringType)

@@ -159,7 +159,8 @@ def _prefixes(entries: str, start: Column) -> Column:
 
 def verify_chain(stored: DataFrame, chain_id: str, columns: list[str],
                  segment_size: int = SEGMENT) -> DataFrame:
-    """Problems per record: broken_hash, broken_link, missing_record. No rows: the ledger is whole.
+    """Problems per record: broken_hash, broken_link, repeated_record, missing_record (and
+    missing_segment). No rows: the ledger is whole.
 
     Hashes are recomputed row by row. Links are checked by sending each record's hash to the next
     position and folding there. Anchors of later segments are recomputed from the payloads.
@@ -183,16 +184,30 @@ def verify_chain(stored: DataFrame, chain_id: str, columns: list[str],
     met = own.unionByName(sent.filter(~F.col("opens"))).unionByName(anchors).groupBy(chain_id, "position").agg(
         F.count("good").alias("records"), F.bool_and("good").alias("good"),
         F.max("link").alias("link"), F.max("sent").alias("sent"))
-    lengths = stored.groupBy(chain_id).agg(F.max("position").alias("length"))
-    # the hash sent past the last record has no receiver
-    ends = met.join(lengths, chain_id).filter(F.col("position") <= F.col("length"))
     problem = (
-        F.when(F.col("records") == 0, "missing_record")
-        .when(F.col("records") > 1, "repeated_record")
+        F.when(F.col("records") > 1, "repeated_record")
         .when(~F.coalesce(F.col("good"), F.lit(False)), "broken_hash")
         .when(~F.col("link").eqNullSafe(F.col("sent")), "broken_link")
     )
-    return ends.select(chain_id, "position", problem.alias("problem")).filter("problem is not null")
+    found = met.filter("records > 0").select(chain_id, "position", problem.alias("problem")).filter(
+        "problem is not null")
+    return found.unionByName(_missing(held, chain_id, segment_size))
+
+
+def _missing(held: DataFrame, chain_id: str, size: int) -> DataFrame:
+    """Positions without a record before the last one; a segment without any is one row."""
+    lists = held.select(chain_id, "segment", F.transform("_rows", lambda r: r["position"]).alias("_held"))
+    ends = lists.groupBy(chain_id).agg(
+        F.max(F.array_max("_held")).alias("_end"), F.collect_list("segment").alias("_segments"))
+    start = F.col("segment") * size + 1
+    expected = F.sequence(start, F.least(start + size - 1, F.col("_end")))
+    records = lists.join(ends.select(chain_id, "_end"), chain_id).select(
+        chain_id, F.explode(F.array_except(expected, F.col("_held"))).alias("position"),
+        F.lit("missing_record").alias("problem"))
+    segments = ends.select(chain_id, F.explode(F.array_except(
+        F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_end") - 1) / size)), F.col("_segments"))).alias("_s"))
+    return records.unionByName(segments.select(
+        chain_id, (F.col("_s") * size + 1).alias("position"), F.lit("missing_segment").alias("problem")))
 
 
 def fingerprint(df: DataFrame, table: str, columns: list[str] | None = None) -> DataFrame:

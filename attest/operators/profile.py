@@ -22,9 +22,9 @@ from attest.functions.values import (
 from attest.functions.vocab import ID_WORDS_NUMERIC, ID_WORDS_TEXT, NOT_ID_WORDS
 from attest.operators.median import quantile_by
 
-# Relative error of the approximate distinct count, and how far below the row count a column
-# may lie to be counted exactly: ten standard errors.
-SCREEN_ERROR = 0.02
+# Relative error of the approximate distinct count, and the share of distinct values from which a
+# column is counted exactly: ten standard errors below unique.
+SCREEN_ERROR = 0.05
 SCREEN_SHARE = 1 - 10 * SCREEN_ERROR
 
 

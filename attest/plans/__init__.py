@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("aggregates", "filters")
+TOPICS = ("aggregates", "filters", "profiling", "cross_table", "verification", "audit", "texts")
 
 
 def all_queries():
