@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-TOPICS = ("aggregates", "filters", "profiling", "cross_table", "verification", "audit", "texts")
+TOPICS = ("aggregates", "filters", "profiling", "cross_table", "verification", "audit", "texts",
+          "gating")
 
 
 def all_queries():

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from attest.operators import ledger
 from attest.plans.registry import query
+from attest.session import checkpointed
 
 # Every event is an analysis of the question of its user; part of them were verified.
 KINDS = "CASE event_type WHEN 'error' THEN 'REFUSED' WHEN 'view' THEN 'ANSWERED_WITH_ASSUMPTIONS' ELSE 'ANSWERED' END"
@@ -107,7 +108,7 @@ def ledger_verify(t):
     stored = ledger.chain(t.events, "user_id", ORDER, FIELDS)
     spoiled = stored.withColumn("event_type", F.when(F.col("event_id") % 89 == 0, F.lit("edited")).otherwise(
         F.col("event_type"))).filter("event_id % 97 <> 0")
-    return ledger.verify_chain(spoiled, "user_id", FIELDS)
+    return ledger.verify_chain(checkpointed(spoiled), "user_id", FIELDS)
 
 
 @query("""
