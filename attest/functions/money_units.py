@@ -23,14 +23,13 @@ def _longest_first(words) -> str:
 SYMBOL = f"({_longest_first(CURRENCY_SYMBOLS)})"
 CURRENCY_NAME = rf"(?<![a-z])({_longest_first(CURRENCY_KEYWORDS)})s?(?![a-z])"
 UNIT_NAME = rf"[_(\[]({_longest_first(UNITS)})(?![a-z0-9])"
-UNIT_VALUE = rf"^\s*[-+]?\d+(?:\.\d+)?\s*({_longest_first(UNITS)})\s*$"
+UNIT_VALUE = rf"(?i)^\s*[-+]?\d+(?:\.\d+)?\s*({_longest_first(UNITS)})\s*$"
 
 
-def lookup(key: Column, table: dict[str, str], default: str | None = None) -> Column:
-    value = F.lit(default)
-    for name, result in table.items():
-        value = F.when(key == name, F.lit(result)).otherwise(value)
-    return value
+def lookup(key: Column, table: dict[str, str]) -> Column:
+    """Value of a small fixed table, NULL for other keys. The key is evaluated once."""
+    entries = [F.lit(part) for pair in table.items() for part in pair]
+    return F.try_element_at(F.create_map(*entries), key)
 
 
 def name_currency(name: str) -> str | None:
@@ -49,9 +48,10 @@ def symbol_currency(text: Column) -> Column:
 
 
 def symbol_currencies(text: Column) -> Column:
-    """All currencies whose symbols the text holds."""
+    """All currencies whose symbols the text holds; NULL for none."""
     hits = F.regexp_extract_all(text, F.lit(SYMBOL), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(hits, lambda s: lookup(s, CURRENCY_SYMBOLS))))
+    found = F.transform(F.array_distinct(hits), lambda s: lookup(s, CURRENCY_SYMBOLS))
+    return F.when(text.rlike(SYMBOL), F.array_sort(found))
 
 
 def code_currency(text: Column) -> Column:
@@ -68,7 +68,7 @@ def name_unit(name: str) -> str | None:
 
 def value_unit(text: Column) -> Column:
     """Unit of a text that is one number followed by a unit."""
-    return lookup(F.regexp_extract(F.lower(text), UNIT_VALUE, 1), UNITS)
+    return F.when(text.rlike(UNIT_VALUE), lookup(F.lower(F.regexp_extract(text, UNIT_VALUE, 1)), UNITS))
 
 
 def unit_dimension(unit: Column) -> Column:

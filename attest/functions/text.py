@@ -56,10 +56,8 @@ def months_mentioned(text: Column) -> Column:
 
 
 def month_number(name: Column) -> Column:
-    number = F.lit(None).cast("int")
-    for word, value in MONTH_NUMBERS.items():
-        number = F.when(name == word, F.lit(value)).otherwise(number)
-    return number
+    entries = [F.lit(part) for pair in MONTH_NUMBERS.items() for part in pair]
+    return F.try_element_at(F.create_map(*entries), name)
 
 
 def mentions_year(text: Column) -> Column:

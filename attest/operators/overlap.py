@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from attest.functions.vocab import OVERLAP_KEEP, OVERLAP_RECOMMEND
 
+# Tables per bit mask.
+MASK_BITS = 60
 PAIR = ("table_a string, table_b string, join_key string")
 
 
@@ -33,32 +35,57 @@ def shared_columns(tables: dict[str, DataFrame]) -> dict[tuple[str, str], list[s
 
 
 def _cells(tables: dict[str, DataFrame]) -> DataFrame:
-    """(column, value, table) for every shared column; NULL values never join and are dropped."""
+    """(column, value, table) for every shared column; NULL values never join and are dropped.
+
+    The table is a bit in one of the masks, so a set of tables is folded by OR.
+    """
     shared = shared_columns(tables)
+    names = sorted(tables)
     parts = []
-    for name, df in tables.items():
+    for i, name in enumerate(names):
         cells = [
             F.struct(F.lit(f"{column}:{kind}").alias("join_key"),
-                     F.col(column).cast("string").alias("value"))
-            for (column, kind), names in sorted(shared.items()) if name in names
+                     (F.col(column) if kind == "integer" else F.lit(None)).cast("bigint").alias("number"),
+                     (F.col(column) if kind == "text" else F.lit(None)).cast("string").alias("text"))
+            for (column, kind), holders in sorted(shared.items()) if name in holders
         ]
+        bits = {_mask(j): F.lit(1 << (i % MASK_BITS) if _mask(j) == _mask(i) else 0).cast("bigint")
+                for j in range(len(names))}
         if cells:
-            parts.append(df.select(F.inline(F.array(*cells))).filter("value is not null")
-                         .withColumn("table_name", F.lit(name)))
+            parts.append(tables[name].select(F.inline(F.array(*cells)))
+                         .filter("number is not null or text is not null")
+                         .select("*", F.lit(name).alias("table_name"), *[b.alias(m) for m, b in bits.items()]))
     if not parts:
         raise ValueError("no two tables share a column that could be a key")
     return reduce(DataFrame.unionByName, parts)
 
 
+def _mask(table_index: int) -> str:
+    return f"mask{table_index // MASK_BITS}"
+
+
+def _value_sets(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per column and set of tables: how many distinct values exactly those tables hold.
+
+    A hot value is one row per task before the shuffle. The result has one row per set that occurs.
+    """
+    names = sorted(tables)
+    masks = list(dict.fromkeys(_mask(i) for i in range(len(names))))
+    held = _cells(tables).groupBy("join_key", "number", "text").agg(*[F.bit_or(m).alias(m) for m in masks])
+    counted = held.groupBy("join_key", *masks).agg(F.count("*").alias("n"))
+    holders = F.array_compact(F.array(*[
+        F.when(F.col(_mask(i)).bitwiseAND(F.lit(1 << (i % MASK_BITS))) != 0, F.lit(name))
+        for i, name in enumerate(names)]))
+    return counted.select("join_key", holders.alias("held_by"), "n")
+
+
 def key_overlap(tables: dict[str, DataFrame]) -> DataFrame:
     """Distinct shared values and containment ratios of all table pairs, in one shuffle of values.
 
-    Each value is folded to the set of tables that hold it, and equal sets are counted; pairs are
-    formed only from those few counts. Pairs are kept when a ratio exceeds 0.1.
+    Pairs are formed only from the counted sets of tables, never from values. Pairs are kept when a
+    ratio exceeds 0.1.
     """
-    held = _cells(tables).groupBy("join_key", "value").agg(
-        F.array_sort(F.collect_set("table_name")).alias("held_by"))
-    counted = held.groupBy("join_key", "held_by").agg(F.count("*").alias("n"))
+    counted = _value_sets(tables)
     sizes = counted.select("join_key", F.explode("held_by").alias("table_name"), "n") \
         .groupBy("join_key", "table_name").agg(F.sum("n").alias("size"))
     pairs = (
@@ -98,7 +125,7 @@ def recommended_joins(relationships: DataFrame) -> DataFrame:
 def key_overlap_sketch(tables: dict[str, DataFrame], log_size: int = 14) -> DataFrame:
     """`key_overlap` by theta sketches: one row per (column, table) is shuffled, not the values."""
     sketches = _cells(tables).groupBy("join_key", "table_name").agg(
-        F.theta_sketch_agg("value", log_size).alias("sketch"))
+        F.theta_sketch_agg(F.coalesce("text", F.col("number").cast("string")), log_size).alias("sketch"))
     spark = next(iter(tables.values())).sparkSession
     pairs = spark.createDataFrame(
         [(a, b, f"{column}:{kind}") for (column, kind), names in shared_columns(tables).items()
