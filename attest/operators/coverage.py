@@ -11,6 +11,10 @@ from attest.functions.values import is_temporal
 from attest.functions.vocab import DATE_PARSE_THRESHOLD
 
 
+DATE_PROFILE = ("table_name string, column_name string, parse_ratio double, is_date boolean, min_date date, "
+                "max_date date, months array<date>, ambiguous_count bigint, ambiguous_example string")
+
+
 def month_span(first: Column, last: Column) -> Column:
     """All month starts from first to last."""
     return F.sequence(first, last, F.expr("interval 1 month"))
@@ -22,6 +26,8 @@ def date_profile(df: DataFrame, table: str) -> DataFrame:
     One aggregate over one scan of those columns. The set of months is bounded by the calendar.
     """
     fields = [f for f in df.schema.fields if is_temporal(f.dataType) or isinstance(f.dataType, T.StringType)]
+    if not fields:
+        return df.sparkSession.createDataFrame([], DATE_PROFILE)
     # each text is parsed once, in a projection below the aggregate
     parsed = df.select(
         *[F.col(f.name).alias(f"value{i}") for i, f in enumerate(fields)],

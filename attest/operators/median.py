@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attest.functions.values import present
 from attest.session import broadcast_if_small
 
-ACCURACY = 20_000
+ACCURACY = 100_000
 # The bracket is five times as wide as the stated rank error of percentile_approx.
 MARGIN = 5.0 / ACCURACY
 
@@ -19,28 +19,28 @@ def quantile_by(df: DataFrame, keys: list[str], value: str, probability: float,
 
     `percentile` keeps every distinct value of a group in one task. Here an approximate bracket
     around the rank comes first; rows below it are only counted, and just the distinct values
-    inside it, about 1 in 2,000 of a group, are ordered. The result is exact: a rank outside the
+    inside it, about 1 in 10,000 of a group, are ordered. The result is exact: a rank outside the
     bracket, which the stated error rules out, is an error and never a guess.
     """
     rows = df.select(*keys, present(df, value).alias("_v"))
     for key in keys:
         rows = rows.filter(F.col(key).isNotNull())
-    keyed = keys or ["_all"]
-    if not keys:
-        rows = rows.withColumn("_all", F.lit(0))
     edges = [max(probability - MARGIN, 0.0), min(probability + MARGIN, 1.0)]
-    bracket = rows.groupBy(*keyed).agg(
+    bracket = rows.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.percentile_approx("_v", edges, ACCURACY).alias("_b"))
     bracket = broadcast_if_small(bracket.select(
-        *keyed, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")))
+        *keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")))
+    if keys:
+        placed = rows.join(bracket, keys)
+    else:
+        placed = rows.select("_v", *[bracket.select(c).scalar().alias(c) for c in ("_n", "_lo", "_hi")])
     inside = (
-        rows.join(bracket, keyed)
-        .filter(F.col("_v") <= F.col("_hi"))
+        placed.filter(F.col("_v") <= F.col("_hi"))
         # all rows below the bracket fall into one counted NULL value
-        .select(*keyed, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
-        .groupBy(*keyed, "_n", "_v").agg(F.count("*").alias("_c"))
+        .select(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
+        .groupBy(*keys, "_n", "_v").agg(F.count("*").alias("_c"))
     )
-    running = Window.partitionBy(*keyed).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
+    running = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     ranked = inside.withColumn("_upto", F.sum("_c").over(running))
 
@@ -49,17 +49,16 @@ def quantile_by(df: DataFrame, keys: list[str], value: str, probability: float,
         return F.max(F.when(hit, F.col("_v"))).cast("double")
 
     place = (F.col("_n") - 1) * F.lit(probability)
-    picked = ranked.groupBy(*keyed, "_n").agg(
+    picked = ranked.groupBy(*keys, "_n").agg(
         at(F.floor(place) + 1).alias("_low"), at(F.ceil(place) + 1).alias("_high"))
     missed = F.col("_low").isNull() | F.col("_high").isNull()
     share = place - F.floor(place)
-    result = picked.select(*keyed, F.when(
+    result = picked.select(*keys, F.when(
         missed, F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"),
     ).otherwise(F.col("_low") * (1 - share) + F.col("_high") * share).alias(name))
     # groups without any value have no row left inside the bracket
-    empty = bracket.filter(F.col("_n") == 0).select(*keyed, F.lit(None).cast("double").alias(name))
-    result = result.unionByName(empty)
-    return result if keys else result.drop("_all")
+    empty = bracket.filter(F.col("_n") == 0).select(*keys, F.lit(None).cast("double").alias(name))
+    return result.unionByName(empty)
 
 
 def median_by(df: DataFrame, keys: list[str], value: str, name: str = "median_value") -> DataFrame:
