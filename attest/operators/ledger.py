@@ -97,6 +97,25 @@ def chain(records: DataFrame, chain_id: str, order: list[str], columns: list[str
     return _linked(placed, chain_id, segment_size).drop("_payload")
 
 
+def extend(stored: DataFrame, records: DataFrame, chain_id: str, order: list[str], columns: list[str],
+           segment_size: int = SEGMENT) -> DataFrame:
+    """The rows to append when new records continue stored chains; equal to chaining all at once.
+
+    New records stand after the stored ones, in the given order. Only chains that receive records
+    are read.
+    """
+    placed = with_position(records.withColumn("_payload", payload(records, columns)), order, [chain_id])
+    ends = stored.groupBy(F.col(chain_id).alias("_c")).agg(F.max("position").alias("_end"))
+    fresh = placed.join(ends, F.col(chain_id).eqNullSafe(F.col("_c")), "left").select(
+        *records.columns, "_payload", (F.col("position") + F.coalesce("_end", F.lit(0))).alias("position"),
+        F.lit(True).alias("_new"))
+    touched = records.select(F.col(chain_id).alias("_c")).distinct()
+    old = stored.withColumn("_payload", payload(stored, columns)).join(
+        touched, F.col(chain_id).eqNullSafe(F.col("_c")), "left_semi")
+    old = old.select(*records.columns, "_payload", "position", F.lit(False).alias("_new"))
+    return _linked(old.unionByName(fresh), chain_id, segment_size).filter("_new").drop("_payload", "_new")
+
+
 def _linked(placed: DataFrame, chain_id: str, size: int) -> DataFrame:
     placed = placed.withColumn("segment", F.floor((F.col("position") - 1) / size).cast("bigint"))
     others = [c for c in placed.columns if c not in (chain_id, "position", "segment", "_payload")]

@@ -62,6 +62,16 @@ def test_chain_equals_the_loop(runs, size):
         assert [(r["previous_hash"], r["record_hash"]) for r in rows] == plain_chain(texts, size)
 
 
+@pytest.mark.parametrize("size", [4, 4096])
+def test_extending_equals_chaining_at_once(runs, size):
+    whole = ledger.chain(runs, "chain", ["at"], FIELDS, size)
+    stored = checkpointed(ledger.chain(runs.filter("at < 90"), "chain", ["at"], FIELDS, size))
+    more = ledger.extend(stored, runs.filter("at >= 90"), "chain", ["at"], FIELDS, size)
+    assert more.count() == 110
+    both = stored.select(*whole.columns).unionByName(more.select(*whole.columns))
+    assert sorted(map(str, both.collect())) == sorted(map(str, whole.collect()))
+
+
 @pytest.mark.parametrize("size", [5, 4096])
 def test_tampering_is_found(runs, size):
     stored = checkpointed(ledger.chain(runs, "chain", ["at"], FIELDS, size))
