@@ -78,6 +78,14 @@ def value_text(col: Column, dtype: T.DataType) -> Column:
     return col.cast("string")
 
 
+def key_text(col: Column) -> Column:
+    """The text itself if short, else its SHA-256: equal for equal texts, never long to shuffle.
+
+    Kept texts are shorter than a digest, so the two cannot be confused.
+    """
+    return F.when(F.length(col) < 64, col).otherwise(F.sha2(col, 256))
+
+
 def row_text(df: DataFrame, names: list[str] | None = None) -> Column:
     """Length-prefixed text of a row: no separator can be faked and NULL differs from ''."""
     parts = []

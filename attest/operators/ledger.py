@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from attest.functions.values import row_text, value_text
 from attest.functions.vocab import GENESIS, HISTORY_ROWS
 from attest.operators.position import with_position
+from attest.session import broadcast_if_small
 
 SEGMENT = 4096
 
@@ -69,13 +70,17 @@ def history(analyses: DataFrame, questions: DataFrame, verifications: DataFrame,
     asked = questions.select(F.col("id").alias("question_id"), "question", "dataset_id")
     checked = verifications.select(F.col("id").alias("_v"), "analysis_id", "execution_1",
                                    "execution_2", "match")
-    met = (
-        analyses.withColumnRenamed("id", "analysis_id").join(asked, "question_id")
-        .join(checked, "analysis_id", "left")
-        .select("analysis_id", "question", "dataset_id", "answer", "response_type", "confidence",
-                "verification_status", "created_at", "execution_1", "execution_2", "match")
-        .orderBy(F.desc("created_at"), "analysis_id")
-    )
+    newest_first = [F.desc("created_at"), F.asc("analysis_id")]
+    listed = analyses.withColumnRenamed("id", "analysis_id").join(asked, "question_id")
+    if rows:
+        # a left join drops no analysis, so the newest rows come from the newest analyses; these few
+        # are found first, and only their verifications are kept
+        found = broadcast_if_small(listed.orderBy(*newest_first).limit(rows))
+        checked = checked.join(found.select("analysis_id"), "analysis_id", "left_semi")
+        listed = found
+    met = listed.join(checked, "analysis_id", "left").select(
+        "analysis_id", "question", "dataset_id", "answer", "response_type", "confidence",
+        "verification_status", "created_at", "execution_1", "execution_2", "match").orderBy(*newest_first)
     return met.limit(rows) if rows else met
 
 

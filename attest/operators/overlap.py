@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attest.functions.values import key_text
 from attest.functions.vocab import OVERLAP_KEEP, OVERLAP_RECOMMEND
 
 # Tables per bit mask.
@@ -46,7 +47,7 @@ def _cells(tables: dict[str, DataFrame]) -> DataFrame:
         cells = [
             F.struct(F.lit(f"{column}:{kind}").alias("join_key"),
                      (F.col(column) if kind == "integer" else F.lit(None)).cast("bigint").alias("number"),
-                     (F.col(column) if kind == "text" else F.lit(None)).cast("string").alias("text"))
+                     (key_text(F.col(column)) if kind == "text" else F.lit(None).cast("string")).alias("text"))
             for (column, kind), holders in sorted(shared.items()) if name in holders
         ]
         bits = {_mask(j): F.lit(1 << (i % MASK_BITS) if _mask(j) == _mask(i) else 0).cast("bigint")

@@ -14,6 +14,7 @@ from attest.functions.values import (
     is_nested,
     is_numeric,
     is_temporal,
+    key_text,
     percent,
     present,
     value_text,
@@ -41,7 +42,7 @@ def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
     schema = {f.name: f.dataType for f in df.schema.fields}
     cells = [
         F.struct(F.lit(name).alias("column_name"),
-                 value_text(present(df, name), schema[name]).alias("value"))
+                 key_text(value_text(present(df, name), schema[name])).alias("value"))
         for name in names
     ]
     return (

@@ -116,8 +116,10 @@ def summary(compared: DataFrame) -> DataFrame:
 def compare_ordered(left: DataFrame, right: DataFrame, order_left: list[str], order_right: list[str],
                     values: list[str]) -> DataFrame:
     """Position-by-position comparison in a declared order; a longer side shows as only_left/right."""
-    a = with_position(left, order_left).select("position", *values)
-    b = with_position(right, order_right).select("position", *values)
+    def placed(df: DataFrame, order: list[str]) -> DataFrame:
+        return with_position(df.select(*dict.fromkeys(order + values)), order).select("position", *values)
+
+    a, b = placed(left, order_left), placed(right, order_right)
     return compare_results(a, b, ["position"], values)
 
 
