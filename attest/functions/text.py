@@ -11,8 +11,10 @@ from attest.functions.vocab import (
     DEFAULT_INTENT,
     GROUP_WORDS,
     INTENT_PATTERNS,
+    METRIC_LEADS,
     METRIC_WORDS,
     MONTH_NUMBERS,
+    NOT_METRICS,
     OPERATION_WORDS,
     SECRET_PATTERNS,
     TOKEN_PATTERN,
@@ -73,9 +75,16 @@ def operation_word(text: Column) -> Column:
     return F.when(text.isNotNull(), first_label(F.lower(text), patterns, "sum"))
 
 
+NAMED_METRIC = any_of(METRIC_LEADS) + r"\s+([a-zA-Z0-9_\-]+)"
+
+
 def metric_word(text: Column, default: str = "revenue") -> Column:
-    patterns = {word: re.escape(word) for word in METRIC_WORDS}
-    return F.when(text.isNotNull(), first_label(F.lower(text), patterns, default))
+    """The first known metric word; else the word after 'average', 'total' and the like; else the default."""
+    lowered = F.lower(text)
+    named = F.regexp_extract(lowered, NAMED_METRIC, 2)
+    known = first_label(lowered, {word: re.escape(word) for word in METRIC_WORDS}, None)
+    return F.when(text.isNotNull(), F.coalesce(
+        known, F.when(~named.isin("", *NOT_METRICS), named), F.lit(default)))
 
 
 def group_word(text: Column) -> Column:

@@ -67,6 +67,9 @@ DEFAULT_INTENT = "historical_analytics"
 ABSENT_METRICS = ["churn", "nps", "satisfaction", "ebitda", "bounce rate"]
 METRIC_WORDS = ["churn", "nps", "csat", "satisfaction", "ebitda", "bounce rate", "revenue",
                 "sales", "quantity", "price", "profit", "units"]
+METRIC_LEADS = ["average", "total", "sum of", "mean of", "max of", "min of", "mean", "max", "min"]
+NOT_METRICS = ["the", "of", "all", "orders", "records", "combined", "transactions", "customer",
+               "product", "monthly", "annual"]
 OPERATION_WORDS = {
     "mean": ["average", "avg", "mean"],
     "max": ["highest", "max", "maximum", "most", "top"],

@@ -6,8 +6,10 @@ from attest.functions import text
 from attest.functions.vocab import (
     GROUP_WORDS,
     INTENT_PATTERNS,
+    METRIC_LEADS,
     METRIC_WORDS,
     MONTH_NUMBERS,
+    NOT_METRICS,
     OPERATION_WORDS,
 )
 from attest.plans.registry import query
@@ -19,6 +21,7 @@ SENTENCES = [
     "May I see the highest monthly quantity?", "What caused churn in jan?", "Is it worth it?",
     "Count the customers by area", "Show EBITDA for Dec 1999", "Revenue between February and July",
     "What do you think of the bounce rate?", "Totals are projected for 2027", "Customer satisfaction by month",
+    "Mean discount by area", "Total orders in May", "Max of tax_rate per item", "What is the total customer count?",
 ]
 # One sentence per turn, before the text of the turn.
 ASKED = "concat({array}[(conv_id * 7 + turn) % " + str(len(SENTENCES)) + "{shift}], ' ', text)"
@@ -69,9 +72,14 @@ def _contains(words) -> str:
     return " OR ".join(f"contains(q, '{w}')" for w in words)
 
 
+NAMED = f"regexp_extract(q, '({'|'.join(METRIC_LEADS)})\\s+([a-zA-Z0-9_\\-]+)', 2)"
+NOT_NAMED = ", ".join(f"'{w}'" for w in ["", *NOT_METRICS])
+NAMED_SQL = f"CASE WHEN {NAMED} IN ({NOT_NAMED}) THEN 'revenue' ELSE {NAMED} END"
+
+
 @query(f"""
 SELECT conv_id, turn, {_case({n: _contains(w) for n, w in OPERATION_WORDS.items()}, "'sum'")} AS operation,
-  {_case({w: _contains([w]) for w in METRIC_WORDS}, "'revenue'")} AS metric,
+  {_case({w: _contains([w]) for w in METRIC_WORDS}, NAMED_SQL)} AS metric,
   {_case({n: _contains(w) for n, w in GROUP_WORDS.items()}, "NULL")} AS grouping_column FROM {ASKED_SQL}
 """)
 def request_words(t):

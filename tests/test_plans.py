@@ -9,7 +9,6 @@ from attest.functions.dates import TimeRange
 from attest.operators.filters import Condition
 from attest.operators.metric import Join, MetricQuery, run
 from attest.operators.overlap import key_overlap
-from attest.plans import all_queries
 from attest.plans.cross_table import keyed
 from attest.plans.registry import Tables
 
@@ -60,13 +59,6 @@ def test_pairs_are_never_formed_from_values(t):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-@pytest.mark.parametrize("name", sorted(all_queries()))
-def test_no_python_and_no_cross_join(spark, name):
-    text = plan(all_queries()[name](spark, FOLDER))
-    for word in ("EvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert word not in text
-
-
 def test_row_count_reads_no_column(t):
     text = plan(t.orders.agg(F.count("*")))
     assert "ReadSchema: struct<>" in text

@@ -155,8 +155,10 @@ def test_text_labels(spark):
     rows = df.select(intent_label(q), month_mention(q), operation_word(q), year_mention(q), months_mentioned(q)).collect()
     assert [tuple(r[:3]) for r in rows] == [c[1:] for c in cases]
     assert rows[3][3] == 2024 and rows[1][4] == [3] and rows[4][4] == []
-    df = spark.createDataFrame([("monthly churn by region",), ("units per item",)], "q string")
-    assert [tuple(r) for r in df.select(metric_word(q), group_word(q)).collect()] == [("churn", "region"), ("units", "product_id")]
+    df = spark.createDataFrame([("monthly churn by region",), ("units per item",), ("Average discount",), ("total orders",),
+                                ("sum of Tax-2 by month",)], "q string")
+    assert [tuple(r) for r in df.select(metric_word(q), group_word(q)).collect()] == [
+        ("churn", "region"), ("units", "product_id"), ("discount", None), ("revenue", None), ("tax-2", "month")]
 
 
 def test_redaction(spark):
