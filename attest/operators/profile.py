@@ -59,10 +59,15 @@ def column_profile(df: DataFrame, table: str, distinct: str = "approx", scale: i
     the distinct values). `scale` sums floats as decimals, so that the mean does not depend on the
     order of rows.
     """
+    # values are cleaned once, in a projection below the aggregate
+    fields = df.schema.fields
+    cleaned = df.select(
+        *[present(df, f.name).alias(f"value{i}") for i, f in enumerate(fields)],
+        *[is_missing(F.col(f.name), f.dataType).alias(f"blank{i}") for i, f in enumerate(fields)])
     aggregates = [F.count(F.lit(1)).alias("n")]
-    for i, field in enumerate(df.schema.fields):
-        value = present(df, field.name)
-        aggregates.append(F.count_if(is_missing(F.col(field.name), field.dataType)).alias(f"missing{i}"))
+    for i, field in enumerate(fields):
+        value = F.col(f"value{i}")
+        aggregates.append(F.count_if(f"blank{i}").alias(f"missing{i}"))
         if distinct == "approx" and not is_nested(field.dataType):
             # a sketch is one binary value; the buffers of approx_count_distinct are 52 numbers a column
             hashed = F.when(value.isNotNull(), F.xxhash64(value))
@@ -72,7 +77,7 @@ def column_profile(df: DataFrame, table: str, distinct: str = "approx", scale: i
             summed = value.cast(f"decimal(18,{scale})") if exact else value
             aggregates += [F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}"),
                            F.sum(summed).alias(f"sum{i}"), F.count(value).alias(f"filled{i}")]
-    folded = df.agg(*aggregates)
+    folded = cleaned.agg(*aggregates)
     none = F.lit(None)
     structs = []
     for i, field in enumerate(df.schema.fields):
