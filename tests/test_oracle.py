@@ -6,9 +6,11 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry_points
+from attest.plans import all_queries
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES = all_queries()
+SQL = {name: sql for name, sql in entry_points.oracle_sql().items() if name in QUERIES}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
