@@ -14,12 +14,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from attest.llm.common import Pool, ragged, space_pieces, text_batches, written
+from attest.llm.common import Pool, arrow_slices, ragged, space_pieces, written
+from attest.llm.tokenized import ENCODE_CHARS
 
 CHAPTER_WORDS = 300_000
 CHAPTER_CHARS = 32_000_000
@@ -51,8 +53,10 @@ class _Chapter:
         self.chars = 0
         number = self.words
 
-        def numbers(pieces: list[str]) -> list[list[int]]:
-            return [[number.setdefault(w, len(number)) for w in pattern.findall(p)] for p in pieces]
+        def numbers(pieces: list[str]) -> tuple[list[int], np.ndarray]:
+            found = [pattern.findall(p) for p in pieces]
+            flat = [number.setdefault(w, len(number)) for words in found for w in words]
+            return flat, np.fromiter(map(len, found), np.int64, len(found))
 
         self.pool = Pool(numbers, limit=2 * CHAPTER_WORDS)
 
@@ -104,9 +108,9 @@ def _chapters(documents: DataFrame, pattern: str) -> DataFrame:
                 yield row(words=words[at : at + _WORDS_ROW])
                 chapter.sent += len(words[at : at + _WORDS_ROW])
 
-        for batch, texts in text_batches(batches):
-            numbers, counts = chapter.pool.run([space_pieces(t) for t in texts])
-            chapter.chars += sum(map(len, texts))
+        for batch in arrow_slices(batches, ENCODE_CHARS):
+            numbers, counts = chapter.pool.run(*space_pieces(batch.column("text")))
+            chapter.chars += pc.sum(pc.utf8_length(batch.column("text"))).as_py()
             yield row(batch.column("doc_id").to_pylist(), counts, numbers)
             if len(chapter.words) > CHAPTER_WORDS or chapter.chars > CHAPTER_CHARS:
                 yield from unsent()

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 # Characters of text that a Python task works on at a time; a longer text is a slice of its own.
@@ -57,12 +58,19 @@ def slices(lengths: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, i
         yield start, len(lengths)
 
 
-def text_batches(batches, most: int = SLICE_CHARS):
-    """Slices of Arrow batches with a column `text`, as (record batch, list of texts); null texts are empty."""
+def arrow_slices(batches, most: int = SLICE_CHARS):
+    """Slices of Arrow batches with a column `text`, at most `most` characters each; null texts become empty."""
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for start, stop in slices([len(t) for t in texts], most):
-            yield batch.slice(start, stop - start), texts[start:stop]
+        at = batch.schema.get_field_index("text")
+        batch = batch.set_column(at, "text", pc.fill_null(batch.column(at), ""))
+        for start, stop in slices(pc.utf8_length(batch.column(at)).to_pylist(), most):
+            yield batch.slice(start, stop - start)
+
+
+def text_batches(batches, most: int = SLICE_CHARS):
+    """The same slices with their texts as a list."""
+    for batch in arrow_slices(batches, most):
+        yield batch, batch.column("text").to_pylist()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -75,11 +83,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Pool:
     """Encodings of distinct strings, kept while there are at most `limit` of them.
 
-    `encode` turns a list of new strings into one list of integers each. A string is encoded once for as
-    long as it is kept, so frequent words cost a look-up.
+    `encode` turns a list of new strings into their integers, all together, and how many each has. A string is
+    encoded once for as long as it is kept, so a frequent word costs a look-up.
     """
 
-    def __init__(self, encode, limit: int = 300_000):
+    def __init__(self, encode, limit: int = 600_000):
         self._encode, self._limit = encode, limit
         self._clear()
 
@@ -99,48 +107,59 @@ class Pool:
         return larger
 
     def _add(self, new: list[str]) -> None:
-        values = self._encode(new)
-        first, lengths = len(self.index), np.fromiter(map(len, values), np.int64, len(values))
-        total = int(lengths.sum())
-        self.flat = self._room(self.flat, self.used + total)
-        self.starts = self._room(self.starts, first + len(new))
-        self.lengths = self._room(self.lengths, first + len(new))
-        self.flat[self.used : self.used + total] = np.fromiter((v for x in values for v in x), np.uint32, total)
-        self.starts[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[first : first + len(new)] = lengths
-        self.used += total
-        self.index.update(zip(new, range(first, first + len(new))))
-
-    def run(self, groups: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The encodings of all strings in order, and how many integers each group has."""
+        values, lengths = self._encode(new)
+        first, last = len(self.index), len(self.index) + len(new)
+        self.flat = self._room(self.flat, self.used + len(values))
+        self.starts, self.lengths = self._room(self.starts, last), self._room(self.lengths, last)
+        self.flat[self.used : self.used + len(values)] = values
+        self.starts[first:last] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first:last] = lengths
+        self.used += len(values)
+        self.index.update(zip(new, range(first, last)))
+
+    def run(self, pieces: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The encodings of all strings in order, and how many integers each group of `counts` strings has."""
         if len(self.index) > self._limit:
             self._clear()
-        words = [w for group in groups for w in group]
-        index = self.index
-        if new := list(dict.fromkeys(w for w in words if w not in index)):
-            self._add(new)
-        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = list(map(self.index.get, words))
+        if None in found:
+            first = len(self.index)
+            gaps = [i for i, x in enumerate(found) if x is None]
+            self._add([words[i] for i in gaps])
+            for n, i in enumerate(gaps):
+                found[i] = first + n
+        at = np.array(found, np.int64)[coded.indices.to_numpy()]
         lengths = self.lengths[at]
         ids = self.flat[ragged(self.starts[at], lengths)]
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        bounds = np.concatenate(([0], np.cumsum([len(g) for g in groups], dtype=np.int64)))
+        bounds = np.concatenate(([0], np.cumsum(counts)))
         return ids, ends[bounds[1:]] - ends[bounds[:-1]]
 
 
-_INNER_SPACE = re.compile(r"\s \s|\s \Z")
+_SPACE = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_INNER_SPACE = f"{_SPACE} {_SPACE}|{_SPACE} \\z|\\x00"
+
+
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    return lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
 
 
-def space_pieces(text: str) -> list[str]:
-    """Cuts before spaces. No match of the byte-level pattern lies across a cut, so pieces can be encoded alone.
+def space_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Cuts texts before spaces: all pieces, and how many each text has.
 
-    White space of which only the last character belongs to the next word is one match; where it holds an
-    inner space, the text is left whole.
+    No match of the byte-level pattern lies across a cut, so pieces can be encoded alone. White space of which
+    only the last character belongs to the next word is one match; a text where it holds an inner space, and
+    one with the character that marks the cuts, is left whole.
     """
-    if _INNER_SPACE.search(text) or "\0" in text:
-        return [text] if text else []
-    return text.replace(" ", "\0 ").split("\0") if text else []
+    whole = pc.match_substring_regex(texts, _INNER_SPACE)
+    if pc.any(whole).as_py():
+        pieces = [[t] if w else t.replace(" ", "\0 ").split("\0") for t, w in zip(texts.to_pylist(), whole.to_pylist())]
+        return _flat(pa.array(pieces, pa.list_(pa.string())))
+    return _flat(pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0"))
 
 
-def word_pieces(text: str) -> list[str]:
+def word_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words for tokenizers that drop white space."""
-    return [w for w in text.replace("\n", " ").split(" ") if w]
+    return _flat(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))

@@ -7,8 +7,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import text_batches, written
-from attest.llm.tokenized import TextEncoder
+from attest.llm.common import arrow_slices, written
+from attest.llm.tokenized import ENCODE_CHARS, text_encoder
 
 OPEN_WINDOWS = 64
 MERGE_PARTITIONS = 32
@@ -96,11 +96,11 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int, capacity: int =
     """
 
     def pack_task(batches):
-        encode = TextEncoder(tokenizer_path, end_id, drops_space)
+        encode = text_encoder(tokenizer_path, end_id, drops_space)
         task = TaskContext.get().partitionId()
         packer = Packer(capacity, open_windows, task << 32)
-        for batch, texts in text_batches(batches):
-            ids, counts = encode(texts)
+        for batch in arrow_slices(batches, ENCODE_CHARS):
+            ids, counts = encode(batch.column("text"))
             at = 0
             for doc, n in zip(batch.column("doc_id").to_pylist(), counts.tolist()):
                 packer.add(doc, ids[at : at + n])

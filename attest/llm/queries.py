@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import byte_bpe, packing, token_files
+from attest.llm import byte_bpe, hyperplanes, jaccard_groups, packing, page_text, repeats, token_files, warc
 from attest.session import configure
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,29 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(files).select(
         "doc_id", "start", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
         F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op3_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.main_text(table(spark, folder, "pages"))
+
+
+@query()
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read_archives(warc.normalise(warc.write_archives(table(spark, folder, "pages"))))
+
+
+@query()
+def op7_hyperplanes(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperplanes.link(table(spark, folder, "embeddings"), threshold=0.9)
+
+
+@query()
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"), length=100).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_groups.join_similar(table(spark, folder, "documents"), words=3, percent=90)

@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.llm.common import new_path, text_batches, written
-from attest.llm.tokenized import TextEncoder
+from attest.llm.common import arrow_slices, new_path, written
+from attest.llm.tokenized import ENCODE_CHARS, text_encoder
 
 MAGIC = b"PFORIDS1"
 BLOCK = 4096
@@ -189,14 +189,14 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int, dr
         first = next(batches, None)
         if first is None:
             return
-        encode = TextEncoder(tokenizer_path, end_id, drops_space)
+        encode = text_encoder(tokenizer_path, end_id, drops_space)
         system, base = _open(folder)
         system.create_dir(base, recursive=True)
         path = f"{base}/part-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.ids"
 
         def coded():
-            for batch, texts in text_batches(x for part in ([first], batches) for x in part):
-                yield (batch.column("doc_id").to_pylist(), *encode(texts))
+            for batch in arrow_slices((x for part in ([first], batches) for x in part), ENCODE_CHARS):
+                yield (batch.column("doc_id").to_pylist(), *encode(batch.column("text")))
 
         with system.open_output_stream(path) as out:
             n_docs, n_ids = write_file(out, coded(), block, share)
