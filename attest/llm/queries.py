@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import byte_bpe, hyperplanes, jaccard_groups, packing, page_text, repeats, token_files, warc
+from attest.llm import byte_bpe, hyperplanes, jaccard_groups, packing, page_text, repeats, token_files, toxicity, warc
 from attest.session import configure
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,16 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_groups.join_similar(table(spark, folder, "documents"), words=3, percent=90)
+
+
+HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 5 = 0"
+
+
+@query()
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(documents, table(spark, folder, "labels").filter(f"not ({HELD_OUT})"))
+    scored = toxicity.score(documents, lexicon)
+    return scored.select(
+        "doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), F.col(toxicity.SCORE).alias("score"),
+        F.expr(f"if({toxicity.SCORE} >= 0.5, 1, 0)").alias("predicted"))
