@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import byte_bpe, hyperplanes, jaccard_groups, packing, page_text, repeats, token_files, toxicity, warc
+from attest.llm import byte_bpe, hyperplanes, jaccard_groups, order_minhash, packing, page_text, repeats, token_files, toxicity, warc
 from attest.session import configure
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,11 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), F.col(toxicity.SCORE).alias("score"),
         F.expr(f"if({toxicity.SCORE} >= 0.5, 1, 0)").alias("predicted"))
+
+
+@query()
+def op2_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    compared = order_minhash.compare_edited(table(spark, folder, "documents"))
+    return compared.select(
+        "doc_id", "n_chars", "edited_sha256", order_minhash.as_text(F.col("fingerprint")).alias("fingerprint"),
+        order_minhash.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -219,7 +219,7 @@ def _sorted_edges(length: int, key: int):
 
 def _cut(batches):
     for batch in arrow_slices(batches):
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[] for _ in range(6)]
         for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans"))):
             data = text.encode()
             runs: list[list[int]] = []
@@ -230,13 +230,14 @@ def _cut(batches):
                     runs.append([lo, hi])
             ends = [0, *(x for run in runs for x in run), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2]))
-            for column, value in zip(out, (None if doc == NULL_ID else doc, len(data), len(data) - len(kept), len(runs), kept)):
+            for column, value in zip(out, (None if doc == NULL_ID else doc, len(data), len(data) - len(kept), len(runs), kept, kept.decode(errors="ignore"))):
                 column.append(value)
-        kinds = (*[pa.int64()] * 4, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        kinds = (*[pa.int64()] * 4, pa.binary(), pa.string())
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(out, kinds)), batch.column("carried")],
+                                         names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "carried"])
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, key: int = KEY, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each byte covered by a string of `length` bytes that also starts earlier in the corpus.
 
     Earlier is a smaller doc_id, or the same doc_id and an earlier start; strings are judged on the input and
@@ -245,17 +246,20 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, key: int = KEY) -
     way to the other. Texts shorter than `length`, empty and null ones stay whole. Equality of the strings of a
     run, and of strings at hot keys, is that of 128 and 64 bits of hash.
 
-    Reads `doc_id` and `text` only, so other columns cannot clash. An empty table gives no rows.
-    Returns a row per row: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes).
+    Reads `doc_id`, `text` and the columns of `carry`, which go along in a struct `carried`, so no column can
+    clash. An empty table gives no rows.
+    Returns a row per row: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_text (the
+    remaining characters, without those that are cut through), carried.
     """
     if not 8 <= key <= length <= key + 255 or length < 24:
         raise ValueError("key must be 8 to length bytes, and length at most 255 more")
     spark = documents.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"),
+                            (F.struct(*carry) if carry else F.struct(F.lit(True).alias("none"))).alias("carried"))
 
-    packed = docs.mapInArrow(_anchor_rows(length, key, shards), _PACKED)
+    packed = docs.drop("carried").mapInArrow(_anchor_rows(length, key, shards), _PACKED)
     found = written(packed.groupBy("shard").applyInArrow(_meet(length), _FOUND), "anchors")
     edges = found.filter("kind = 2").select("doc", "mark", "key", "at", "left", "right")
     hot = written(edges.groupBy("key").count().filter(F.col("count") > HOT_EDGES).select("key", F.lit(True).alias("hot")), "hot-keys")
@@ -263,7 +267,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, key: int = KEY) -
 
     def with_text(rows: DataFrame) -> DataFrame:
         listed = rows.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "at", "left", "right")).alias("edges"))
-        return docs.join(listed, ["doc", "mark"])
+        return docs.join(listed, ["doc", "mark"]).drop("carried")
 
     sort_shards = max(shards, -(-edges.count() // 50_000))
     contexts = with_text(edges.filter("hot is null")).mapInArrow(
@@ -277,4 +281,4 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, key: int = KEY) -
     spans = spans.unionByName(found.filter("kind = 1").select("doc", "mark", "lo", "hi"))
     listed = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return docs.join(listed, ["doc", "mark"], "left").mapInArrow(
-        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        _cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, carried {docs.schema['carried'].dataType.simpleString()}")
