@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,16 @@ def components(edges: DataFrame) -> DataFrame:
         kept = written(small.filter("big <> small").distinct(), "small-star")
     roots = kept.select(F.col("small").alias("node"), F.col("small").alias("component")).distinct()
     return kept.select(F.col("big").alias("node"), F.col("small").alias("component")).unionByName(roots)
+
+
+def least_roots(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least reachable index of each of `size` nodes."""
+    label = np.arange(size)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, left, label[right])
+        np.minimum.at(least, right, label[left])
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least

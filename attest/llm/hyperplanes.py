@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.llm.common import written
-from attest.llm.graph import components
+from attest.llm.graph import components, least_roots
 
 BUCKET = 64
 RECALL = 0.99
@@ -52,19 +52,6 @@ def _vectors(batches):
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], names=["vec_id", "key", "data"])
 
 
-def _roots(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The least reachable index of each of `size` nodes."""
-    label = np.arange(size)
-    while True:
-        least = label.copy()
-        np.minimum.at(least, left, label[right])
-        np.minimum.at(least, right, label[left])
-        least = least[least]
-        if (least == label).all():
-            return label
-        label = least
-
-
 def link(vectors: DataFrame, threshold: float = 0.9, seed: int = SEED) -> DataFrame:
     """Links of every vector with the others at cosine `threshold` or more, and their components.
 
@@ -121,7 +108,7 @@ def link(vectors: DataFrame, threshold: float = 0.9, seed: int = SEED) -> DataFr
             i, j = i[i < j], j[i < j]
         new = ~(codes[i, :t] == codes[j, :t]).any(axis=1) if t else np.ones(len(i), bool)
         links = np.bincount(i[new], copies[j[new]], len(names)) + np.bincount(j[new], copies[i[new]], len(names))
-        roots = _roots(len(names), i, j)
+        roots = least_roots(len(names), i, j)
         told = np.flatnonzero((links > 0) | (roots != np.arange(len(names))))
         return pa.table({"key": pa.array([names[x] for x in told], pa.binary()), "links": pa.array(links[told].astype(np.int64)),
                          "root": pa.array([names[roots[x]] for x in told], pa.binary())})

@@ -4,8 +4,8 @@ A document's tokens are not single shingles but classes of them: the hash space
 that two documents which reach the threshold must agree on some classes whole (a differing shingle
 spoils one class). A shared passage rarely fills a class, so tokens are shared by near copies only.
 
-1. Tokens that one document alone has are dropped. Documents are counted against the least holder of each
-   token, verified with the one they share most tokens with, and so partitioned into similar groups.
+1. Tokens that one document alone has are dropped. Each document is put into a group with the holder it shares
+   most tokens with, of the least holders of its tokens; members of a group are compared in blocks.
 2. The matrix keeps each group's token union. A document's overlap with the unions of other groups bounds its
    overlap with their members; only groups that reach the bound are opened.
 3. Members of opened groups that share enough tokens are verified. All verified links give the components.
@@ -17,14 +17,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attest.llm.common import arrow_slices, ragged, written
-from attest.llm.graph import components
+from attest.llm.graph import components, least_roots
 from attest.llm.shingles import mixed, shingle_sets
 
-SHARDS_PER_PARTITION = 1
+BLOCK = 512
+ORDERS = 3
+COLUMNS = 4096
 _TOKEN_BYTES = 7
 _ROW = "doc_id long, n long, vertex long"
 
@@ -46,7 +48,7 @@ class Bands:
         while len(self.edges) < band + 2:
             self.edges.append(self.edges[-1] * 100 // self.percent + 1)
         differing = (self.edges[band + 1] - 1) * (100 - self.percent) // self.percent
-        agree = 2 + differing // 16
+        agree = 3 + differing // 4
         return (differing + agree, agree) if differing else (0, 0)
 
 
@@ -91,7 +93,7 @@ def _rows(documents: DataFrame, words: int) -> DataFrame:
 
 
 def _shared_tokens(documents: DataFrame, words: int, percent: int, shards: int) -> DataFrame:
-    """token, vertex, need, n: the holders of every token that two vertices hold, some of them more than once.
+    """token, vertex, band, need, n: the holders of every token that two vertices hold, some of them more than once.
 
     Each task sends a token once per slice of texts; other holders of the slice go along unasked, spread
     over the shards, so that no shard gets more of a hot token than one holder per slice.
@@ -108,16 +110,17 @@ def _shared_tokens(documents: DataFrame, words: int, percent: int, shards: int)
                     for band in (top - 1, top):
                         classes, agree = bands.classes(band) if band >= 0 else (0, 0)
                         if classes:
-                            parts.append(class_tokens(shingles, band, classes, agree))
+                            parts.append((*class_tokens(shingles, band, classes, agree), band))
                     if parts:
                         held[vertex] = [len(shingles), parts]
             if not held:
                 continue
             vertices = np.array(list(held), np.int64)
             sizes = np.array([n for n, _ in held.values()], np.int64)
-            tokens = np.concatenate([t for _, parts in held.values() for t, _ in parts])
-            needs = np.concatenate([np.full(len(t), need, np.int32) for _, parts in held.values() for t, need in parts])
-            docs = np.repeat(np.arange(len(held)), [sum(len(t) for t, _ in parts) for _, parts in held.values()])
+            tokens = np.concatenate([t for _, parts in held.values() for t, _, _ in parts])
+            # Band and need of a token travel in one integer.
+            needs = np.concatenate([np.full(len(t), band << 20 | need, np.int32) for _, parts in held.values() for t, need, band in parts])
+            docs = np.repeat(np.arange(len(held)), [sum(len(t) for t, _, _ in parts) for _, parts in held.values()])
             order = np.lexsort((vertices[docs], tokens))
             tokens, needs, docs = tokens[order], needs[order], docs[order]
             first = np.concatenate(([True], tokens[1:] != tokens[:-1]))
@@ -155,18 +158,17 @@ def _shared_tokens(documents: DataFrame, words: int, percent: int, shards: int)
             several = vertices[starts] != vertices[ends - 1]
             found.append([c[ragged(starts[several], (ends - starts)[several])] for c in columns])
         found += parts[1]
-        columns = [np.concatenate(c) for c in zip(*found)]
-        return pa.table(dict(zip(("token", "vertex", "need", "n"), map(pa.array, columns))))
+        tokens, vertices, needs, sizes = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"token": tokens, "vertex": vertices, "band": needs >> 20, "need": needs & 0xFFFFF, "n": sizes})
 
     packed = documents.mapInArrow(cut, "shard int, kind int, tokens binary, docs binary, needs binary, vertices binary, sizes binary")
-    holders = packed.groupBy("shard").applyInArrow(meet, "token long, vertex long, need int, n long")
+    holders = packed.groupBy("shard").applyInArrow(meet, "token long, vertex long, band int, need int, n long")
     return written(holders, "shared-tokens")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of vertices whose exact shingle sets reach the threshold."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-    chosen = rows.join(ends, "vertex").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
+def _sets(wanted: DataFrame, rows: DataFrame, documents: DataFrame, words: int) -> DataFrame:
+    """The shingle sets of the wanted vertices, made again from the text of one document each."""
+    chosen = rows.join(wanted, "vertex").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
 
     def sets(batches):
         for batch in arrow_slices(batches):
@@ -176,7 +178,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, words: in
 
     ids = chosen.select(F.col("doc_id").alias("wanted"))
     texts = documents.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    kept = written(texts.select("doc_id", "text").mapInArrow(sets, "vertex long, shingles binary").dropDuplicates(["vertex"]), "sets")
+    return written(texts.select("doc_id", "text").mapInArrow(sets, "vertex long, shingles binary").dropDuplicates(["vertex"]), "sets")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of vertices whose exact shingle sets reach the threshold."""
+    kept = _sets(pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct(), rows, documents, words)
 
     def compare(batches):
         for batch in batches:
@@ -192,6 +199,51 @@ def _verified(pairs: DataFrame, rows: DataFrame, documents: DataFrame, words: in
     return written(both.mapInArrow(compare, "a long, b long"), "verified")
 
 
+def _common(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets numbered in `one` with those in `two`."""
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = count[column] > 1  # a shingle of one set is in no intersection
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    found = np.zeros((len(one), len(two)), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, COLUMNS):
+        start, end = np.searchsorted(column, (low, low + COLUMNS))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[row[start:end], column[start:end] - low] = 1
+        found += held[one] @ held[two].T
+    return found.astype(np.int64)
+
+
+def _inside(groups: DataFrame, rows: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between members of a group, as a spanning forest of each block of members or pair of blocks.
+
+    A group of more than BLOCK members is cut into blocks, and each pair of blocks is compared on its own.
+    """
+    sets = _sets(groups.select(F.col("node").alias("vertex")), rows, documents, words)
+    sized = written(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "group-sizes")
+    placed = written(groups.join(sized, "component").select(F.col("node").alias("vertex"), "component", "blocks"), "members")
+    held = sets.join(placed, "vertex").withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int"))
+    spread = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "vertex", "shingles")
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        low, high = key[1].as_py(), key[2].as_py()
+        vertices, own = table.column("vertex").to_numpy(), table.column("own").to_numpy()
+        sets = [np.frombuffer(s, "<u8") for s in table.column("shingles").to_pylist()]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        one, two = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        common = _common(sets, one, two)
+        i, j = np.nonzero(100 * common >= percent * (sizes[one][:, None] + sizes[two][None, :] - common))
+        roots = least_roots(len(sets), one[i], two[j])
+        told = np.flatnonzero(roots != np.arange(len(sets)))
+        return pa.table({"a": vertices[told], "b": vertices[roots[told]]})
+
+    return written(spread.groupBy("component", "low", "high").applyInArrow(compare, "a long, b long"), "inside")
+
+
 def _sizes_allow(percent: int):
     return F.expr(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)")
 
@@ -210,38 +262,47 @@ def join_similar(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
     spark = documents.sparkSession
     docs = _source(documents)
     rows = _rows(docs, words)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions")) * SHARDS_PER_PARTITION
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     holders = _shared_tokens(docs, words, percent, shards)
 
-    # Groups: each vertex with the least holder it shares most tokens with.
-    least = written(holders.groupBy("token").agg(F.min(F.struct("vertex", "n")).alias("least")), "least-holders")
+    # Similar documents: each vertex with that least holder of its tokens which it shares most of them with.
+    # Several orders of the holders give several such neighbours, which joins what belongs together into few groups.
+    first = [F.min(F.struct(F.xxhash64("vertex", F.lit(i)).alias("rank"), "vertex", "n", F.lit(i).alias("turn"))) for i in range(ORDERS)]
+    least = written(holders.groupBy("token").agg(F.array(*first).alias("least")), "least-holders")
     stars = holders.join(least, "token").select(
-        F.col("vertex").alias("a"), "n", "need", F.col("least.vertex").alias("b"), F.col("least.n").alias("other_n"))
-    stars = stars.filter("a <> b").filter(_sizes_allow(percent)).groupBy("a", "b").agg(
+        F.col("vertex").alias("a"), F.col("n").alias("own_n"), "band", "need", F.inline("least"))
+    stars = stars.select("a", "band", "need", "turn", F.col("vertex").alias("b"), F.col("own_n").alias("n"), F.col("n").alias("other_n"))
+    stars = stars.filter("a <> b").filter(_sizes_allow(percent)).groupBy("a", "turn", "b", "band").agg(
         F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= need")
-    stars = written(stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b"), "stars")
-    links = _verified(stars, rows, docs, words, percent)
-    groups = written(components(links), "groups")
+    stars = written(stars.groupBy("a", "turn").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b"), "stars")
+    groups = written(components(stars), "groups")
+    links = _inside(groups, rows, docs, words, percent)
 
-    # The matrix: which groups hold a token.
+    # The matrix: which groups hold a token. Tokens of one group alone, and then documents with fewer tokens of
+    # a band than they must share, cannot matter.
     held = holders.join(groups, F.col("vertex") == F.col("node"), "left").select(
-        "token", "vertex", "need", "n", F.coalesce("component", "vertex").alias("grp"))
-    held = written(held.distinct(), "holders")
-    apart = held.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("token")
-    held = written(held.join(apart, "token", "left_semi"), "holders-apart")
-    matrix = held.select("token", F.col("grp").alias("other")).distinct()
-    opened = held.join(matrix, "token").filter("grp <> other").groupBy("vertex", "other").agg(
-        F.count("*").alias("overlap"), F.min("need").alias("need")).filter("overlap >= need").select("vertex", "other")
-    queries = held.join(written(opened, "opened"), "vertex")
+        "token", "vertex", "band", "need", "n", F.coalesce("component", "vertex").alias("grp")).distinct()
+    held = written(held, "holders")
+    in_band = Window.partitionBy("vertex", "band")
+    for _ in range(2):
+        apart = held.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("token")
+        held = written(held.drop("tokens").join(written(apart, "tokens-apart"), "token", "left_semi").withColumn(
+            "tokens", F.count("*").over(in_band)).filter("tokens >= need"), "holders-apart")
+    matrix = written(held.select("token", F.col("grp").alias("other")).distinct(), "matrix")
+    # A group that shares `need` of a document's tokens has one among all but its `need` - 1 commonest.
+    common = written(matrix.groupBy("token").agg(F.count("*").alias("groups")), "token-groups")
+    order = in_band.orderBy("groups", "token")
+    probes = held.join(common, "token").withColumn("at", F.row_number().over(order)).filter("at <= tokens - need + 1")
+    met = written(probes.select("token", "vertex", "band", "grp").join(matrix, "token").filter("grp <> other").select(
+        "vertex", "band", "other").distinct(), "groups-met")
+    opened = held.join(met, ["vertex", "band"]).join(matrix, ["token", "other"], "left_semi").groupBy("vertex", "band", "other").agg(
+        F.count("*").alias("overlap"), F.min("need").alias("need")).filter("overlap >= need").select("vertex", "band", "other")
+    queries = held.select("token", "vertex", "band", "need", "n").join(written(opened, "opened"), ["vertex", "band"])
     members = held.select("token", F.col("vertex").alias("member"), F.col("grp").alias("other"), F.col("need").alias("other_need"), F.col("n").alias("other_n"))
-    pairs = queries.join(members, ["token", "other"]).filter("vertex < member").filter(_sizes_allow(percent)).groupBy(
-        F.col("vertex").alias("a"), F.col("member").alias("b")).agg(
-        F.count("*").alias("shared"), F.min(F.greatest("need", "other_need")).alias("need")).filter("shared >= need").select("a", "b")
-    # A pair in which only the larger vertex opens the other's group is found from that side.
-    back = queries.join(members, ["token", "other"]).filter("vertex > member").filter(_sizes_allow(percent)).groupBy(
-        F.col("member").alias("a"), F.col("vertex").alias("b")).agg(
-        F.count("*").alias("shared"), F.min(F.greatest("need", "other_need")).alias("need")).filter("shared >= need").select("a", "b")
-    pairs = written(pairs.unionByName(back).distinct(), "pairs")
+    pairs = queries.join(members, ["token", "other"]).filter(_sizes_allow(percent)).groupBy(
+        F.least("vertex", "member").alias("a"), F.greatest("vertex", "member").alias("b"), "band", "vertex").agg(
+        F.count("*").alias("shared"), F.max(F.greatest("need", "other_need")).alias("need")).filter("shared >= need").select("a", "b")
+    pairs = written(pairs.distinct(), "pairs")
     more = _verified(pairs, rows, docs, words, percent)
     whole = components(links.unionByName(more))
 
