@@ -22,6 +22,18 @@ DATE_SHAPES = [
     (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4}$", "d/M/yyyy"),
     (r"^(1[3-9]|2\d|3[01]|0?[1-9]|1[0-2])-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{2}$", "M/d/yy"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{2}$", "d/M/yy"),
+    (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+    (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "d/M/yyyy H:mm"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "d/M/yyyy H:mm:ss"),
+    # ISO times, with fractions and offsets, as Spark reads them itself
+    (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})?$", None),
 ]
 AMBIGUOUS = r"^(0*(?:[1-9]|1[0-2]))/(0*(?:[1-9]|1[0-2]))(?:/|$)"
 
@@ -31,9 +43,10 @@ def parse_date(col: Column) -> Column:
     text = F.trim(col)
     parsed = F.lit(None).cast("timestamp")
     for shape, pattern in reversed(DATE_SHAPES):
-        parsed = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern))).otherwise(parsed)
+        read = F.try_to_timestamp(text, F.lit(pattern)) if pattern else text.try_cast("timestamp")
+        parsed = F.when(text.rlike(shape), read).otherwise(parsed)
     # most texts are too long, or hold no digit, and are left after this test
-    return F.when(text.rlike(r"^[\w :,/-]{6,20}$") & text.rlike(r"\d"), parsed)
+    return F.when(text.rlike(r"^[\w :,/.+-]{6,35}$") & text.rlike(r"\d"), parsed)
 
 
 def as_date_value(df: DataFrame, name: str) -> Column:
@@ -48,10 +61,6 @@ def is_ambiguous(col: Column) -> Column:
     return F.when(col.rlike(AMBIGUOUS), parts[0] != parts[1]).otherwise(F.lit(False))
 
 
-def month_start(col: Column) -> Column:
-    return F.trunc(col, "MM")
-
-
 def month_text(col: Column) -> Column:
     return F.date_format(col, "yyyy-MM")
 

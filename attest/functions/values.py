@@ -59,6 +59,16 @@ def is_missing(col: Column, dtype: T.DataType) -> Column:
     return col.isNull()
 
 
+def addend(col: Column, dtype: T.DataType, scale: int | None = None) -> Column:
+    """A number as it is summed: in its own type, integers as decimals so that no total overflows.
+
+    With a `scale` values are rounded to so many decimals, so that totals do not depend on the order of rows.
+    """
+    if scale is not None:
+        return col.cast(f"decimal(18,{scale})")
+    return col.cast("decimal(20,0)") if isinstance(dtype, T.IntegralType) else col
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Percentage with two decimals, 0 for an empty whole."""
     share = F.try_divide(part.cast("double") * 100, whole.cast("double"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attest.functions.values import ABS_TOL, is_numeric, is_temporal, present
+from attest.functions.values import ABS_TOL, addend, is_numeric, is_temporal, present, type_of
 
 CONTRACT_TYPES = ("string", "datetime", "integer", "float")
 
@@ -62,18 +62,23 @@ def contract_violations(contract: TableContract, profile: DataFrame) -> DataFram
 
 
 def metric_identity(df: DataFrame, metric: str, *factors: str, tolerance: float = ABS_TOL,
-                    scale: int = 4) -> DataFrame:
+                    scale: int | None = None) -> DataFrame:
     """Rows checked against metric = product of factors: checked, broken, largest difference.
 
-    Compared as decimals, so that prices with cents are not broken by binary fractions.
+    Compared in the columns' own types; with a `scale` as decimals rounded to it.
     """
     product = None
     for name in factors:
-        value = present(df, name).cast(f"decimal(18,{scale})")
+        value = addend(present(df, name), type_of(df, name), scale)
         product = value if product is None else product * value
-    difference = F.abs(present(df, metric).cast(f"decimal(18,{scale})") - product)
+    difference = F.abs(addend(present(df, metric), type_of(df, metric), scale) - product)
     return df.agg(
         F.count(difference).alias("checked_rows"),
-        F.count_if(difference > F.lit(tolerance).cast("decimal(18,9)")).alias("broken_rows"),
-        F.coalesce(F.max(difference), F.lit(0)).cast("double").alias("max_difference"),
+        F.count_if(difference > (F.lit(tolerance) if scale is None else F.lit(tolerance).cast("decimal(18,9)"))).alias("broken_rows"),
+        F.coalesce(_reported(F.max(difference), scale), F.lit(0)).cast("double").alias("max_difference"),
     )
+
+
+def _reported(difference: Column, scale: int | None) -> Column:
+    """Binary fractions are reported to the nine decimals of the tolerance."""
+    return difference if scale is not None else F.round(difference, 9)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.functions.values import percent, row_digest
+from attest.functions.values import addend, percent, present, row_digest, type_of
 from attest.functions.vocab import DUPLICATE_SAMPLE_ROWS
 
 
@@ -95,9 +95,9 @@ def duplicate_samples(df: DataFrame, rows: int = DUPLICATE_SAMPLE_ROWS) -> DataF
     return duplicate_rows(df).orderBy(*df.columns).limit(rows)
 
 
-def duplicate_impact(df: DataFrame, metric: str, scale: int = 2) -> DataFrame:
+def duplicate_impact(df: DataFrame, metric: str, scale: int | None = None) -> DataFrame:
     """A total with and without exact duplicates, and the difference."""
-    money = F.col(metric).cast(f"decimal(18,{scale})")
+    money = addend(present(df, metric), type_of(df, metric), scale)
     totals = distinct_rows(df, [metric]).agg(
         F.coalesce(F.sum(money * F.col("_copies")), F.lit(0)).alias("raw"),
         F.coalesce(F.sum(money), F.lit(0)).alias("clean"),

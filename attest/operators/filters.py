@@ -59,9 +59,9 @@ class Condition:
             case "<=":
                 return ordered(col <= F.lit(value))
             case "in":
-                return col.isin(list(value))
+                return col.isin(_given(value))
             case "not_in":
-                return ~col.isin(list(value)) | col.isNull()
+                return ~col.isin(_given(value)) | col.isNull()
             case "between":
                 return ordered(col.between(F.lit(value[0]), F.lit(value[1])))
             case _:
@@ -78,6 +78,11 @@ class Condition:
         return df.join(listed, F.col(self.column) == F.col("_listed"), how)
 
 
+def _given(values) -> list:
+    """A NULL in a list stands for no value."""
+    return [v for v in values if v is not None]
+
+
 def apply_conditions(df: DataFrame, conditions) -> DataFrame:
     for condition in conditions:
         df = condition.apply(df)

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.functions.values import percent, present
+from attest.functions.values import addend, is_float, percent, present, type_of
 
 
 def join_report(left: DataFrame, right: DataFrame, left_on: str, right_on: str | None = None,
-                metric: str | None = None, scale: int = 2) -> DataFrame:
+                metric: str | None = None, scale: int | None = None) -> DataFrame:
     """One row: rows and total of `metric` (a left column) before and after an inner join.
 
     Both sides are folded to one row per key and meet in one aggregate, so neither a hot key nor
     a fan-out is ever multiplied out.
     """
-    money = present(left, metric).cast(f"decimal(18,{scale})") if metric else F.lit(0).cast("decimal(18,2)")
+    money = addend(present(left, metric), type_of(left, metric), scale) if metric else F.lit(0).cast("decimal(18,0)")
     zero = F.lit(0).cast("bigint")
     ours = left.select(F.col(left_on).alias("k"), money.alias("v")).groupBy("k").agg(
         F.count("*").alias("left_rows"), F.coalesce(F.sum("v"), F.lit(0)).alias("total"))
@@ -38,7 +38,7 @@ def join_report(left: DataFrame, right: DataFrame, left_on: str, right_on: str |
         F.coalesce(F.max(r), F.lit(0)).alias("max_right_copies"),
         F.coalesce(F.sum(F.col("l") * r), F.lit(0)).alias("joined_rows"),
         F.coalesce(F.sum("t"), F.lit(0)).alias("before"),
-        F.coalesce(F.sum(F.col("t") * r.cast("decimal(18,0)")), F.lit(0)).alias("after"),
+        F.coalesce(F.sum(F.col("t") * (r if is_float(ours.schema["total"].dataType) else r.cast("decimal(18,0)"))), F.lit(0)).alias("after"),
     )
     return folded.select(
         "left_rows", "right_rows", "matched_rows",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attest.functions.dates import TimeRange, as_date_value, month_text
-from attest.functions.values import is_temporal, present, type_of
+from attest.functions.values import addend, is_temporal, present, type_of
 from attest.operators.duplicates import distinct_rows
 from attest.operators.filters import Condition, apply_conditions
 from attest.operators.median import median_by
@@ -67,17 +67,40 @@ class MetricQuery:
 
 
 def join_tables(left: DataFrame, right: DataFrame, left_on: str, right_on: str | None = None,
-                how: str = "inner") -> DataFrame:
+                how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
     """Equi-join on keys that may differ in name. NULL keys never match.
 
-    Right columns whose names the left table already has are left out.
+    Keys of one name become one column, filled from whichever side has the row. Other columns that both tables
+    have get `suffixes`. Rows with a NULL key take no part in the join: outer joins add them afterwards, so that
+    they do not all meet in one task.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"unknown join type '{how}'")
-    taken = {c.lower() for c in left.columns}
-    kept = [c for c in right.columns if c.lower() not in taken]
-    slim = right.select(F.col(right_on or left_on).alias("_key"), *[F.col(c).alias(c) for c in kept])
-    return left.join(slim, F.col(left_on) == F.col("_key"), how).drop("_key")
+    right_on = right_on or left_on
+    shared = left_on.lower() == right_on.lower()
+    if how in ("left_semi", "left_anti"):
+        return left.join(right.select(_quoted(right_on).alias("_key")), _quoted(left_on) == F.col("_key"), how)
+    ours = {c.lower() for c in left.columns}
+    theirs = {c.lower() for c in right.columns}
+    clash = (ours & theirs) - ({left_on.lower()} if shared else set())
+    left_names = {c: c + suffixes[0] if c.lower() in clash else c for c in left.columns}
+    right_names = {c: c + suffixes[1] if c.lower() in clash else c for c in right.columns if not (shared and c.lower() == right_on.lower())}
+    a = left.select(*[_quoted(c).alias(f"l{i}") for i, c in enumerate(left_names)], _quoted(left_on).alias("lk"))
+    b = right.select(*[_quoted(c).alias(f"r{i}") for i, c in enumerate(right_names)], _quoted(right_on).alias("rk"))
+    # A left or right join shuffles NULL keys too, but is split where they are many; a full join is not.
+    apart = how == "full"
+    met = (a.filter("lk is not null") if apart else a).join(b.filter("rk is not null") if apart else b, F.col("lk") == F.col("rk"), how)
+    if apart:
+        met = met.unionByName(a.filter("lk is null"), allowMissingColumns=True).unionByName(b.filter("rk is null"), allowMissingColumns=True)
+    key = left_on.lower()
+    return met.select(
+        *[(F.coalesce(f"l{i}", "rk") if shared and c.lower() == key else F.col(f"l{i}")).alias(n) for i, (c, n) in enumerate(left_names.items())],
+        *[F.col(f"r{i}").alias(n) for i, n in enumerate(right_names.values())])
+
+
+def _quoted(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
 def combine(*tables: DataFrame) -> DataFrame:
@@ -149,9 +172,9 @@ def _prepare(query: MetricQuery, sources: list[DataFrame], index: int) -> DataFr
 
 def _number(query: MetricQuery, df: DataFrame) -> Column:
     value = present(df, query.metric)
-    if query.scale is None or query.aggregation in ("count", "count_distinct"):
+    if query.aggregation not in ("sum", "mean") and query.scale is None or query.aggregation in ("count", "count_distinct"):
         return value
-    return value.cast(f"decimal(18,{query.scale})")
+    return addend(value, type_of(df, query.metric), query.scale)
 
 
 # Parts of an aggregate: how rows are folded, and how folded parts are merged.
@@ -308,14 +331,14 @@ def top_per(df: DataFrame, outer: list[str], key: str, value: str) -> DataFrame:
 
 
 def growth_by_month(df: DataFrame, date: str, metric: str, keys: list[str] | None = None,
-                    scale: int = 2) -> DataFrame:
+                    scale: int | None = None) -> DataFrame:
     """Monthly totals with the change against the previous calendar month.
 
     Each total is also sent to the following month, so previous values meet in one aggregate
     and not in an ordered window. Growth is NULL where the previous month has no rows or is 0.
     """
     keys = keys or []
-    money = present(df, metric).cast(f"decimal(18,{scale})")
+    money = addend(present(df, metric), type_of(df, metric), scale)
     month = F.trunc(as_date_value(df, date), "MM")
     totals = df.select(*keys, month.alias("_m"), money.alias("_v")).filter("_m is not null") \
         .groupBy(*keys, "_m").agg(F.sum("_v").alias("_t"))

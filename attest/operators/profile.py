@@ -6,8 +6,11 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from attest.functions.dates import as_date_value
 from attest.functions.values import (
+    addend,
     column_class,
     is_float,
     is_missing,
@@ -19,7 +22,7 @@ from attest.functions.values import (
     present,
     value_text,
 )
-from attest.functions.vocab import ID_WORDS_NUMERIC, ID_WORDS_TEXT, NOT_ID_WORDS
+from attest.functions.vocab import DATE_PARSE_THRESHOLD, ID_WORDS_NUMERIC, ID_WORDS_TEXT, NOT_ID_WORDS
 from attest.operators.duplicates import row_key
 from attest.operators.median import quantile_by
 
@@ -74,7 +77,7 @@ def column_profile(df: DataFrame, table: str, distinct: str = "approx", scale: i
             aggregates.append(F.hll_sketch_estimate(F.hll_sketch_agg(hashed, SKETCH_SIZE)).alias(f"distinct{i}"))
         if is_numeric(field.dataType):
             exact = is_float(field.dataType) and scale is not None
-            summed = value.cast(f"decimal(18,{scale})") if exact else value
+            summed = addend(value, field.dataType, scale if exact else None)
             aggregates += [F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}"),
                            F.sum(summed).alias(f"sum{i}"), F.count(value).alias(f"filled{i}")]
     folded = cleaned.agg(*aggregates)
@@ -211,10 +214,14 @@ def table_profile(df: DataFrame, table: str) -> DataFrame:
              F.coalesce(F.sum(F.col("c") * F.col("m")), F.lit(0)).alias("missing_cells"))
     )
     gaps = F.lit(0)
-    months = [f.name for f in df.schema.fields if is_temporal(f.dataType)]
-    if months:
-        gap_row = df.agg(*[_month_gaps(name).alias(name) for name in months])
-        gaps = gap_row.select(sum((F.col(n) for n in months), F.lit(0)).alias("gaps")).scalar()
+    dated = [f for f in df.schema.fields if is_temporal(f.dataType) or isinstance(f.dataType, T.StringType)]
+    if dated:
+        # a text column counts if it passes as a date column
+        read = df.select(*[F.col(f.name).alias(f"v{i}") for i, f in enumerate(dated)],
+                         *[as_date_value(df, f.name).alias(f"d{i}") for i, f in enumerate(dated)])
+        gap_row = read.agg(*[F.when(F.count(f"d{i}") >= DATE_PARSE_THRESHOLD * F.count(f"v{i}"), _month_gaps(f"d{i}")).otherwise(0)
+                             .alias(f"g{i}") for i in range(len(dated))])
+        gaps = gap_row.select(sum((F.col(f"g{i}") for i in range(len(dated))), F.lit(0)).alias("gaps")).scalar()
     return folded.select(
         F.lit(table).alias("table_name"),
         "row_count",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attest.functions.money_units import is_currency_column
-from attest.functions.values import is_float, is_numeric, present, same_value, type_of
+from attest.functions.values import addend, is_float, is_numeric, present, same_value, type_of
 from attest.functions.vocab import CONTRADICTION_RATIO, REVENUE_WORDS
 from attest.operators.position import with_position
 
@@ -27,11 +27,11 @@ def revenue_column(df: DataFrame, words: list[str] = REVENUE_WORDS) -> str | Non
 
 
 def metric_totals(tables: dict[str, DataFrame], metrics: dict[str, str], metric: str = "revenue",
-                  currencies: dict[str, str] | None = None, scale: int = 2) -> DataFrame:
+                  currencies: dict[str, str] | None = None, scale: int | None = None) -> DataFrame:
     """One total per table: table_name, metric, currency, value."""
     parts = []
     for name, column in metrics.items():
-        money = present(tables[name], column).cast(f"decimal(18,{scale})")
+        money = addend(present(tables[name], column), type_of(tables[name], column), scale)
         parts.append(tables[name].agg(F.coalesce(F.sum(money), F.lit(0)).alias("value")).select(
             F.lit(name).alias("table_name"), F.lit(metric).alias("metric"),
             F.lit((currencies or {}).get(name, "UNKNOWN")).alias("currency"),

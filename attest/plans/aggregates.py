@@ -165,6 +165,22 @@ def monthly_totals(t):
                t.named("orders"))
 
 
+SMALL = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.0001 AS DECIMAL(22,6))"
+
+
+@query(f"""
+WITH m AS (SELECT date_trunc('month', o_orderdate) AS m, SUM({SMALL}) AS v FROM orders GROUP BY ALL)
+SELECT strftime(a.m, '%Y-%m') AS month, CAST(a.v AS DOUBLE) AS value, CAST(b.v AS DOUBLE) AS previous_value,
+  CAST(a.v - b.v AS DOUBLE) / CAST(b.v AS DOUBLE) AS growth,
+  (SELECT CAST(SUM({SMALL}) AS DOUBLE) FROM orders) AS total
+FROM m a LEFT JOIN m b ON a.m = b.m + INTERVAL 1 MONTH
+""")
+def small_amount_totals(t):
+    small = t.orders.select("o_orderdate", F.expr(SMALL).alias("amount"))
+    total = impact(small, "amount").select(F.col("total_raw").alias("total"))
+    return growth_by_month(small, "o_orderdate", "amount").select("*", total.scalar().alias("total"))
+
+
 GROWTH_SQL = """
 WITH m AS (
   SELECT {keys} date_trunc('month', o_orderdate) AS m, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS v
@@ -177,12 +193,12 @@ FROM m a LEFT JOIN m b ON a.m = b.m + INTERVAL 1 MONTH {on}
 
 @query(GROWTH_SQL.format(keys="", out="", on=""))
 def month_over_month(t):
-    return growth_by_month(t.orders, "o_orderdate", "o_totalprice")
+    return growth_by_month(t.orders, "o_orderdate", "o_totalprice", scale=2)
 
 
 @query(GROWTH_SQL.format(keys="o_custkey,", out="a.o_custkey,", on="AND a.o_custkey = b.o_custkey"))
 def month_over_month_by_customer(t):
-    return growth_by_month(t.orders, "o_orderdate", "o_totalprice", ["o_custkey"])
+    return growth_by_month(t.orders, "o_orderdate", "o_totalprice", ["o_custkey"], scale=2)
 
 
 @query("""
@@ -227,7 +243,7 @@ SELECT r.n AS rows_raw, c.n AS rows_clean, CAST(r.v AS DOUBLE) AS total_raw, CAS
 FROM r, c
 """)
 def duplicate_impact(t):
-    return impact(repeated_lines(t.lineitem), "l_quantity")
+    return impact(repeated_lines(t.lineitem), "l_quantity", scale=2)
 
 
 @query(f"""

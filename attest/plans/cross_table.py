@@ -101,7 +101,7 @@ def claimed_totals(t):
         "customer": t.customer.withColumnRenamed("c_acctbal", "total_sales"),
     }
     metrics = {name: reconcile.revenue_column(df) for name, df in tables.items()}
-    return reconcile.metric_totals(tables, metrics, currencies={
+    return reconcile.metric_totals(tables, metrics, scale=2, currencies={
         "orders": "USD", "lineitem": "usd", "line_copy": "USD", "customer": "INR"})
 
 
@@ -151,7 +151,7 @@ def metric_identity(t):
         F.col("l_quantity").alias("quantity"), F.round("l_extendedprice").alias("unit_price"),
         F.expr(f"CAST(CAST(l_quantity AS DECIMAL(18,2)) * CAST(round(l_extendedprice) AS DECIMAL(18,2)) AS DECIMAL(18,2))"
                f" + CAST({BROKEN} AS DECIMAL(18,2))").alias("revenue"))
-    return contract.metric_identity(priced, "revenue", "quantity", "unit_price")
+    return contract.metric_identity(priced, "revenue", "quantity", "unit_price", scale=4)
 
 
 # --- joins ------------------------------------------------------------------
@@ -171,6 +171,18 @@ def active(customer):
     return customer.filter("c_acctbal > 0").select("c_custkey", "c_nationkey")
 
 
+RENAMED = "(SELECT c_custkey AS custkey, c_nationkey AS o_orderkey FROM customer WHERE c_acctbal > 0)"
+
+
+@query(f"""
+SELECT COALESCE(o.custkey, c.custkey) AS custkey, o.o_orderkey AS o_orderkey_x, c.o_orderkey AS o_orderkey_y, o.o_totalprice
+FROM {HOLED} o FULL JOIN {RENAMED} c ON o.custkey = c.custkey
+""")
+def full_join_rows(t):
+    right = active(t.customer).select(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("o_orderkey"))
+    return join_tables(holed(t.orders), right, "custkey", how="full").select("custkey", "o_orderkey_x", "o_orderkey_y", "o_totalprice")
+
+
 @query("\nUNION ALL\n".join(
     f"SELECT '{how}' AS join_type, COUNT(*) AS row_count, COUNT(o.o_orderkey) AS order_count, "
     f"{'CAST(0 AS BIGINT)' if how in ('left_semi', 'left_anti') else 'COUNT(c.c_nationkey)'} AS customer_count "
@@ -194,7 +206,7 @@ SELECT (SELECT COUNT(*) FROM orders) AS left_rows, CAST(SUM(n) AS BIGINT) AS joi
 FROM j
 """)
 def join_fanout(t):
-    return joins.join_report(t.orders, t.lineitem, "o_orderkey", "l_orderkey", "o_totalprice").select(
+    return joins.join_report(t.orders, t.lineitem, "o_orderkey", "l_orderkey", "o_totalprice", scale=2).select(
         "left_rows", "joined_rows", "max_right_copies", "fans_out", "total_before", "total_after")
 
 

@@ -39,12 +39,15 @@ def read_table(
     path: str,
     format: str | None = None,
     schema: T.StructType | str | None = None,
-    encoding: str | None = None,
+    encoding: str = "UTF-8",
+    multi_line: bool = False,
 ) -> DataFrame:
     """A table from a file or folder.
 
     Without a schema the types of a text file are inferred, which reads it once more; give one
-    for large files. Without an encoding the file is searched for invalid UTF-8.
+    for large files. The encoding "auto" searches the file for invalid UTF-8 first, a scan of its own. A quote
+    within quotes is doubled. With `multi_line` quoted values may hold line breaks; such a file is not
+    split, so one task reads it.
     """
     kind = format or format_of(path)
     try:
@@ -54,7 +57,8 @@ def read_table(
             reader = (
                 spark.read.option("header", True)
                 .option("sep", "\t" if kind == "tsv" else ",")
-                .option("encoding", encoding or choose_encoding(spark, path))
+                .option("encoding", choose_encoding(spark, path) if encoding == "auto" else encoding)
+                .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
             )
             reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
             df = reader.csv(path)
@@ -76,12 +80,13 @@ class Checked:
 
 
 def read_checked(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
-                 encoding: str = "UTF-8") -> Checked:
+                 encoding: str = "UTF-8", multi_line: bool = False) -> Checked:
     """A text file against a declared schema; lines that do not fit go to `rejects`, whole."""
     wide = T.StructType(schema.fields + [T.StructField(REJECT, T.StringType())])
     try:
         df = (
             spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+            .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECT)
             .schema(wide).csv(path)
         )
@@ -109,9 +114,10 @@ def require_rows(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def load_tables(spark: SparkSession, paths: dict[str, str], views: bool = False) -> dict[str, DataFrame]:
+def load_tables(spark: SparkSession, paths: dict[str, str], views: bool = False,
+                encoding: str = "UTF-8") -> dict[str, DataFrame]:
     """A table set by name; with `views`, also temporary views for SQL."""
-    tables = {name: read_table(spark, path) for name, path in paths.items()}
+    tables = {name: read_table(spark, path, encoding=encoding) for name, path in paths.items()}
     if views:
         for name, df in tables.items():
             df.createOrReplaceTempView(name)

@@ -232,3 +232,26 @@ def test_positions_of_a_hot_key(spark):
     for group in by_key.values():
         group.sort(key=lambda r: r["v"])
         assert [r["position"] for r in group] == list(range(1, len(group) + 1))
+
+
+def test_sums_keep_small_large_and_infinite_values(spark):
+    small = spark.range(1000).selectExpr("CAST(0.004 AS DOUBLE) AS v", "DATE'2024-01-05' AS d", "id")
+    assert one(duplicate_impact(small, "v"))["total_raw"] == pytest.approx(4.0)
+    assert growth_by_month(small, "d", "v").collect()[0]["value"] == pytest.approx(4.0)
+    odd = spark.createDataFrame([(1.0,), (float("inf"),), (1e17,)], "v double")
+    assert one(duplicate_impact(odd, "v"))["total_raw"] == float("inf")
+    ids = spark.range(20).selectExpr("9000000000000000000 + id AS v")
+    assert one(run(MetricQuery(("t",), "v", "mean"), {"t": ids}))["value"] == pytest.approx(9e18)
+
+
+def test_joins_keep_keys_and_clashing_columns(spark):
+    a = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "n", 3)], "k int, name string, `net.price` int")
+    b = spark.createDataFrame([(1, "x"), (3, "y"), (None, "z")], "k int, name string")
+    full = {(r["k"], r["name_x"], r["name_y"], r["net.price"]) for r in join_tables(a, b, "k", how="full").collect()}
+    assert full == {(1, "a", "x", 1), (2, "b", None, 2), (None, "n", None, 3), (3, None, "y", None), (None, None, "z", None)}
+    assert {r["k"] for r in join_tables(a, b, "k", how="right").collect()} == {1, 3, None}
+
+
+def test_null_in_a_list_is_no_value(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    assert {r["k"] for r in Condition("k", "not_in", ["a", None]).apply(df).collect()} == {"b", None}

@@ -31,7 +31,7 @@ def test_csv_tsv_txt_parquet_give_the_same_table(spark, tmp_path):
         "c": write(tmp_path, "c.txt", "\n".join(",".join(r) for r in rows).encode("utf-8-sig")),
         "d": write(tmp_path, "d.csv", "\n".join(",".join(r) for r in rows).encode("latin1")),
     }
-    tables = load_tables(spark, paths, views=True)
+    tables = load_tables(spark, paths, views=True, encoding="auto")
     tables["a"].write.parquet(str(tmp_path / "e.parquet"))
     tables["e"] = read_table(spark, str(tmp_path / "e.parquet"))
     for df in tables.values():
@@ -70,3 +70,12 @@ def test_undecodable_and_preview(spark):
     df = spark.createDataFrame([("ok", "a�b"), ("x", "y")], "p string, q string")
     assert {r["column"]: r["row_count"] for r in undecodable_rows(df).collect()} == {"p": 0, "q": 1}
     assert preview(spark.range(100).select(F.col("id"))).count() == 25
+
+
+def test_quoted_commas_quotes_and_line_breaks(spark, tmp_path):
+    data = b'id,note,amount\n1,"say ""hi"", now",5\n2,"two\nlines",6\n'
+    path = write(tmp_path, "q.csv", data)
+    rows = read_table(spark, path, schema="id INT, note STRING, amount INT", multi_line=True).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, 'say "hi", now', 5), (2, "two\nlines", 6)]
+    first = read_checked(spark, write(tmp_path, "one.csv", data[:37]), T.StructType.fromDDL("id INT, note STRING, amount INT"))
+    assert first.rows.collect()[0]["note"] == 'say "hi", now'
