@@ -137,7 +137,7 @@ def _sampled(documents: DataFrame, labels: DataFrame, toxic: int, most: int) ->
     return documents.join(F.broadcast(chosen), "doc_id", "left_semi")
 
 
-def _counts(name: str, wanted: frozenset[str] | None):
+def _counts(name: str, wanted: frozenset[str] | None, phrased: bool):
     """Counts of texts for each term, and for phrases of a wanted term with the word before or after it."""
 
     def task(batches):
@@ -148,8 +148,8 @@ def _counts(name: str, wanted: frozenset[str] | None):
                 texts_seen += 1
                 found = terms(set(words))
                 counts.update(found if wanted is None else found & wanted)
-                if wanted is not None:
-                    hits = [i for i, w in enumerate(words) if f" {w} " in wanted]
+                if phrased:
+                    hits = [i for i, w in enumerate(words) if not terms({w}).isdisjoint(wanted)]
                     phrases.update({" ".join(words[i - 1 : i + 1]) for i in hits if i} | {" ".join(words[i : i + 2]) for i in hits})
         counts[""] = texts_seen
         kept = [(t, n, False) for t, n in counts.items()] + [(p, n, True) for p, n in phrases.items()]
@@ -173,8 +173,8 @@ def learn(documents: DataFrame, labels: DataFrame, exceptions: frozenset[str] =
     toxic = written(_sampled(docs, marks, 1, most_toxic), "toxic-sample")
     clean = written(_sampled(docs, marks, 0, most_clean), "clean-sample")
 
-    def summed(df: DataFrame, name: str, wanted: frozenset[str] | None = None) -> DataFrame:
-        counted = df.select("text").mapInArrow(_counts(name, wanted), f"term string, {name} long, phrase boolean")
+    def summed(df: DataFrame, name: str, wanted: frozenset[str] | None = None, phrased: bool = False) -> DataFrame:
+        counted = df.select("text").mapInArrow(_counts(name, wanted, phrased), f"term string, {name} long, phrase boolean")
         return counted.groupBy("term", "phrase").agg(F.sum(name).alias(name))
 
     frequent = summed(toxic, "n").filter((F.col("n") >= least_texts) | (F.col("term") == "")).orderBy(F.desc("n"), "term").limit(8 * most_terms)
@@ -190,11 +190,10 @@ def learn(documents: DataFrame, labels: DataFrame, exceptions: frozenset[str] =
     for t in sorted(good, key=lambda t: (len(t), t)):  # a beginning stands for the longer terms that begin with it
         if not any(t[:n] in weights and weights[t[:n]] >= 0.8 * odds[t] for n in range(4, len(t))):
             weights[t] = odds[t]
-    whole = frozenset(t for t in weights if t.endswith(" "))
     spared = frozenset(exceptions)
-    if whole:
-        tox = summed(toxic, "a", whole).filter("phrase")
-        cln = summed(clean, "b", whole).filter("phrase")
+    if held := frozenset(weights):
+        tox = summed(toxic, "a", held, True).filter("phrase")
+        cln = summed(clean, "b", held, True).filter("phrase")
         rows = cln.filter(F.col("b") >= least_texts).join(tox, ["term", "phrase"], "left").filter(
             F.col("b") / n_clean > F.coalesce("a", F.lit(0)) / n_toxic).orderBy(F.desc("b"), "term").limit(most_terms)
         spared |= {r["term"] for r in rows.collect()}
