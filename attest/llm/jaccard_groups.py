@@ -26,6 +26,7 @@ from attest.llm.shingles import mixed, shingle_sets
 
 BLOCK = 512
 ORDERS = 3
+MET = 3
 COLUMNS = 4096
 _TOKEN_BYTES = 7
 _ROW = "doc_id long, n long, vertex long"
@@ -289,14 +290,18 @@ def join_similar(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
         held = written(held.drop("tokens").join(written(apart, "tokens-apart"), "token", "left_semi").withColumn(
             "tokens", F.count("*").over(in_band)).filter("tokens >= need"), "holders-apart")
     matrix = written(held.select("token", F.col("grp").alias("other")).distinct(), "matrix")
-    # A group that shares `need` of a document's tokens has one among all but its `need` - 1 commonest.
+    # A group that shares `need` of a document's tokens has MET of them among all but its `need` - MET commonest.
+    # Only groups met there are asked for the others.
     common = written(matrix.groupBy("token").agg(F.count("*").alias("groups")), "token-groups")
-    order = in_band.orderBy("groups", "token")
-    probes = held.join(common, "token").withColumn("at", F.row_number().over(order)).filter("at <= tokens - need + 1")
-    met = written(probes.select("token", "vertex", "band", "grp").join(matrix, "token").filter("grp <> other").select(
-        "vertex", "band", "other").distinct(), "groups-met")
-    opened = held.join(met, ["vertex", "band"]).join(matrix, ["token", "other"], "left_semi").groupBy("vertex", "band", "other").agg(
-        F.count("*").alias("overlap"), F.min("need").alias("need")).filter("overlap >= need").select("vertex", "band", "other")
+    ranked = held.join(common, "token").withColumn("at", F.row_number().over(in_band.orderBy("groups", "token")))
+    ranked = written(ranked.withColumn("met", F.least("need", F.lit(MET))).withColumn("probe", F.expr("at <= tokens - need + met")).select(
+        "token", "vertex", "band", "grp", "need", "met", "probe"), "ranked-tokens")
+    one = ["vertex", "band", "other", "need"]
+    met = ranked.filter("probe").join(matrix, "token").filter("grp <> other").groupBy(*one, "met").agg(F.count("*").alias("overlap"))
+    met = written(met.filter("overlap >= met").select(*one, "overlap"), "groups-met")
+    others = ranked.filter("not probe").select("token", "vertex", "band").join(met.drop("overlap"), ["vertex", "band"]).join(
+        matrix, ["token", "other"], "left_semi").select(*one, F.lit(1).cast("long").alias("overlap"))
+    opened = met.unionByName(others).groupBy(*one).agg(F.sum("overlap").alias("overlap")).filter("overlap >= need").select("vertex", "band", "other")
     queries = held.select("token", "vertex", "band", "need", "n").join(written(opened, "opened"), ["vertex", "band"])
     members = held.select("token", F.col("vertex").alias("member"), F.col("grp").alias("other"), F.col("need").alias("other_need"), F.col("n").alias("other_n"))
     pairs = queries.join(members, ["token", "other"]).filter(_sizes_allow(percent)).groupBy(
