@@ -9,7 +9,6 @@ MONTH_NUMBERS = {
 }
 MONTH_TITLES = ["January", "February", "March", "April", "May", "June", "July",
                 "August", "September", "October", "November", "December"]
-DATE_NAME_WORDS = ["date", "time", "created_at", "timestamp", "period", "month", "day", "year"]
 DATE_PARSE_THRESHOLD = 0.7
 TIME_FILTER_WORDS = ["month", "year", "quarter", "date"]
 

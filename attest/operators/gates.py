@@ -133,18 +133,19 @@ def complete(requests: DataFrame) -> DataFrame:
 def with_scope(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """Adds `scope`: the facts of the tables a request names, and `unresolved`: names not found.
 
-    A name is matched without regard to case, else as part of exactly one table name.
+    A name is matched without regard to case, else as part of exactly one table name. A name that two
+    tables have but for case stands for neither.
     """
     names = facts.agg(F.array_sort(F.collect_list(F.lower("table_name")))).scalar()
     entries = F.struct(*[F.col(c) for c in facts.columns])
-    by_name = facts.agg(F.map_from_entries(F.collect_list(F.struct(
-        F.lower("table_name").alias("k"), entries.alias("v"))))).scalar()
+    alone = facts.groupBy(F.lower("table_name").alias("k")).agg(F.any_value(entries).alias("v"), F.count("*").alias("n"))
+    by_name = alone.filter("n = 1").agg(F.map_from_entries(F.collect_list(F.struct("k", "v")))).scalar()
 
     def resolve(name: Column) -> Column:
         lowered = F.lower(name)
         parts = F.filter(F.col("_names"), lambda n: F.contains(n, lowered))
-        return F.when(F.array_contains(F.col("_names"), lowered), lowered).when(
-            F.size(parts) == 1, F.get(parts, F.lit(0)))
+        same = F.size(F.filter(parts, lambda n: n == lowered))
+        return F.when(same == 1, lowered).when((same == 0) & (F.size(parts) == 1), F.get(parts, F.lit(0)))
 
     named = requests.withColumn("_names", names).withColumn("_found", F.transform("tables", resolve))
     pairs = F.arrays_zip(F.col("tables").alias("t"), F.col("_found").alias("f"))

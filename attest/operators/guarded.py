@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.operators import gates, overlap, reconcile
+from attest.operators.ledger import content_sum
 from attest.operators.metric import MetricQuery, MonthOf, run
 
 VERIFIED = {True: "PASSED", False: "FAILED"}
@@ -76,19 +78,22 @@ def answer(query: MetricQuery, tables: dict[str, DataFrame], facts: DataFrame |
 def ledger_record(given: Answer, run_id: str, fingerprints: DataFrame) -> DataFrame:
     """One row for the audit ledger: the payload that a chain hashes.
 
-    A grouped result enters as its row count and total, so the row stays small.
+    A result enters as its row count, its total and a digest of all its rows, so the row stays small.
+    The time is fixed here, so every reading of the row gives the same.
     """
     data = fingerprints.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("fingerprint")), "|"), 256))
     empty = F.lit("")
     primary = secondary = empty
     if not given.refused:
         def digest(side: str):
+            keys = [c for c in given.result.columns if c in given.compared.columns]
             return given.compared.agg(F.to_json(F.struct(
-                F.count(f"{side}_value").alias("rows"), F.sum(f"{side}_value").alias("total")))).scalar()
+                F.count(f"{side}_value").alias("rows"), F.sum(f"{side}_value").alias("total"),
+                content_sum(given.compared, [*keys, f"{side}_value"]).cast("string").alias("content")))).scalar()
         primary, secondary = digest("left"), digest("right")
     return given.verdict.select(
         F.lit(run_id).alias("run_id"),
-        F.current_timestamp().alias("timestamp"),
+        F.lit(datetime.now(timezone.utc)).alias("timestamp"),
         F.substring(data.scalar(), 1, 16).alias("dataset_hash"),
         F.col("evidence").alias("query_plan_json"),
         F.coalesce("reason", empty).alias("code"),

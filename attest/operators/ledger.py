@@ -1,24 +1,24 @@
 """Audit ledger: append-only tables, registry, history, and hash chains verified in parallel.
 
 A chain links each record to the one before it: hash = SHA-256(previous hash | payload), and the
-first record links to a fixed genesis text. Long chains are cut into segments of `segment_size`
-records. The first record of a later segment links to the segment's anchor, a hash over the
-digests of every record before it, so segments are hashed side by side and any change still alters
-every later hash. A chain no longer than one segment is a plain chain.
+first record links to a fixed genesis text. The payload holds the chain id, the position and every
+given field, each with its length before it. Chains are cut into segments of `segment_size` records,
+which the caller states when writing and when verifying. The first record of a later segment links to
+the segment's anchor, a hash over the digests of every record before it, so segments are hashed side
+by side and any change still alters every later hash. A chain no longer than one segment is a plain
+chain. What was cut from the end shows only against heads kept elsewhere (`heads`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attest.functions.values import row_text, value_text
+from attest.functions.values import row_text
 from attest.functions.vocab import GENESIS, HISTORY_ROWS
 from attest.operators.position import with_position
 from attest.session import broadcast_if_small
 
-SEGMENT = 4096
-
 LEDGER_TABLES = {
     "datasets": "id string, filename string, filepath string, upload_time timestamp, "
                 "row_count bigint, column_count int, profile_json string",
@@ -88,41 +88,49 @@ def newest(records: DataFrame, time: str, tie: str, rows: int = HISTORY_ROWS) ->
     return records.orderBy(F.desc(time), F.desc(tie)).limit(rows)
 
 
-def payload(df: DataFrame, columns: list[str]) -> Column:
-    """Fields joined by '|'; a missing field is empty."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    return F.concat_ws("|", *[F.coalesce(value_text(F.col(c), types[c]), F.lit("")) for c in columns])
+def payload(df: DataFrame, chain_id: str, columns: list[str]) -> Column:
+    """Chain id, position and fields, each after its length: no field runs into the next, and a
+    missing field is not an empty one."""
+    return row_text(df, [chain_id, "position", *columns])
+
+
+def record_hash(previous: Column, text: Column) -> Column:
+    return F.sha2(F.concat(previous, F.lit("|"), text), 256)
+
+
+def _segment(size: int) -> Column:
+    return F.floor((F.col("position") - 1) / size).cast("bigint")
 
 
 def chain(records: DataFrame, chain_id: str, order: list[str], columns: list[str],
-          segment_size: int = SEGMENT) -> DataFrame:
+          segment_size: int) -> DataFrame:
     """Adds position, segment, previous_hash and record_hash to every record of every chain."""
-    placed = with_position(
-        records.withColumn("_payload", payload(records, columns)), order, [chain_id])
+    placed = with_position(records, order, [chain_id])
+    placed = placed.withColumn("_payload", payload(placed, chain_id, columns))
     return _linked(placed, chain_id, segment_size).drop("_payload")
 
 
 def extend(stored: DataFrame, records: DataFrame, chain_id: str, order: list[str], columns: list[str],
-           segment_size: int = SEGMENT) -> DataFrame:
+           segment_size: int) -> DataFrame:
     """The rows to append when new records continue stored chains; equal to chaining all at once.
 
     New records stand after the stored ones, in the given order. Only chains that receive records
     are read.
     """
-    placed = with_position(records.withColumn("_payload", payload(records, columns)), order, [chain_id])
+    placed = with_position(records, order, [chain_id])
     ends = stored.groupBy(F.col(chain_id).alias("_c")).agg(F.max("position").alias("_end"))
     fresh = placed.join(ends, F.col(chain_id).eqNullSafe(F.col("_c")), "left").select(
-        *records.columns, "_payload", (F.col("position") + F.coalesce("_end", F.lit(0))).alias("position"),
+        *records.columns, (F.col("position") + F.coalesce("_end", F.lit(0))).alias("position"),
         F.lit(True).alias("_new"))
     touched = records.select(F.col(chain_id).alias("_c")).distinct()
-    old = stored.withColumn("_payload", payload(stored, columns)).join(
-        touched, F.col(chain_id).eqNullSafe(F.col("_c")), "left_semi")
-    old = old.select(*records.columns, "_payload", "position", F.lit(False).alias("_new"))
-    return _linked(old.unionByName(fresh), chain_id, segment_size).filter("_new").drop("_payload", "_new")
+    old = stored.join(touched, F.col(chain_id).eqNullSafe(F.col("_c")), "left_semi")
+    both = old.select(*records.columns, "position", F.lit(False).alias("_new")).unionByName(fresh)
+    both = both.withColumn("_payload", payload(both, chain_id, columns))
+    return _linked(both, chain_id, segment_size).filter("_new").drop("_payload", "_new")
 
 
 def _linked(placed: DataFrame, chain_id: str, size: int) -> DataFrame:
-    placed = placed.withColumn("segment", F.floor((F.col("position") - 1) / size).cast("bigint"))
+    placed = placed.withColumn("segment", _segment(size))
     others = [c for c in placed.columns if c not in (chain_id, "position", "segment", "_payload")]
     # at most `size` records meet in one group
     held = placed.groupBy(chain_id, "segment").agg(F.array_sort(F.collect_list(
@@ -130,8 +138,7 @@ def _linked(placed: DataFrame, chain_id: str, size: int) -> DataFrame:
     anchored = _anchored(held, chain_id, size)
     hashes = F.aggregate(
         F.col("_rows"), F.array(F.col("_anchor")),
-        lambda done, row: F.concat(done, F.array(
-            F.sha2(F.concat(F.element_at(done, -1), F.lit("|"), row["_payload"]), 256))))
+        lambda done, row: F.concat(done, F.array(record_hash(F.element_at(done, -1), row["_payload"]))))
     unfolded = anchored.withColumn("_hashes", hashes).select(
         chain_id, "segment", "_hashes", F.posexplode("_rows").alias("_i", "_row"))
     return unfolded.select(
@@ -181,17 +188,26 @@ def _prefixes(entries: str, start: Column) -> Column:
         F.sha2(F.concat(F.element_at(done, -1), F.lit("|"), entry["_digest"]), 256))))
 
 
-def verify_chain(stored: DataFrame, chain_id: str, columns: list[str],
-                 segment_size: int = SEGMENT) -> DataFrame:
-    """Problems per record: broken_hash, broken_link, repeated_record, missing_record (and
-    missing_segment). No rows: the ledger is whole.
+def heads(stored: DataFrame, chain_id: str) -> DataFrame:
+    """Length and last hash of every chain: what is kept apart from the ledger to notice a cut end."""
+    return stored.groupBy(chain_id).agg(
+        F.max("position").alias("length"), F.max_by("record_hash", "position").alias("last_hash"))
+
+
+def verify_chain(stored: DataFrame, chain_id: str, columns: list[str], segment_size: int,
+                 known: DataFrame | None = None) -> DataFrame:
+    """Problems: broken_hash, broken_link, repeated_record, missing_record, missing_segment, and
+    against the `known` heads missing_end and changed_end. `until` is the last position concerned.
+    No rows: the ledger is whole, up to what `known` tells of its ends.
 
     Hashes are recomputed row by row. Links are checked by sending each record's hash to the next
-    position and folding there. Anchors of later segments are recomputed from the payloads.
+    position and folding there. Anchors of later segments are recomputed from the payloads. The
+    segment of a record follows from its position; a stored one is not read.
     """
-    rows = stored.withColumn("_payload", payload(stored, columns))
+    rows = stored.withColumn("segment", _segment(segment_size)).withColumn(
+        "_payload", payload(stored, chain_id, columns))
     first = (F.col("position") - 1) % segment_size == 0
-    good = F.sha2(F.concat(F.col("previous_hash"), F.lit("|"), F.col("_payload")), 256) == F.col("record_hash")
+    good = record_hash(F.col("previous_hash"), F.col("_payload")).eqNullSafe(F.col("record_hash"))
     own = rows.select(chain_id, "position", first.alias("opens"), good.alias("good"),
                       F.col("previous_hash").alias("link"), F.lit(None).cast("string").alias("sent"))
     sent = rows.select(chain_id, (F.col("position") + 1).alias("position"),
@@ -213,31 +229,54 @@ def verify_chain(stored: DataFrame, chain_id: str, columns: list[str],
         .when(~F.coalesce(F.col("good"), F.lit(False)), "broken_hash")
         .when(~F.col("link").eqNullSafe(F.col("sent")), "broken_link")
     )
-    found = met.filter("records > 0").select(chain_id, "position", problem.alias("problem")).filter(
-        "problem is not null")
-    return found.unionByName(_missing(held, chain_id, segment_size))
+    found = met.filter("records > 0").select(
+        chain_id, "position", F.col("position").alias("until"), problem.alias("problem")).filter("problem is not null")
+    found = found.unionByName(_missing(held, chain_id, segment_size))
+    return found if known is None else found.unionByName(_ends(stored, chain_id, known))
 
 
 def _missing(held: DataFrame, chain_id: str, size: int) -> DataFrame:
-    """Positions without a record before the last one; a segment without any is one row."""
-    lists = held.select(chain_id, "segment", F.transform("_rows", lambda r: r["position"]).alias("_held"))
-    ends = lists.groupBy(chain_id).agg(
-        F.max(F.array_max("_held")).alias("_end"), F.collect_list("segment").alias("_segments"))
+    """Positions without a record before the last one; neighbouring segments without any are one row.
+
+    Each segment is compared with the one before it, so a forged position makes one row, not a list.
+    """
+    before = Window.partitionBy(chain_id).orderBy("segment")
+    lists = held.select(chain_id, "segment", F.transform("_rows", lambda r: r["position"]).alias("_held")).withColumn(
+        "_next", F.lead("segment").over(before)).withColumn("_before", F.coalesce(F.lag("segment").over(before), F.lit(-1)))
     start = F.col("segment") * size + 1
-    expected = F.sequence(start, F.least(start + size - 1, F.col("_end")))
-    records = lists.join(ends.select(chain_id, "_end"), chain_id).select(
-        chain_id, F.explode(F.array_except(expected, F.col("_held"))).alias("position"),
-        F.lit("missing_record").alias("problem"))
-    segments = ends.select(chain_id, F.explode(F.array_except(
-        F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_end") - 1) / size)), F.col("_segments"))).alias("_s"))
-    return records.unionByName(segments.select(
-        chain_id, (F.col("_s") * size + 1).alias("position"), F.lit("missing_segment").alias("problem")))
+    end = F.when(F.col("_next").isNull(), F.array_max("_held")).otherwise(start + size - 1)
+    records = lists.filter("segment >= 0").select(
+        chain_id, F.explode(F.array_except(F.sequence(start, end), F.col("_held"))).alias("position"))
+    segments = lists.filter("segment > _before + 1").select(
+        chain_id, ((F.col("_before") + 1) * size + 1).alias("position"), (start - 1).alias("until"),
+        F.lit("missing_segment").alias("problem"))
+    return records.select(chain_id, "position", F.col("position").alias("until"),
+                          F.lit("missing_record").alias("problem")).unionByName(segments)
+
+
+def _ends(stored: DataFrame, chain_id: str, known: DataFrame) -> DataFrame:
+    """Chains that end before their known length, or had another record there."""
+    ends = known.select(F.col(chain_id).alias("_c"), "length", "last_hash")
+    rows = stored.select(chain_id, "position", "record_hash")
+    met = ends.join(rows, F.col("_c").eqNullSafe(F.col(chain_id)), "left").groupBy("_c", "length", "last_hash").agg(
+        F.coalesce(F.max(F.when(F.col("position") <= F.col("length"), F.col("position"))), F.lit(0)).alias("_end"),
+        F.max(F.when(F.col("position") == F.col("length"), F.col("record_hash"))).alias("_hash"))
+    problem = F.when(F.col("_end") < F.col("length"), "missing_end").when(
+        ~F.col("_hash").eqNullSafe(F.col("last_hash")), "changed_end")
+    return met.select(
+        F.col("_c").alias(chain_id), F.least(F.col("_end") + 1, F.col("length")).alias("position"),
+        F.col("length").alias("until"), problem.alias("problem")).filter("problem is not null")
+
+
+def content_sum(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The sum over rows of the leading 48 bits of each row's MD5."""
+    bits = F.conv(F.substring(F.md5(row_text(df, columns)), 1, 12), 16, 10).cast("decimal(20,0)")
+    return F.coalesce(F.sum(bits), F.lit(0))
 
 
 def fingerprint(df: DataFrame, table: str, columns: list[str] | None = None) -> DataFrame:
     """Content digest of a table that does not depend on the order of rows: row count, and the sum
     of the leading 48 bits of each row's MD5."""
-    bits = F.conv(F.substring(F.md5(row_text(df, columns)), 1, 12), 16, 10).cast("decimal(20,0)")
-    return df.agg(F.count("*").alias("row_count"), F.coalesce(F.sum(bits), F.lit(0)).alias("s")).select(
+    return df.agg(F.count("*").alias("row_count"), content_sum(df, columns).alias("s")).select(
         F.lit(table).alias("table_name"), "row_count", F.col("s").cast("string").alias("content_sum"),
         F.substring(F.sha2(F.concat_ws(":", F.lit(table), "row_count", "s"), 256), 1, 16).alias("fingerprint"))

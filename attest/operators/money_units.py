@@ -44,7 +44,8 @@ def currency_profile(df: DataFrame, table: str) -> DataFrame:
             named.append((table, column, name_currency(column), "column name", None))
         elif column in _text_columns(df):
             by_code = is_currency_column(column)
-            hits = F.array_compact(F.array(code_currency(F.col(column)))) if by_code \
+            code = code_currency(F.col(column))  # other texts of such a column are no currencies
+            hits = F.array_compact(F.array(F.when(code.rlike("^[A-Z]{3}$"), code))) if by_code \
                 else symbol_currencies(F.col(column))
             cells.append(F.struct(F.lit(column).alias("column_name"),
                                   F.lit("code" if by_code else "symbol").alias("origin"),

@@ -54,13 +54,15 @@ def ledger_newest(t):
 
 FIELDS = ["event_id", "event_type", "props"]
 ORDER = ["ts", "event_id"]
-PAYLOAD_SQL = "CAST(event_id AS VARCHAR) || '|' || event_type || '|' || props"
+PAYLOAD_SQL = " || ".join(f"COALESCE(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')"
+                          for c in ("user_id", "position", *FIELDS))
+PLACED_SQL = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events"
 GENESIS_SQL = "'GENESIS_BLOCK_000000000000'"
 
 
 @query(f"""
-WITH c AS (SELECT user_id, list({PAYLOAD_SQL} ORDER BY ts, event_id) AS p, list(event_id ORDER BY ts, event_id) AS ids
-  FROM events GROUP BY user_id),
+WITH c AS (SELECT user_id, list({PAYLOAD_SQL} ORDER BY position) AS p, list(event_id ORDER BY position) AS ids
+  FROM ({PLACED_SQL}) GROUP BY user_id),
 h AS (SELECT user_id, ids, unnest(generate_series(1, len(p))) AS position, p FROM c)
 SELECT user_id, position, ids[position] AS event_id,
   CASE WHEN position = 1 THEN {GENESIS_SQL} ELSE list_reduce(list_prepend({GENESIS_SQL}, p[1:position - 1]), lambda a, x: sha256(a || '|' || x)) END AS previous_hash,
@@ -68,15 +70,15 @@ SELECT user_id, position, ids[position] AS event_id,
 """)
 def ledger_chain(t):
     """One plain chain per user, as long as no user has more records than a segment holds."""
-    return ledger.chain(t.events, "user_id", ORDER, FIELDS).select(
+    return ledger.chain(t.events, "user_id", ORDER, FIELDS, LONG).select(
         "user_id", "position", "event_id", "previous_hash", "record_hash")
 
 
-SMALL = 16
+LONG, SMALL = 4096, 16
 
 
 @query(f"""
-WITH r AS (SELECT user_id, event_id, {PAYLOAD_SQL} AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events),
+WITH r AS (SELECT user_id, event_id, {PAYLOAD_SQL} AS p, position FROM ({PLACED_SQL})),
 s AS (SELECT user_id, (position - 1) // {SMALL} AS segment, list(p ORDER BY position) AS p, list(event_id ORDER BY position) AS ids FROM r GROUP BY ALL),
 d AS (SELECT *, sha256(list_reduce(list_transform(p, lambda x: sha256(x)), lambda a, x: a || x)) AS digest FROM s),
 k AS (SELECT *, list(digest) OVER (PARTITION BY user_id ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM d),
@@ -96,19 +98,27 @@ def ledger_chain_segments(t):
 @query("""
 WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position,
   COUNT(*) OVER (PARTITION BY user_id) AS n FROM events),
-x AS (SELECT user_id, position, CASE WHEN event_id % 97 = 0 THEN 'cut' WHEN event_id % 89 = 0 THEN 'changed' END AS act, n FROM r),
-last AS (SELECT user_id, MAX(position) AS length FROM x WHERE act IS DISTINCT FROM 'cut' GROUP BY user_id),
+x AS (SELECT user_id, position, n, CASE WHEN event_id % 97 = 0 OR user_id % 11 = 0 OR (user_id % 5 = 0 AND position > n - 2) THEN 'cut'
+  WHEN event_id % 89 = 0 THEN 'changed' WHEN event_id % 83 = 0 THEN 'shifted' END AS act FROM r),
+last AS (SELECT user_id, MAX(n) AS n, COALESCE(MAX(position) FILTER (act IS DISTINCT FROM 'cut'), 0) AS length FROM x GROUP BY user_id),
 w AS (SELECT x.*, lag(act) OVER (PARTITION BY x.user_id ORDER BY position) AS before FROM x)
-SELECT w.user_id, position, CASE WHEN act = 'cut' THEN 'missing_record' WHEN act = 'changed' THEN 'broken_hash' ELSE 'broken_link' END AS problem
+SELECT w.user_id, position, position AS until,
+  CASE WHEN act = 'cut' THEN 'missing_record' WHEN act IN ('changed', 'shifted') THEN 'broken_hash' ELSE 'broken_link' END AS problem
 FROM w JOIN last ON w.user_id = last.user_id AND position <= length
 WHERE act IS NOT NULL OR before = 'cut'
+UNION ALL SELECT user_id, length + 1, n, 'missing_end' FROM last WHERE length < n
 """)
 def ledger_verify(t):
-    """A ledger with changed and removed records: what the verification reports."""
-    stored = ledger.chain(t.events, "user_id", ORDER, FIELDS)
-    spoiled = stored.withColumn("event_type", F.when(F.col("event_id") % 89 == 0, F.lit("edited")).otherwise(
-        F.col("event_type"))).filter("event_id % 97 <> 0")
-    return ledger.verify_chain(checkpointed(spoiled), "user_id", FIELDS)
+    """A ledger with changed and removed records, cut ends, removed chains and text moved from one
+    field to the next: what the verification reports against the heads of the whole ledger."""
+    stored = checkpointed(ledger.chain(t.events, "user_id", ORDER, FIELDS, LONG))
+    known = checkpointed(ledger.heads(stored, "user_id"))
+    kept = stored.join(known.select("user_id", "length"), "user_id").filter(
+        "event_id % 97 <> 0 and user_id % 11 <> 0 and not (user_id % 5 = 0 and position > length - 2)").drop("length")
+    edited, shifted = F.col("event_id") % 89 == 0, F.col("event_id") % 83 == 0
+    spoiled = kept.withColumn("props", F.when(shifted & ~edited, F.concat(F.lit("|"), "props")).otherwise(F.col("props"))).withColumn(
+        "event_type", F.when(edited, F.lit("edited")).otherwise(F.col("event_type")))
+    return ledger.verify_chain(checkpointed(spoiled), "user_id", FIELDS, LONG, known)
 
 
 @query("""

@@ -55,13 +55,14 @@ def test_answers_enter_the_ledger(spark, tables, facts):
     given = [answer(MetricQuery(("sales",), "revenue"), tables, facts), answer(MetricQuery(("sales",), "profit"), tables, facts)]
     rows = reduce(DataFrame.unionByName, [ledger_record(g, f"run{i}", marks) for i, g in enumerate(given)])
     records = checkpointed(rows.withColumn("chain", F.lit("day")))
-    chained = checkpointed(ledger.chain(records, "chain", ["timestamp", "run_id"], ledger.PAYLOAD))
-    assert ledger.verify_chain(chained, "chain", ledger.PAYLOAD).count() == 0
+    chained = checkpointed(ledger.chain(records, "chain", ["timestamp", "run_id"], ledger.PAYLOAD, 100))
+    assert ledger.verify_chain(chained, "chain", ledger.PAYLOAD, 100).count() == 0
     found = {r["run_id"]: r for r in chained.collect()}
-    assert found["run0"]["primary_result"] == '{"rows":1,"total":29.5}' == found["run0"]["secondary_result"]
+    assert found["run0"]["primary_result"].startswith('{"rows":1,"total":29.5,"content":"')
+    assert found["run0"]["primary_result"] == found["run0"]["secondary_result"]
     assert (found["run1"]["verification_status"], found["run1"]["confidence"]) == ("NOT_EXECUTED", "LOW")
     better = chained.withColumn("confidence", F.lit("HIGH"))  # every stored field is hashed
-    assert ledger.verify_chain(better, "chain", ledger.PAYLOAD).filter("problem = 'broken_hash'").count() == 1
+    assert ledger.verify_chain(better, "chain", ledger.PAYLOAD, 100).filter("problem = 'broken_hash'").count() == 1
 
 
 def test_collection(spark, tables, tmp_path):

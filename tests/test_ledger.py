@@ -58,7 +58,7 @@ def test_chain_equals_the_loop(runs, size):
     for rows in by_chain.values():
         rows.sort(key=lambda r: r["position"])
         assert [r["at"] for r in rows] == sorted(r["at"] for r in rows)
-        texts = [f"{r['run']}|{'' if r['result'] is None else r['result']}" for r in rows]
+        texts = ["".join("~" if v is None else f"{len(str(v))}:{v}" for v in (r["chain"], r["position"], r["run"], r["result"])) for r in rows]
         assert [(r["previous_hash"], r["record_hash"]) for r in rows] == plain_chain(texts, size)
 
 
@@ -86,19 +86,41 @@ def test_tampering_is_found(runs, size):
     assert all(p[2] == "broken_link" and p[1] % size == 1 and p[1] > 17 for p in changed - {("hot", 17, "broken_hash")})
     # one who changes a record and its own hash breaks the link of the next
     forged = stored.withColumn("result", F.when(hit, -1.0).otherwise(F.col("result")))
-    new = F.sha2(F.concat("previous_hash", F.lit("|"), ledger.payload(forged, FIELDS)), 256)
+    new = ledger.record_hash(F.col("previous_hash"), ledger.payload(forged, "chain", FIELDS))
     assert ("hot", 18, "broken_link") in problems(forged.withColumn("record_hash", F.when(hit, new).otherwise(F.col("record_hash"))))
     gone = problems(stored.filter(~(F.col("chain").eqNullSafe("hot") & F.col("position").between(17, 19))))
     assert {("hot", p, "missing_record") for p in (17, 18, 19)} <= gone and ("hot", 20, "broken_link") in gone
     twice = problems(stored.unionByName(stored.filter(hit)))
     assert ("hot", 17, "repeated_record") in twice
+    empty = problems(stored.withColumn("run", F.when(hit, "").otherwise(F.col("run"))))
+    assert ("hot", 17, "broken_hash") in empty
+    # the stored segment is not trusted, and one forged position does not end the audit
+    assert problems(stored.withColumn("segment", F.lit(7))) == set()
+    far = problems(stored.withColumn("position", F.when(hit, F.lit(10**15)).otherwise(F.col("position"))))
+    assert {("hot", 17, "missing_record"), ("hot", 10**15, "broken_hash")} <= far
+
+
+def test_cut_ends_are_found(runs):
+    stored = checkpointed(ledger.chain(runs, "chain", ["at"], FIELDS, 50))
+    known = checkpointed(ledger.heads(stored, "chain"))
+
+    def problems(df):
+        return {tuple(r) for r in ledger.verify_chain(df, "chain", FIELDS, 50, known).select("chain", "position", "until", "problem").collect()}
+
+    assert problems(stored) == set()
+    assert problems(stored.filter("chain <> 'hot' or position <= 117")) == {("hot", 118, 120, "missing_end")}
+    assert problems(stored.filter("chain <> 'hot'")) == {("hot", 1, 120, "missing_end")}
+    last = F.col("chain").eqNullSafe("hot") & (F.col("position") == 120)
+    forged = stored.withColumn("run", F.when(last, F.lit("x")).otherwise(F.col("run")))
+    new = ledger.record_hash(F.col("previous_hash"), ledger.payload(forged, "chain", FIELDS))
+    assert problems(forged.withColumn("record_hash", F.when(last, new).otherwise(F.col("record_hash")))) == {("hot", 120, 120, "changed_end")}
 
 
 def test_missing_segment(runs):
     stored = checkpointed(ledger.chain(runs, "chain", ["at"], FIELDS, 5))
     left = stored.filter("chain <> 'hot' or segment not in (2, 3)")
-    found = {(r["position"], r["problem"]) for r in ledger.verify_chain(left, "chain", FIELDS, 5).collect()}
-    assert {(11, "missing_segment"), (16, "missing_segment"), (21, "broken_link")} <= found
+    found = {(r["position"], r["until"], r["problem"]) for r in ledger.verify_chain(left, "chain", FIELDS, 5).collect()}
+    assert {(11, 20, "missing_segment"), (21, 21, "broken_link")} <= found
 
 
 def test_append_registry_and_history(spark, tmp_path):
