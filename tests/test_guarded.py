@@ -77,3 +77,9 @@ def test_collection(spark, tables, tmp_path):
     found.save(str(tmp_path / "profiles"))
     stored = spark.read.parquet(str(tmp_path / "profiles" / "tables"))
     assert {r["table_name"]: r["duplicate_count"] for r in stored.collect()}["copies"] == 1
+
+
+def test_table_names_that_clash_are_refused(spark, tables):
+    clash = {"Sales": tables["sales"], "sales": tables["sales"]}
+    given = answer(MetricQuery(("sales",), "revenue"), clash, checkpointed(gates.table_facts(clash)))
+    assert given.refused
