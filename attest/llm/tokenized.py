@@ -36,7 +36,7 @@ def _pattern(splitter: dict | None) -> str | None:
 class TextEncoder:
     """Encodes texts with a tokenizer file. `drops_space`: the tokenizer's words never hold white space.
 
-    Pieces between spaces are normalised by the library together, split by the file's pattern, and each
+    Pieces between spaces are normalised by the library one by one, split by the file's pattern, and each
     distinct word is merged by the library's model. Other kinds of file are left to the library whole.
     """
 
@@ -68,8 +68,7 @@ class TextEncoder:
         if len(self._merged) > 600_000:
             self._merged.clear()
         if normalizer := self._tokenizer.normalizer:
-            parts = normalizer.normalize_str(" ".join(new)).split(" ")
-            new = parts if len(parts) == len(new) else [normalizer.normalize_str(w) for w in new]
+            new = [normalizer.normalize_str(w) for w in new]  # alone: a normaliser can drop, merge or add white space
         ids, lengths = [], []
         for piece in new:
             before = len(ids)

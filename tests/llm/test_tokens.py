@@ -5,6 +5,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 
 from attest.llm import byte_bpe, packing, token_files
 from attest.llm.token_files import TokenFile, pack_block, unpack_block, write_file
+from attest.llm.tokenized import TextEncoder
 
 RANKS, BYTE, WORD = (P.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -87,6 +89,14 @@ def test_token_files(spark, odd_documents):
     assert token_files.read_token_files(none).count() == 0
 
 
+def test_blank_lines_and_inner_white_space_keep_words_apart():
+    encoder = TextEncoder(WORD, 2, drops_space=True)
+    for texts in (["x\n\na\tb"], ["second line\n\nthird"], ["a\u00a0b  c", "\r\n\r\nd\re f"], [" a", "\t", "", "c\n\nx"]):
+        ids, counts = encoder(pa.array(texts))
+        expected = [by_library(WORD, t, 2) for t in texts]
+        assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**40) | st.just(2**64 - 1) | st.integers(0, 9), min_size=1, max_size=300), st.sampled_from([0.5, 0.95, 1.0]))
 def test_blocks_round_trip(values, share):
