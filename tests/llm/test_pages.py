@@ -8,6 +8,7 @@ import pytest
 
 from attest.llm import page_text, warc
 
+MENU_LINES = ["Start", "Shop"]
 MENU = "<div><p>Start</p><p>Shop</p></div>"
 
 
@@ -38,6 +39,31 @@ def test_shared_lines_go_and_copies_stay(spark):
     assert page_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_copies_are_told_from_templates(spark):
+    story, tale = ([f"{name} paragraph {i} of some length" for i in range(9)] for name in ("story", "tale"))
+    body = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    near = [body([*MENU_LINES, *story, f"edition {i}"]) for i in range(40)]
+    rows = [(i, f"http://n.org/a/{i:02}", html) for i, html in enumerate(near)]  # near copies without article
+    rows += [(100, "http://n.org/b", body([*MENU_LINES, *tale]))]  # the only unlike page, beyond the run of copies
+    rows += [(200 + i, f"http://p.org/{i}", body([*story, f"edition {i}"])) for i in range(2)]  # a pair alone on its host
+    rows += [(300 + i, f"http://t.org/{i}", f"{MENU}<article>{body(texts)}</article><p>Imprint</p>") for i, texts in enumerate((story[:1], tale[:1]))]
+    rows += [(400 + i, f"http://x.org/{i}", f"{MENU}<article>{body(story)}</article>") for i in range(3)]  # exact copies, then another page
+    rows += [(403, "http://x.org/9", f"{MENU}<article>{body(tale)}</article>"), (404, "http://x.org/0a", ""), (405, "http://x.org/0b", "<article>x</article>")]
+    expected = {i: "\n".join([*story, f"edition {i}"]) for i in range(40)} | {100: "\n".join(tale)}
+    expected |= {200 + i: "\n".join([*story, f"edition {i}"]) for i in range(2)} | {300: story[0], 301: tale[0]}
+    expected |= {400 + i: "\n".join(story) for i in range(3)} | {403: "\n".join(tale), 404: "", 405: "x"}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for partitions in ("1", "13"):  # runs of copies within a partition, and over many
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert {r.page_id: r.text for r in page_text.main_text(pages).collect()} == expected
+    finally:
+        for c, value in kept.items():
+            spark.conf.set(c, value)
+
+
 def test_archives(spark):
     big, other = "<p>é</p>" * 200, "y" * 1000
     rows = [(3, "http://a", big), (9, "http://b\r\nX: y", big), (4, None, big), (5, "u", "small"), (6, "u", "small"), (7, "u", None), (None, "u", big),
