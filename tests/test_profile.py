@@ -134,6 +134,27 @@ def test_overlap_bounds_are_strict(spark):
     assert {(r["table_a"], r["table_b"]) for r in best} == {("a", "e"), ("b", "c"), ("c", "e")}
 
 
+def test_every_class_of_columns_can_be_a_key(spark):
+    def table(*columns):
+        return spark.sql(f"SELECT {', '.join(columns)} FROM (SELECT explode(array(1, 2, 3, 4, NULL)) AS i)")
+
+    tables = {
+        "a": table("CAST(i / 4 AS decimal(9,2)) AS price", "date_add(DATE'2024-01-31', i) AS day", "timestamp_micros(i * 1000001) AS at",
+                   "CAST(i * 0.1BD AS double) AS rate", "i > 2 AS flag", "CAST(i AS decimal(38,4)) AS id", "CAST(i AS bigint) * 9007199254740993 AS wide"),
+        "b": table("CAST((i + 1) / 4 AS decimal(20,7)) AS price", "date_add(DATE'2024-01-31', i + 1) AS day", "timestamp_micros((i + 1) * 1000001) AS at",
+                   "CAST((i + 1) * 0.1BD AS decimal(9,3)) AS rate", "i < 9 AS flag", "CAST(i + 1 AS double) AS id", "CAST(i AS decimal(38,0)) * 9007199254740993 AS wide"),
+        "c": table("nanvl(CAST('NaN' AS double), CAST('NaN' AS double)) AS rate", "i + 1 AS id", "CAST(i AS string) AS day"),
+    }
+    expected = {("a", "b", k): n for k, n in (("price", 3), ("day", 3), ("at", 3), ("rate", 3), ("flag", 1), ("id", 3), ("wide", 4))}
+    expected |= {("a", "c", "id"): 3, ("b", "c", "id"): 4}
+    for found in (overlap.key_overlap(tables), overlap.key_overlap_sketch(tables)):
+        assert {(r["table_a"], r["table_b"], r["join_key"]): r["overlap_count"] for r in found.collect()} == expected
+    only = overlap.key_overlap(tables, classes=("date", "boolean")).collect()
+    assert {r["join_key"] for r in only} == {"day", "flag"}
+    with pytest.raises(ValueError):
+        overlap.key_overlap(tables, classes=("dates",))
+
+
 def test_overlap_of_many_tables_and_a_hot_value(spark):
     tables = {f"t{i:02d}": spark.range(1000).select(F.when(F.col("id") < 700, 7).otherwise(F.col("id") + i).alias("k"))
               for i in range(0, 130, 2)}
