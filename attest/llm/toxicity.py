@@ -8,6 +8,7 @@ log odds of toxic texts. Hits within an exception phrase do not count.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
@@ -30,6 +31,12 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 # Marks that are put between letters to hide a word.
 DROPPED = "*_'’​‌‍⁠﻿­"
 
+SIGNS = "!|$@"
+STOPS = ".,;:?\"()[]{}"
+# What is no letter at the start of a word: stops, and signs with no letter or digit after them.
+_START = re.compile(r"^(?:[.,;:?\"()\[\]{}]|[!|$@]+(?![!|$@]*[^\W_]))+")
+_LEADING = re.compile(r"(?<!\S)[.,;:?\"()\[\]{}!|$@]*[!|$@][^\W_]")
+
 MOST_TOXIC = 4_000
 MOST_CLEAN = 16_000
 MOST_TERMS = 20_000
@@ -55,14 +62,28 @@ class _Fold(dict):
         return out
 
 
-def folded_words(text: str, fold: _Fold) -> list[str]:
-    """Words of a folded text. A sign at the end of a word ends a sentence, and is no letter."""
+def folded_words(text: str, fold: _Fold, known=None) -> list[str]:
+    """Words of a folded text. A sign at the end of a word ends a sentence, and is no letter.
+
+    A sign before a letter or digit stands for a letter, save in prices. With `known`, the terms of a lexicon, it
+    does so only where the word is known that way: `$tupid` is `stupid`, `@clown` a clown who is called.
+    """
     out = []
     for word in text.split():
-        word = word.strip("!|$@.,;:?\"()[]{}")
-        if word.isdigit():
+        word = word.rstrip(SIGNS + STOPS)
+        if not word or word.isdigit():
+            continue
+        if word[0].isalnum():
+            out += word.translate(fold).split()
+            continue
+        word = _START.sub("", word)
+        bare = word.lstrip(SIGNS)
+        if word.isdigit() or (bare.isdigit() and word[0] != "@"):
             continue
-        out += word.translate(fold).split()
+        words = word.translate(fold).split()
+        if bare != word and known is not None and not any(t in known for t in terms(set(words))):
+            words = [] if bare.isdigit() else bare.translate(fold).split()
+        out += words
     return out
 
 
@@ -98,7 +119,7 @@ def measures(text: str, fold: _Fold, automaton) -> tuple[float, float]:
 
     A word counts once, by its heaviest term; a word within an exception phrase does not count.
     """
-    words = folded_words(text, fold)
+    words = folded_words(text, fold, automaton)
     if not words or not len(automaton):
         return 0.0, 0.0
     line = f" {' '.join(words)} "
@@ -144,9 +165,11 @@ def _counts(name: str, wanted: frozenset[str] | None, phrased: bool):
         fold, counts, phrases, texts_seen = _Fold(), Counter(), Counter(), 0
         for _, texts in text_batches(batches):
             for text in texts:
-                words = folded_words(text, fold)
+                words = folded_words(text, fold, wanted)
                 texts_seen += 1
                 found = terms(set(words))
+                if _LEADING.search(text):  # with the sign as a letter, and without it
+                    found |= terms({*folded_words(text, fold), *folded_words(text, fold, ())})
                 counts.update(found if wanted is None else found & wanted)
                 if phrased:
                     hits = [i for i, w in enumerate(words) if not terms({w}).isdisjoint(wanted)]

@@ -19,6 +19,18 @@ def test_folding():
     assert toxicity.folded_words("You ID10T! pаthetiс* l0$er, 2024 naïve st-upid", fold) == ["you", "idiot", "pathetic", "loser", "naive", "st", "upid"]
 
 
+def test_signs_at_the_start_of_a_word():
+    fold = toxicity._Fold()
+    text = '$tupid "@sshole!" (!diot) $$hole @55 |oser! costs $100, $5. or !? $ ok@ "@"'
+    assert toxicity.folded_words(text, fold) == ["stupid", "asshole", "idiot", "sshole", "ass", "loser", "costs", "or", "ok"]
+    automaton = toxicity.Lexicon({" stup": 3.0, " ass": 3.0, " clown ": 3.0}, frozenset()).automaton()
+    plain = toxicity.measures("you stupid", fold, automaton)
+    assert plain[0] > 0
+    for word in ("$tupid", "@ss", "@clown", "|clown|", "!clown!", "($tupid)"):
+        assert toxicity.measures(f"you {word}", fold, automaton) == plain
+    assert toxicity.measures("you @home $100", fold, automaton) == (0.0, 0.0)
+
+
 def labelled(spark):
     filler = ["quiet river over stones", "the meeting starts at noon", "rain falls on green hills", "my sister plays chess", "bring the blue folder"]
     rows = []
