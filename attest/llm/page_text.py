@@ -39,6 +39,15 @@ BOILERPLATE_NAMES = frozenset(
 CONTENT = frozenset(("article", "main"))
 # Elements that stay open until they are closed, or an element around them is.
 _NESTED = frozenset("article main section div nav header footer aside form menu dialog head body ul ol dl table figure details".split())
+# Elements that a start tag of others ends.
+_ROWS = frozenset("tr tbody thead tfoot".split())
+_ENDED_BY = {
+    "p": frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
+    "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")),
+    "td": _ROWS | {"td", "th"}, "th": _ROWS | {"td", "th"}, "tr": _ROWS, "option": frozenset(("option",)),
+}
+# The header of a heading or of a table is text.
+_TITLES = frozenset("h1 h2 h3 h4 h5 h6 th td tr thead caption".split())
 
 # Pages are copies or near copies if they share so much of their lines, and of the text in them.
 COPY_LINES = 0.8
@@ -59,13 +68,23 @@ def lines(html: str) -> list[tuple[str, bool]]:
 
     def end_line() -> None:
         if held:
-            if not open_[-1][1] and (text := " ".join(unescape("".join(held)).split())):
+            if text := " ".join(unescape("".join(held)).split()):
                 found.append((text, open_[-1][2]))
             held.clear()
 
+    def close(name: str) -> bool:
+        """Ends the element; those that are not nested are looked for up to the innermost nested one."""
+        for i in range(len(open_) - 1, 0, -1):
+            if open_[i][0] == name:
+                del open_[i:]
+                return True
+            if open_[i][0] in _NESTED and name not in _NESTED:
+                return False
+        return False
+
     at = 0
     for token in _TOKEN.finditer(html):
-        if token.start() > at:
+        if token.start() > at and not open_[-1][1]:
             held.append(html[at : token.start()])
         at = token.end()
         if token[1]:
@@ -74,23 +93,33 @@ def lines(html: str) -> list[tuple[str, bool]]:
         if not token[3]:
             continue
         name = token[3].lower()
-        if name in INLINE:
+        inline = name in INLINE
+        if inline:
             if name in ("br", "img"):
                 held.append(" ")
-            continue
-        end_line()
+        else:
+            end_line()
         if token[2]:
-            if name in _NESTED:
-                for i in range(len(open_) - 1, 0, -1):
-                    if open_[i][0] == name:
-                        del open_[i:]
-                        break
-        elif name not in VOID and name in _NESTED and not token[4].endswith("/"):
-            _, skip, content = open_[-1]
-            own = name in CONTENT
-            skip = skip or name in BOILERPLATE or (name == "header" and not content) or (not own and name != "body" and not BOILERPLATE_NAMES.isdisjoint(_names(token[4])))
-            open_.append((name, skip, content or own))
-    if at < len(html):
+            if not close(name) and not inline:
+                while open_[-1][0] in INLINE:  # left open in the element that ends
+                    open_.pop()
+            continue
+        if not inline:
+            while name in _ENDED_BY.get(open_[-1][0], ()):
+                open_.pop()
+        if name in VOID or token[4].endswith("/"):
+            continue
+        _, skip, content = open_[-1]
+        own = name in CONTENT
+        named = False
+        if not own and name != "body" and token[4]:
+            names = _names(token[4])
+            named = not BOILERPLATE_NAMES.isdisjoint(names - {"header"} if name in _TITLES else names)
+        if name in _NESTED:
+            open_.append((name, skip or named or name in BOILERPLATE or (name == "header" and not content), content or own))
+        elif name != "html" and (named or any(name == other[0] for other in open_)):
+            open_.append((name, skip or named, content))
+    if at < len(html) and not open_[-1][1]:
         held.append(html[at:])
     end_line()
     return found

@@ -18,6 +18,16 @@ def test_lines_know_articles_and_boilerplate():
     assert page_text.lines(html) == [("A & B", True), ("bold text.", True), ("next é", True)]
 
 
+def test_every_element_can_name_itself_boilerplate():
+    html = ("<article><h2 class=header>A</h2><p class='notice'>paid<p>one <span class=ad>buy <span>now</span></span>two <span class=share>left open</p><p>three</p>"
+            "<ul><li class=promo>x<ul><li>y</li>z</ul>w<li>four</ul><table><tr><td class=sponsored>s<td>five<tr class=ad><td>t</tr><tr><td>six</table>"
+            "<button class=share>Share</button><label class=cookie>c</label>seven<blockquote class=related>r<blockquote>q</blockquote>o</blockquote>eight"
+            "<a class=promo href=x><b>deal</b></a><img class=ad> <br class=ad>nine</article><p>last")
+    texts = ["A", "one two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    found = page_text.lines(html)
+    assert [t for t, _ in found] == [*texts[:7], "eight nine", "last"] and [c for _, c in found] == [True] * 8 + [False]
+
+
 def test_longest_common_subsequence():
     assert page_text.shared_lines(list("abcxdye"), list("abzcde")) == {0, 1, 2, 4, 6}
     assert page_text.shared_lines([], [1]) == set()
