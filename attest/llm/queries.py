@@ -64,7 +64,17 @@ def op3_page_text(spark: SparkSession, folder: str) -> DataFrame:
     return page_text.main_text(table(spark, folder, "pages"))
 
 
-@query()
+@query(f"""
+WITH payloads AS (
+  SELECT CAST(page_id AS BIGINT) AS page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+    sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),
+origins AS (
+  SELECT *, CASE WHEN payload_bytes >= {warc.LEAST_REVISIT_BYTES} THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS origin FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN origin IS NULL OR page_id IS NOT DISTINCT FROM origin THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM origin THEN origin END AS refers_to
+FROM origins
+""")
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(warc.normalise(warc.write_archives(table(spark, folder, "pages"))))
 

@@ -4,9 +4,11 @@ import gzip
 import hashlib
 import io
 
+import duckdb
 import pytest
 
 from attest.llm import page_text, warc
+from attest.llm.queries import QUERIES, SQL
 
 MENU_LINES = ["Start", "Shop"]
 MENU = "<div><p>Start</p><p>Shop</p></div>"
@@ -90,6 +92,18 @@ def test_archives(spark):
     assert warc.read_archives(warc.normalise(warc.write_archives(pages.limit(0)))).count() == 0
 
 
+def test_sql_of_archives(spark, tmp_path):
+    big = "<p>é</p>" * 200
+    rows = [(3, big), (9, big), (9, big), (4, big), (None, big), (5, "small"), (6, "small"), (7, None), (8, ""), (None, "y" * 1000), (1, "z" * 999), (2, "z" * 999), (10, "w" * 1000)]
+    spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        expected = db.execute(SQL["op5_warc"]).fetchall()
+    found = QUERIES["op5_warc"](spark, str(tmp_path))
+    assert found.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str) and len(expected) == len(rows)
+
+
 def test_gzip_streams():
     data = b"abc" * 500_000
     for packed in (gzip.compress(data), gzip.compress(data[:7]) + gzip.compress(b"") + gzip.compress(data[7:])):
