@@ -46,6 +46,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain_names(df: DataFrame, *kept: str) -> DataFrame:
+    """`df` with columns numbered, save those in `kept`: the Arrow maps of Spark take no names with dots."""
+    return df.toDF(*(c if c in kept else f"column{i}" for i, c in enumerate(df.columns)))
+
+
 def slices(lengths: list[int], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of at most `most` characters together."""
     start = held = 0

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.llm import byte_bpe, hyperplanes, jaccard_groups, order_minhash, packing, page_text, repeats, token_files, toxicity, warc
+from attest.llm import byte_bpe, conversations, fill_middle, hyperplanes, jaccard_groups, order_minhash, packing, page_text, quality, repeats, token_files, toxicity, warc
 from attest.session import configure
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,43 @@ def op2_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return compared.select(
         "doc_id", "n_chars", "edited_sha256", order_minhash.as_text(F.col("fingerprint")).alias("fingerprint"),
         order_minhash.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+QUALITY_HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
+
+
+@query()
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.learn(documents, table(spark, folder, "labels").filter(f"not ({QUALITY_HELD_OUT})"))
+    return quality.score(documents, model).select(
+        "doc_id", F.coalesce(F.expr(QUALITY_HELD_OUT), F.lit(False)).alias("held_out"), F.col(quality.SCORE).alias("score"),
+        F.expr(f"if({quality.SCORE} >= 0.7, 1, 0)").alias("predicted"))
+
+
+@query()
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, folder, "conversations")))
+
+
+@query("""
+WITH given AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT *, CAST(len(parts) - CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS BIGINT) AS n,
+    CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM given),
+cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM lines),
+pieces AS (
+  SELECT *, CASE WHEN a = 0 THEN '' WHEN a = n THEN text ELSE array_to_string(parts[1:a], chr(10)) || chr(10) END AS prefix,
+    CASE WHEN b = 0 THEN '' WHEN b = n THEN text ELSE array_to_string(parts[1:b], chr(10)) || chr(10) END AS head FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(head) - length(prefix) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || text[length(head) + 1:] || '<M>' || head[length(prefix) + 1:]
+    ELSE '<S>' || text[length(head) + 1:] || '<P>' || prefix || '<M>' || head[length(prefix) + 1:] END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM pieces
+""")
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.restore(fill_middle.rearrange(table(spark, folder, "documents"), seed=7)).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
