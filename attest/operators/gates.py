@@ -1,8 +1,8 @@
 """Gates: which metric requests the data can support, and why not the others.
 
-A request is a row. Facts about tables are one row per table, so they are bounded by the catalog;
-they reach the requests as one value, computed once. A batch of requests is then judged without any
-join or shuffle.
+A request is a row, and so is every fact. The names that requests mention are looked up in an index of the parts of table
+names, once for each different list of tables; facts, key pairs and contradicting totals join that list, and
+the lists join the requests. No plan holds a value that grows with the catalog or with the requests.
 """
 
 from __future__ import annotations
@@ -114,11 +114,6 @@ def table_facts(tables: dict[str, DataFrame], parts: tuple[str, ...] = FACTS) ->
         for n, d in empty.items()]))
 
 
-def _one_value(df: DataFrame, *columns) -> Column:
-    """All rows of a catalog-sized frame as one array value."""
-    return df.agg(F.array_sort(F.collect_list(F.struct(*columns)))).scalar()
-
-
 # --- judging ----------------------------------------------------------------
 
 
@@ -130,31 +125,79 @@ def complete(requests: DataFrame) -> DataFrame:
     return requests
 
 
-def with_scope(requests: DataFrame, facts: DataFrame) -> DataFrame:
-    """Adds `scope`: the facts of the tables a request names, and `unresolved`: names not found.
+def name_index(facts: DataFrame) -> DataFrame:
+    """The inverted index of table names: every lower-case part of a name (`part`) and the table it stands for (`found`).
 
-    A name is matched without regard to case, else as part of exactly one table name. A name that two
-    tables have but for case stands for neither.
+    A name stands for its table without regard to case, a part of it where no other name holds it. A name that two
+    tables have but for case stands for neither. A name of n characters has at most n * (n + 1) / 2 + 1 parts, and each part one row.
     """
-    names = facts.agg(F.array_sort(F.collect_list(F.lower("table_name")))).scalar()
+    names = facts.select(F.lower("table_name").alias("name"))
+    size = F.length("name")
+    parts = F.transform(F.sequence(F.lit(1), size), lambda start: F.transform(
+        F.sequence(F.lit(1), size - start + 1), lambda n: F.substring(F.col("name"), start, n)))
+    listed = names.select("name", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(parts)))).alias("part"))
+    folded = listed.groupBy("part").agg(
+        F.count_if(F.col("part") == F.col("name")).alias("whole"), F.count("*").alias("n"), F.min("name").alias("name"))
+    found = F.when(F.col("whole") == 1, F.col("part")).when((F.col("whole") == 0) & (F.col("n") == 1), F.col("name"))
+    return folded.select("part", found.alias("found")).filter("found is not null")
+
+
+def table_lists(requests: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different lists of tables that requests name: (`listed`, `scope`, `unresolved`), and (`listed`, `found`), a row for each table in
+    scope. Requests are folded to their lists before anything is joined."""
     entries = F.struct(*[F.col(c) for c in facts.columns])
-    alone = facts.groupBy(F.lower("table_name").alias("k")).agg(F.any_value(entries).alias("v"), F.count("*").alias("n"))
-    by_name = alone.filter("n = 1").agg(F.map_from_entries(F.collect_list(F.struct("k", "v")))).scalar()
-
-    def resolve(name: Column) -> Column:
-        lowered = F.lower(name)
-        parts = F.filter(F.col("_names"), lambda n: F.contains(n, lowered))
-        same = F.size(F.filter(parts, lambda n: n == lowered))
-        return F.when(same == 1, lowered).when((same == 0) & (F.size(parts) == 1), F.get(parts, F.lit(0)))
-
-    named = requests.withColumn("_names", names).withColumn("_found", F.transform("tables", resolve))
-    pairs = F.arrays_zip(F.col("tables").alias("t"), F.col("_found").alias("f"))
-    return named.withColumn("_facts", by_name).select(
-        *requests.columns,
-        F.transform(F.array_distinct(F.array_compact("_found")),
-                    lambda n: F.element_at(F.col("_facts"), n)).alias("scope"),
-        F.transform(F.filter(pairs, lambda p: p["f"].isNull()), lambda p: p["t"]).alias("unresolved"),
-    )
+    alone = facts.groupBy(F.lower("table_name").alias("name")).agg(F.any_value(entries).alias("fact"), F.count("*").alias("n"))
+    mentioned = requests.select(F.col("tables").alias("listed")).distinct().select("listed", F.posexplode("listed").alias("at", "mention"))
+    met = mentioned.join(name_index(facts), F.lower("mention") == F.col("part"), "left").drop("part")
+    met = met.join(alone.filter("n = 1").drop("n"), F.col("found") == F.col("name"), "left")
+    members = met.filter("found is not null").select("listed", "found").distinct()
+    held = met.groupBy("listed").agg(F.array_sort(F.collect_list(F.struct("at", "mention", "found", "fact"))).alias("held"))
+    scopes = held.select(
+        "listed", F.array_distinct(F.transform(F.filter("held", lambda h: h["found"].isNotNull()), lambda h: h["fact"])).alias("scope"),
+        F.transform(F.filter("held", lambda h: h["found"].isNull()), lambda h: h["mention"]).alias("unresolved"))
+    return scopes, members
+
+
+def _between(members: DataFrame, pairs: DataFrame, columns: list[Column], name: str) -> DataFrame:
+    """For each list of tables, the rows of `pairs` (table_a, table_b) with both tables in it, as one array `name`."""
+    named = pairs.select(F.lower("table_a").alias("_a"), F.lower("table_b").alias("_b"), F.struct(*columns).alias("_pair"))
+    second = members.select(F.col("listed").alias("_listed"), F.col("found").alias("_found"))
+    met = members.join(named, F.col("found") == F.col("_a")).join(
+        second, (F.col("listed") == F.col("_listed")) & (F.col("_b") == F.col("_found")), "left_semi")
+    return met.groupBy("listed").agg(F.array_sort(F.collect_list("_pair")).alias(name))
+
+
+_PAIR_TYPE = "array<struct<table_a:string,table_b:string,join_key:string,best:double>>"
+_CLAIM_TYPE = ("array<struct<table_a:string,table_b:string,metric:string,value_a:double,"
+               "value_b:double,difference_pct:double,column_a:string,column_b:string>>")
+
+
+def with_scope(requests: DataFrame, facts: DataFrame, relationships: DataFrame | None = None,
+               contradictions: DataFrame | None = None) -> DataFrame:
+    """Adds what a request's tables bring: `scope` (their facts), `unresolved` (names not found), `_pairs` (recommended keys
+    between them) and `_claims` (totals on which they differ)."""
+    scopes, members = table_lists(requests, facts)
+    if relationships is not None:
+        scopes = scopes.join(_between(members, relationships.filter("is_recommended"), [
+            F.lower("table_a").alias("table_a"), F.lower("table_b").alias("table_b"), F.col("join_key"),
+            F.greatest("ratio_a", "ratio_b").alias("best")], "_pairs"), "listed", "left")
+    if contradictions is not None:
+        for column in ("column_a", "column_b"):
+            if column not in contradictions.columns:
+                contradictions = contradictions.withColumn(column, F.lit(None).cast("string"))
+        scopes = scopes.join(_between(members, contradictions, [F.col(c) for c in (
+            "table_a", "table_b", "metric", "value_a", "value_b", "difference_pct", "column_a", "column_b")], "_claims"), "listed", "left")
+    empty = {"scope": f"array<{_fact_type(facts)}>", "unresolved": "array<string>", "_pairs": _PAIR_TYPE, "_claims": _CLAIM_TYPE}
+    # Where all requests name one list, it is a literal, and without a key of its own the join would have none left.
+    same = F.xxhash64(requests["request_id"]).bitwiseAND(F.lit(0)) == F.xxhash64(scopes["scope"]).bitwiseAND(F.lit(0))
+    met = requests.join(scopes, requests["tables"].eqNullSafe(F.col("listed")) & same, "left")
+    return met.select(*[requests[c] for c in requests.columns], *[
+        F.coalesce(F.col(n), F.expr(f"cast(array() as {kind})")).alias(n) if n in scopes.columns else F.expr(f"cast(array() as {kind})").alias(n)
+        for n, kind in empty.items()])
+
+
+def _fact_type(facts: DataFrame) -> str:
+    return facts.schema.simpleString()
 
 
 def _refusal(test: Column, rule: str, reason: Column, issue: str, needed: str) -> Column:
@@ -198,25 +241,12 @@ def judge(requests: DataFrame, facts: DataFrame, relationships: DataFrame | None
           contradictions: DataFrame | None = None) -> DataFrame:
     """Verdict rows: request_id, verdict, confidence, rule, reason, data_issue, needed, assumptions,
     advisories, evidence. Rules are tried in order; the first that fires refuses the request."""
-    scoped = with_scope(complete(requests), facts)
-    pair_type = "array<struct<table_a:string,table_b:string,join_key:string,best:double>>"
-    pairs = _one_value(
-        relationships.filter("is_recommended"),
-        F.lower("table_a").alias("table_a"), F.lower("table_b").alias("table_b"), "join_key",
-        F.greatest("ratio_a", "ratio_b").alias("best"),
-    ) if relationships is not None else F.expr(f"cast(array() as {pair_type})")
-    claim_type = ("array<struct<table_a:string,table_b:string,metric:string,value_a:double,"
-                  "value_b:double,difference_pct:double>>")
-    claims = _one_value(
-        contradictions, "table_a", "table_b", "metric", "value_a", "value_b", "difference_pct",
-    ) if contradictions is not None else F.expr(f"cast(array() as {claim_type})")
-
+    scoped = with_scope(complete(requests), facts, relationships, contradictions)
     metric = F.lower("metric")
     columns = _over_scope(lambda t: t["columns"])
     names = F.transform("scope", lambda t: F.lower(t["table_name"]))
     scoped = (
-        scoped.withColumn("_pairs", pairs).withColumn("_claims", claims)
-        .withColumn("_columns", F.array_distinct(columns))
+        scoped.withColumn("_columns", F.array_distinct(columns))
         .withColumn("_numeric", F.array_distinct(_over_scope(lambda t: t["numeric_columns"])))
         .withColumn("_in_scope", names)
         .withColumn("_currencies", F.array_sort(F.array_distinct(_over_scope(lambda t: t["currencies"]))))
@@ -225,14 +255,11 @@ def judge(requests: DataFrame, facts: DataFrame, relationships: DataFrame | None
         .withColumn("_duplicates", F.aggregate(
             "scope", F.lit(0).cast("bigint"), lambda acc, t: acc + t["duplicate_count"]))
         .withColumn("_keys", F.transform(F.array_sort(F.transform(
-            F.filter("_pairs", lambda p: F.array_contains(F.col("_in_scope"), p["table_a"])
-                     & F.array_contains(F.col("_in_scope"), p["table_b"])),
-            lambda p: F.struct((-p["best"]).alias("b"), p["join_key"].alias("k")))), lambda s: s["k"]))
+            "_pairs", lambda p: F.struct((-p["best"]).alias("b"), p["join_key"].alias("k")))), lambda s: s["k"]))
         .withColumn("_key", F.coalesce("join_key", _first(F.col("_keys"))))
         .withColumn("_claim", _first(F.filter("_claims", lambda c:
-            F.array_contains(F.col("_in_scope"), F.lower(c["table_a"]))
-            & F.array_contains(F.col("_in_scope"), F.lower(c["table_b"]))
-            & F.contains(F.lower("metric"), F.lower(c["metric"]))
+            (F.contains(metric, F.lower(c["metric"])) | F.coalesce(metric == F.lower(c["column_a"]), F.lit(False))
+             | F.coalesce(metric == F.lower(c["column_b"]), F.lit(False)))
             & ~F.coalesce(F.lower("authoritative_table").isin(F.lower(c["table_a"]), F.lower(c["table_b"])),
                           F.lit(False)))))
     )

@@ -28,29 +28,34 @@ def revenue_column(df: DataFrame, words: list[str] = REVENUE_WORDS) -> str | Non
 
 def metric_totals(tables: dict[str, DataFrame], metrics: dict[str, str], metric: str = "revenue",
                   currencies: dict[str, str] | None = None, scale: int | None = None) -> DataFrame:
-    """One total per table: table_name, metric, currency, value."""
+    """One total per table: table_name, metric, column_name, currency, value."""
     parts = []
     for name, column in metrics.items():
         money = addend(present(tables[name], column), type_of(tables[name], column), scale)
         parts.append(tables[name].agg(F.coalesce(F.sum(money), F.lit(0)).alias("value")).select(
             F.lit(name).alias("table_name"), F.lit(metric).alias("metric"),
-            F.lit((currencies or {}).get(name, "UNKNOWN")).alias("currency"),
+            F.lit(column).alias("column_name"), F.lit((currencies or {}).get(name, "UNKNOWN")).alias("currency"),
             F.col("value").cast("double").alias("value")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def contradictions(totals: DataFrame) -> DataFrame:
-    """Pairs of tables in one currency whose totals differ by more than 5 % of the larger."""
+    """Pairs of tables in one currency whose totals differ by more than 5 % of the larger.
+
+    `column_a` and `column_b` are the columns the totals come from, where `totals` tells them.
+    """
+    if "column_name" not in totals.columns:
+        totals = totals.withColumn("column_name", F.lit(None).cast("string"))
     a = totals.select(F.col("table_name").alias("table_a"), "metric", F.upper("currency").alias("currency"),
-                      F.col("value").alias("value_a"))
+                      F.col("value").alias("value_a"), F.col("column_name").alias("column_a"))
     b = totals.select(F.col("table_name").alias("table_b"), "metric", F.upper("currency").alias("currency"),
-                      F.col("value").alias("value_b"))
+                      F.col("value").alias("value_b"), F.col("column_name").alias("column_b"))
     gap = F.abs(F.col("value_a") - F.col("value_b"))
     ratio = gap / F.greatest("value_a", "value_b", F.lit(1.0))
     return a.join(b, ["metric", "currency"]).filter("table_a < table_b").filter(
         (ratio > CONTRADICTION_RATIO) & (F.least("value_a", "value_b") > 0)
     ).select("table_a", "table_b", "metric", "value_a", "value_b", gap.alias("difference"),
-             F.round(ratio * 100, 2).alias("difference_pct"))
+             F.round(ratio * 100, 2).alias("difference_pct"), "column_a", "column_b")
 
 
 def compare_grouped_totals(left: DataFrame, right: DataFrame, keys: list[str], value: str = "value",
