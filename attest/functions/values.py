@@ -46,7 +46,7 @@ def type_of(df: DataFrame, name: str) -> T.DataType:
 
 def present(df: DataFrame, name: str) -> Column:
     """The column with NaN turned into NULL."""
-    col = F.col(name)
+    col = F.col(f"`{name.replace(chr(96), chr(96) * 2)}`")
     return F.when(~F.isnan(col), col) if is_float(type_of(df, name)) else col
 
 

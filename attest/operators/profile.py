@@ -24,7 +24,7 @@ from attest.functions.values import (
 )
 from attest.functions.vocab import DATE_PARSE_THRESHOLD, ID_WORDS_NUMERIC, ID_WORDS_TEXT, NOT_ID_WORDS
 from attest.operators.duplicates import row_key
-from attest.operators.median import quantile_by
+from attest.operators.quantiles import quantiles
 
 # Log size of the distinct-count sketches (1.6 % standard error), and the share of distinct values
 # from which a column is counted exactly: far more than ten standard errors below unique.
@@ -187,15 +187,9 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def column_quantiles(df: DataFrame, table: str, columns: list[str],
                      probabilities: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact quantiles of numeric columns, long form."""
-    result = None
-    for column in columns:
-        for p in probabilities:
-            part = quantile_by(df, [], column, p, "quantile_value").select(
-                F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
-                F.lit(p).alias("probability"), "quantile_value")
-            result = part if result is None else result.unionByName(part)
-    return result
+    """Exact quantiles of numeric columns, long form; all of them share each scan."""
+    return quantiles(df, columns, probabilities).select(
+        F.lit(table).alias("table_name"), "column_name", "probability", "quantile_value")
 
 
 def table_profile(df: DataFrame, table: str) -> DataFrame:
