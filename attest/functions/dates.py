@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attest.functions.values import is_temporal, type_of
+from attest.functions.values import is_temporal, named, type_of
 
 # Shape of the text, and the format it is read with. The shape is tested first: parsing a text
 # that does not fit is far dearer than a regular expression. Month first where both would do.
@@ -51,7 +51,7 @@ def parse_date(col: Column) -> Column:
 
 def as_date_value(df: DataFrame, name: str) -> Column:
     """The column itself if temporal, the parsed text otherwise."""
-    return F.col(name) if is_temporal(type_of(df, name)) else parse_date(F.col(name))
+    return named(name) if is_temporal(type_of(df, name)) else parse_date(named(name))
 
 
 def is_ambiguous(col: Column) -> Column:

@@ -44,9 +44,14 @@ def type_of(df: DataFrame, name: str) -> T.DataType:
     raise KeyError(f"no column '{name}' in {df.columns}")
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def present(df: DataFrame, name: str) -> Column:
     """The column with NaN turned into NULL."""
-    col = F.col(f"`{name.replace(chr(96), chr(96) * 2)}`")
+    col = named(name)
     return F.when(~F.isnan(col), col) if is_float(type_of(df, name)) else col
 
 
@@ -100,7 +105,7 @@ def row_text(df: DataFrame, names: list[str] | None = None) -> Column:
     """Length-prefixed text of a row: no separator can be faked and NULL differs from ''."""
     parts = []
     for name in names or df.columns:
-        text = value_text(F.col(f"`{name}`"), type_of(df, name))
+        text = value_text(named(name), type_of(df, name))
         parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text),
                                 F.lit("~")))
     return F.concat(*parts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attest.functions.dates import as_date_value, is_ambiguous, month_text
-from attest.functions.values import is_temporal
+from attest.functions.values import is_temporal, named
 from attest.functions.vocab import DATE_PARSE_THRESHOLD
 
 
@@ -30,9 +30,9 @@ def date_profile(df: DataFrame, table: str) -> DataFrame:
         return df.sparkSession.createDataFrame([], DATE_PROFILE)
     # each text is parsed once, in a projection below the aggregate
     parsed = df.select(
-        *[F.col(f.name).alias(f"value{i}") for i, f in enumerate(fields)],
+        *[named(f.name).alias(f"value{i}") for i, f in enumerate(fields)],
         *[as_date_value(df, f.name).alias(f"date{i}") for i, f in enumerate(fields)],
-        *[is_ambiguous(F.col(f.name)).alias(f"maybe{i}") for i, f in enumerate(fields)
+        *[is_ambiguous(named(f.name)).alias(f"maybe{i}") for i, f in enumerate(fields)
           if isinstance(f.dataType, T.StringType)])
     aggregates = []
     for i, field in enumerate(fields):
@@ -102,9 +102,9 @@ def missing_months(df: DataFrame, date: str, keys: list[str] | None = None) -> D
 
 def ambiguous_dates(df: DataFrame, column: str) -> DataFrame:
     """Values that read as MM/DD or as DD/MM: count and smallest example."""
-    unsure = is_ambiguous(F.col(column))
+    unsure = is_ambiguous(named(column))
     return df.agg(
-        F.count(column).alias("value_count"),
+        F.count(named(column)).alias("value_count"),
         F.count_if(unsure).alias("ambiguous_count"),
-        F.min(F.when(unsure, F.col(column))).alias("example"),
+        F.min(F.when(unsure, named(column))).alias("example"),
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.functions.values import addend, percent, present, row_digest, type_of
+from attest.functions.values import addend, named, percent, present, row_digest, type_of
 from attest.functions.vocab import DUPLICATE_SAMPLE_ROWS
 
 
@@ -34,7 +34,7 @@ def row_key(df: DataFrame) -> dict[str, Column]:
         plain, digested = numbers, [c for c in df.columns if c not in numbers]
     else:
         plain, digested = [], df.columns
-    key = {f"_key{i}": F.col(f"`{c}`") for i, c in enumerate(plain)}
+    key = {f"_key{i}": named(c) for i, c in enumerate(plain)}
     if digested:
         key["_digest"] = row_digest(df, digested)
     return key
@@ -44,9 +44,9 @@ def distinct_rows(df: DataFrame, keep: list[str]) -> DataFrame:
     """One row per distinct whole row of `df`, with the columns in `keep` and the copy count."""
     key = row_key(df)
     return (
-        df.select(*[c.alias(n) for n, c in key.items()], *keep)
+        df.select(*[c.alias(n) for n, c in key.items()], *[named(k) for k in keep])
         # the key fixes the kept columns; as group keys they stay in the hash aggregate
-        .groupBy(*key, *keep).agg(F.count("*").alias("_copies"))
+        .groupBy(*key, *[named(k) for k in keep]).agg(F.count("*").alias("_copies"))
         .drop(*key)
     )
 
@@ -82,17 +82,17 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     key = row_key(df)
     keyed = df.select("*", *[c.alias(n) for n, c in key.items()])
     if "_digest" not in key:
-        return df.groupBy(*df.columns).agg(F.count("*").alias("copies")).filter("copies > 1")
+        return df.groupBy(*[named(c) for c in df.columns]).agg(F.count("*").alias("copies")).filter("copies > 1")
     repeated = keyed.groupBy(*key).agg(F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     # only repeated rows travel whole, and their copies collapse before the shuffle
     same = [keyed[k].eqNullSafe(repeated[k]) for k in key]
     held = keyed.join(repeated, same, "left_semi")
-    return held.groupBy("_digest", *df.columns).agg(F.count("*").alias("copies")).drop("_digest")
+    return held.groupBy("_digest", *[named(c) for c in df.columns]).agg(F.count("*").alias("copies")).drop("_digest")
 
 
 def duplicate_samples(df: DataFrame, rows: int = DUPLICATE_SAMPLE_ROWS) -> DataFrame:
     """The first repeated rows in column order."""
-    return duplicate_rows(df).orderBy(*df.columns).limit(rows)
+    return duplicate_rows(df).orderBy(*[named(c) for c in df.columns]).limit(rows)
 
 
 def duplicate_impact(df: DataFrame, metric: str, scale: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.functions.values import is_float, type_of
+from attest.functions.values import is_float, named, type_of
 
 OPERATORS = ("=", "!=", ">", ">=", "<", "<=", "in", "not_in", "contains", "between")
 
@@ -36,7 +36,7 @@ class Condition:
         return isinstance(self.value, DataFrame)
 
     def expression(self, df: DataFrame) -> Column:
-        col, value = F.col(self.column), self.value
+        col, value = named(self.column), self.value
         dtype = type_of(df, self.column)
 
         def ordered(test: Column) -> Column:
@@ -73,9 +73,9 @@ class Condition:
     def apply(self, df: DataFrame) -> DataFrame:
         if not self.against_table:
             return df.filter(self.expression(df))
-        listed = self.value.select(F.col(self.value.columns[0]).alias("_listed"))
+        listed = self.value.select(named(self.value.columns[0]).alias("_listed"))
         how = "left_semi" if self.operator == "in" else "left_anti"
-        return df.join(listed, F.col(self.column) == F.col("_listed"), how)
+        return df.join(listed, named(self.column) == F.col("_listed"), how)
 
 
 def _given(values) -> list:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attest.functions.values import present
+from attest.functions.values import named, present
 from attest.operators.quantiles import quantiles
 from attest.session import broadcast_if_small
 
@@ -26,7 +26,8 @@ def quantile_by(df: DataFrame, keys: list[str], value: str, probability: float,
     """
     if not keys:
         return quantiles(df, [value], (probability,)).select(F.col("quantile_value").alias(name))
-    rows = df.select(*keys, present(df, value).alias("_v"))
+    given, keys = keys, [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[named(g).alias(k) for g, k in zip(given, keys)], present(df, value).alias("_v"))
     for key in keys:
         rows = rows.filter(F.col(key).isNotNull())
     edges = [max(probability - MARGIN, 0.0), min(probability + MARGIN, 1.0)]
@@ -59,7 +60,7 @@ def quantile_by(df: DataFrame, keys: list[str], value: str, probability: float,
     ).otherwise(F.col("_low") * (1 - share) + F.col("_high") * share).alias(name))
     # groups without any value have no row left inside the bracket
     empty = bracket.filter(F.col("_n") == 0).select(*keys, F.lit(None).cast("double").alias(name))
-    return result.unionByName(empty)
+    return result.unionByName(empty).toDF(*given, name)
 
 
 def median_by(df: DataFrame, keys: list[str], value: str, name: str = "median_value") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attest.functions.dates import TimeRange, as_date_value, month_text
-from attest.functions.values import addend, is_temporal, present, type_of
+from attest.functions.values import addend, is_temporal, named, present, type_of
 from attest.operators.duplicates import distinct_rows
 from attest.operators.filters import Condition, apply_conditions
 from attest.operators.median import median_by
@@ -79,14 +79,14 @@ def join_tables(left: DataFrame, right: DataFrame, left_on: str, right_on: str |
     right_on = right_on or left_on
     shared = left_on.lower() == right_on.lower()
     if how in ("left_semi", "left_anti"):
-        return left.join(right.select(_quoted(right_on).alias("_key")), _quoted(left_on) == F.col("_key"), how)
+        return left.join(right.select(named(right_on).alias("_key")), named(left_on) == F.col("_key"), how)
     ours = {c.lower() for c in left.columns}
     theirs = {c.lower() for c in right.columns}
     clash = (ours & theirs) - ({left_on.lower()} if shared else set())
     left_names = {c: c + suffixes[0] if c.lower() in clash else c for c in left.columns}
     right_names = {c: c + suffixes[1] if c.lower() in clash else c for c in right.columns if not (shared and c.lower() == right_on.lower())}
-    a = left.select(*[_quoted(c).alias(f"l{i}") for i, c in enumerate(left_names)], _quoted(left_on).alias("lk"))
-    b = right.select(*[_quoted(c).alias(f"r{i}") for i, c in enumerate(right_names)], _quoted(right_on).alias("rk"))
+    a = left.select(*[named(c).alias(f"l{i}") for i, c in enumerate(left_names)], named(left_on).alias("lk"))
+    b = right.select(*[named(c).alias(f"r{i}") for i, c in enumerate(right_names)], named(right_on).alias("rk"))
     # A left or right join shuffles NULL keys too, but is split where they are many; a full join is not.
     apart = how == "full"
     met = (a.filter("lk is not null") if apart else a).join(b.filter("rk is not null") if apart else b, F.col("lk") == F.col("rk"), how)
@@ -98,11 +98,6 @@ def join_tables(left: DataFrame, right: DataFrame, left_on: str, right_on: str |
         *[F.col(f"r{i}").alias(n) for i, n in enumerate(right_names.values())])
 
 
-def _quoted(name: str) -> Column:
-    """A column by its whole name, dots included."""
-    return F.col(f"`{name.replace('`', '``')}`")
-
-
 def combine(*tables: DataFrame) -> DataFrame:
     """Rows of all tables; columns a table lacks are NULL."""
     result = tables[0]
@@ -119,7 +114,7 @@ def run(query: MetricQuery, tables: dict[str, DataFrame]) -> DataFrame:
     if query.group_by:
         result = _grouped(query, owners)
         order = F.col("value").asc_nulls_last() if query.ascending else F.col("value").desc_nulls_last()
-        result = result.orderBy(order, *_group_names(query))
+        result = result.orderBy(order, *[named(g) for g in _group_names(query)])
         return result.limit(query.limit) if query.limit else result
     return _ungrouped(query, sources[0], owners)
 
@@ -160,13 +155,13 @@ def _prepare(query: MetricQuery, sources: list[DataFrame], index: int) -> DataFr
     if query.dedup and query.aggregation in DEDUPLICATED:
         slim = distinct_rows(df_filtered, columns)
     else:
-        slim = df_filtered.select(*columns, F.lit(1).alias("_copies"))
+        slim = df_filtered.select(*[named(c) for c in columns], F.lit(1).alias("_copies"))
     for group in query.group_by:
         if isinstance(group, MonthOf) and owns(group.column):
             slim = slim.withColumn(group.name, month_text(as_date_value(df, group.column)))
     for name in _group_names(query):
         if _has(slim, name):
-            slim = slim.filter(F.col(name).isNotNull())
+            slim = slim.filter(named(name).isNotNull())
     return slim
 
 
@@ -225,29 +220,29 @@ def _joined(query: MetricQuery, owners: list[DataFrame], parts: list[str],
     left, right = owners
     key = query.join.left_on
     right_key = query.join.right_on or key
-    slim = right.select(F.col(right_key).alias("_key"),
-                        *[c for c in right.columns if c not in (right_key, "_copies")],
-                        *([F.col(right_key)] if right_key not in left.columns else []))
+    slim = right.select(named(right_key).alias("_key"),
+                        *[named(c) for c in right.columns if c not in (right_key, "_copies")],
+                        *([named(right_key)] if right_key not in left.columns else []))
     folded = fold and _has(left, query.metric) and not _fits_broadcast(slim)
     if folded:
         groups = list(dict.fromkeys([key] + [n for n in _group_names(query) if _has(left, n)]))
         if query.aggregation == "count_distinct":
-            left = left.select(*groups, _number(query, left).alias("_value")).distinct()
+            left = left.select(*[named(g) for g in groups], _number(query, left).alias("_value")).distinct()
         else:
-            left = left.select(*groups, _number(query, left).alias("_value")).groupBy(*groups).agg(
+            left = left.select(*[named(g) for g in groups], _number(query, left).alias("_value")).groupBy(*[named(g) for g in groups]).agg(
                 *[_PARTS[p][0](F.col("_value")).alias(p) for p in parts])
-    return left.filter(F.col(key).isNotNull()).join(slim, F.col(key) == F.col("_key")).drop("_key"), folded
+    return left.filter(named(key).isNotNull()).join(slim, named(key) == F.col("_key")).drop("_key"), folded
 
 
 def _folded(query: MetricQuery, owners: list[DataFrame], parts: list[str], groups: list[str]) -> DataFrame:
     rows, folded = _joined(query, owners, parts)
     if query.aggregation == "count_distinct":
         value = F.col("_value") if folded else _number(query, rows)
-        return rows.groupBy(*groups).agg(F.count_distinct(value).alias("distinct_values"))
+        return rows.groupBy(*[named(g) for g in groups]).agg(F.count_distinct(value).alias("distinct_values"))
     if folded:
-        return rows.groupBy(*groups).agg(*[_PARTS[p][1](F.col(p)).alias(p) for p in parts])
+        return rows.groupBy(*[named(g) for g in groups]).agg(*[_PARTS[p][1](F.col(p)).alias(p) for p in parts])
     value = _number(query, rows)
-    return rows.groupBy(*groups).agg(*[_PARTS[p][0](value).alias(p) for p in parts])
+    return rows.groupBy(*[named(g) for g in groups]).agg(*[_PARTS[p][0](value).alias(p) for p in parts])
 
 
 def _grouped(query: MetricQuery, owners: list[DataFrame]) -> DataFrame:
@@ -256,7 +251,7 @@ def _grouped(query: MetricQuery, owners: list[DataFrame]) -> DataFrame:
         rows, _ = _joined(query, owners, [], fold=False)
         return median_by(rows, groups, query.metric, "value")
     folded = _folded(query, owners, _NEEDS[query.aggregation], groups)
-    return folded.select(*groups, _finish(query, grouped=True).alias("value"))
+    return folded.select(*[named(g) for g in groups], _finish(query, grouped=True).alias("value"))
 
 
 def _ungrouped(query: MetricQuery, source: DataFrame, owners: list[DataFrame]) -> DataFrame:

@@ -15,6 +15,7 @@ from attest.functions.money_units import (
     unit_dimension,
     value_unit,
 )
+from attest.functions.values import named
 from attest.functions.vocab import UNKNOWN_CURRENCY
 
 FOUND = "table_name string, column_name string, currency string, origin string, row_count bigint"
@@ -37,20 +38,20 @@ def currency_profile(df: DataFrame, table: str) -> DataFrame:
     A column that names its currency is not searched. A code column reports every code it holds.
     """
     spark = df.sparkSession
-    named = [(table, None, name_currency(table), "table name", None)] if name_currency(table) else []
+    spoken = [(table, None, name_currency(table), "table name", None)] if name_currency(table) else []
     cells = []
     for column in df.columns:
         if name_currency(column):
-            named.append((table, column, name_currency(column), "column name", None))
+            spoken.append((table, column, name_currency(column), "column name", None))
         elif column in _text_columns(df):
             by_code = is_currency_column(column)
-            code = code_currency(F.col(column))  # other texts of such a column are no currencies
+            code = code_currency(named(column))  # other texts of such a column are no currencies
             hits = F.array_compact(F.array(F.when(code.rlike("^[A-Z]{3}$"), code))) if by_code \
-                else symbol_currencies(F.col(column))
+                else symbol_currencies(named(column))
             cells.append(F.struct(F.lit(column).alias("column_name"),
                                   F.lit("code" if by_code else "symbol").alias("origin"),
                                   hits.alias("hits")))
-    result = spark.createDataFrame(named, FOUND)
+    result = spark.createDataFrame(spoken, FOUND)
     if cells:
         counted = _value_hits(df, cells, "currency")
         result = result.unionByName(counted.select(
@@ -82,21 +83,21 @@ def table_currency(profile: DataFrame, tables: list[str]) -> DataFrame:
 
 def currency_codes(df: DataFrame, column: str) -> DataFrame:
     """Codes of a currency column with their row counts."""
-    return df.groupBy(code_currency(F.col(column)).alias("code")).agg(F.count("*").alias("row_count")) \
+    return df.groupBy(code_currency(named(column)).alias("code")).agg(F.count("*").alias("row_count")) \
         .filter(F.col("code").isNotNull())
 
 
 def unit_profile(df: DataFrame, table: str) -> DataFrame:
     """Units by column name, else by the values of text columns."""
     spark = df.sparkSession
-    named, cells = [], []
+    spoken, cells = [], []
     for column in df.columns:
         if name_unit(column):
-            named.append((table, column, name_unit(column), "column name", None))
+            spoken.append((table, column, name_unit(column), "column name", None))
         elif column in _text_columns(df):
             cells.append(F.struct(F.lit(column).alias("column_name"), F.lit("value").alias("origin"),
-                                  F.array_compact(F.array(value_unit(F.col(column)))).alias("hits")))
-    result = spark.createDataFrame(named, FOUND_UNIT)
+                                  F.array_compact(F.array(value_unit(named(column)))).alias("hits")))
+    result = spark.createDataFrame(spoken, FOUND_UNIT)
     if cells:
         counted = _value_hits(df, cells, "unit")
         result = result.unionByName(counted.select(

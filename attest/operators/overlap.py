@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attest.functions.values import is_float, is_temporal, key_text
+from attest.functions.values import is_float, is_temporal, key_text, named
 from attest.functions.vocab import OVERLAP_KEEP, OVERLAP_RECOMMEND
 
 # Tables per bit mask.
@@ -98,7 +98,7 @@ def _cells(tables: dict[str, DataFrame], classes: tuple[str, ...]) -> DataFrame:
             column, kind = field.name.lower(), key_class(field.dataType)
             compared = "number" if kind in NUMBERS else kind
             if kind in classes and name in shared.get((column, compared), ()):
-                number, text = _key_cell(F.col(f"`{field.name}`"), field.dataType)
+                number, text = _key_cell(named(field.name), field.dataType)
                 cells.append(F.struct(F.lit(f"{column}:{compared}").alias("join_key"), number.alias("number"), text.alias("text")))
         bits = {_mask(j): F.lit(1 << (i % MASK_BITS) if _mask(j) == _mask(i) else 0).cast("bigint")
                 for j in range(len(names))}

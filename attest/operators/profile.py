@@ -18,6 +18,7 @@ from attest.functions.values import (
     is_numeric,
     is_temporal,
     key_text,
+    named,
     percent,
     present,
     value_text,
@@ -66,7 +67,7 @@ def column_profile(df: DataFrame, table: str, distinct: str = "approx", scale: i
     fields = df.schema.fields
     cleaned = df.select(
         *[present(df, f.name).alias(f"value{i}") for i, f in enumerate(fields)],
-        *[is_missing(F.col(f.name), f.dataType).alias(f"blank{i}") for i, f in enumerate(fields)])
+        *[is_missing(named(f.name), f.dataType).alias(f"blank{i}") for i, f in enumerate(fields)])
     aggregates = [F.count(F.lit(1)).alias("n")]
     for i, field in enumerate(fields):
         value = F.col(f"value{i}")
@@ -115,7 +116,7 @@ def column_profile(df: DataFrame, table: str, distinct: str = "approx", scale: i
 def missing_profile(df: DataFrame, table: str) -> DataFrame:
     """Missing values per column, the column report: NULL, NaN and white space."""
     counts = df.agg(F.count(F.lit(1)).alias("n"), *[
-        F.count_if(is_missing(F.col(f.name), f.dataType)).alias(f"missing{i}")
+        F.count_if(is_missing(named(f.name), f.dataType)).alias(f"missing{i}")
         for i, f in enumerate(df.schema.fields)])
     return _rows_from_one(counts, [
         F.struct(F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"),
@@ -154,7 +155,7 @@ def id_candidates(df: DataFrame, table: str) -> DataFrame:
     exactly. The screen reads one row per column on the driver.
     """
     plain = [f for f in df.schema.fields if not is_nested(f.dataType)]
-    screen = column_profile(df.select(*[f.name for f in plain]), table)
+    screen = column_profile(df.select(*[named(f.name) for f in plain]), table)
     near = [row["column_name"] for row in screen.collect()
             if row["distinct_count"] >= SCREEN_SHARE * (row["row_count"] - row["missing_count"])
             and row["row_count"] > 0]
@@ -182,7 +183,7 @@ def id_candidates(df: DataFrame, table: str) -> DataFrame:
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows per composite key that repeats; empty when the keys identify rows."""
-    return df.groupBy(*keys).agg(F.count("*").alias("row_count")).filter("row_count > 1")
+    return df.groupBy(*[named(k) for k in keys]).agg(F.count("*").alias("row_count")).filter("row_count > 1")
 
 
 def column_quantiles(df: DataFrame, table: str, columns: list[str],
@@ -197,7 +198,7 @@ def table_profile(df: DataFrame, table: str) -> DataFrame:
 
     Copies of a row miss the same cells, so duplicates and missing cells share one aggregate.
     """
-    missing = sum((F.when(is_missing(F.col(f.name), f.dataType), 1).otherwise(0)
+    missing = sum((F.when(is_missing(named(f.name), f.dataType), 1).otherwise(0)
                    for f in df.schema.fields), F.lit(0))
     key = row_key(df)
     folded = (
@@ -211,7 +212,7 @@ def table_profile(df: DataFrame, table: str) -> DataFrame:
     dated = [f for f in df.schema.fields if is_temporal(f.dataType) or isinstance(f.dataType, T.StringType)]
     if dated:
         # a text column counts if it passes as a date column
-        read = df.select(*[F.col(f.name).alias(f"v{i}") for i, f in enumerate(dated)],
+        read = df.select(*[named(f.name).alias(f"v{i}") for i, f in enumerate(dated)],
                          *[as_date_value(df, f.name).alias(f"d{i}") for i, f in enumerate(dated)])
         gap_row = read.agg(*[F.when(F.count(f"d{i}") >= DATE_PARSE_THRESHOLD * F.count(f"v{i}"), _month_gaps(f"d{i}")).otherwise(0)
                              .alias(f"g{i}") for i in range(len(dated))])

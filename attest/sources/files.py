@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attest.functions.values import named
 from attest.functions.vocab import PREVIEW_ROWS
 
 FORMATS = {".csv": "csv", ".txt": "csv", ".tsv": "tsv", ".parquet": "parquet"}
@@ -94,7 +95,7 @@ def read_checked(spark: SparkSession, path: str, schema: T.StructType, sep: str
         raise SourceError(f"cannot read '{path}': {error.getCondition()}") from error
     # Spark parses only the fields a query needs, so a line would pass when its bad field is not
     # selected; a test that touches every field keeps all of them parsed.
-    every_field = F.size(F.array(*[F.col(f).cast("string") for f in schema.fieldNames()])) > 0
+    every_field = F.size(F.array(*[named(f).cast("string") for f in schema.fieldNames()])) > 0
     return Checked(
         rows=df.filter(F.col(REJECT).isNull() & every_field).drop(REJECT),
         rejects=df.filter(F.col(REJECT).isNotNull() & every_field).select(F.col(REJECT).alias("line")),
@@ -104,8 +105,8 @@ def read_checked(spark: SparkSession, path: str, schema: T.StructType, sep: str
 def undecodable_rows(df: DataFrame) -> DataFrame:
     """Per text column, the rows that hold a replacement character."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    counted = df.agg(*[F.count_if(F.contains(F.col(n), F.lit("�"))).alias(n) for n in names])
-    return counted.unpivot([], names, "column", "row_count")
+    counted = df.agg(*[F.count_if(F.contains(named(n), F.lit("�"))).alias(n) for n in names])
+    return counted.unpivot([], [named(n) for n in names], "column", "row_count")
 
 
 def require_rows(df: DataFrame, name: str) -> DataFrame:
