@@ -1,10 +1,12 @@
 """Ledger queries: registry, history, chains and their verification, fingerprints."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from attest.operators import ledger
+from attest.operators import ledger, ledger_state
 from attest.plans.registry import query
-from attest.session import checkpointed
+from attest.session import checkpointed, shared_folder
 
 # Every event is an analysis of the question of its user; part of them were verified.
 KINDS = "CASE event_type WHEN 'error' THEN 'REFUSED' WHEN 'view' THEN 'ANSWERED_WITH_ASSUMPTIONS' ELSE 'ANSWERED' END"
@@ -77,7 +79,7 @@ def ledger_chain(t):
 LONG, SMALL = 4096, 16
 
 
-@query(f"""
+SEGMENTS_SQL = f"""
 WITH r AS (SELECT user_id, event_id, {PAYLOAD_SQL} AS p, position FROM ({PLACED_SQL})),
 s AS (SELECT user_id, (position - 1) // {SMALL} AS segment, list(p ORDER BY position) AS p, list(event_id ORDER BY position) AS ids FROM r GROUP BY ALL),
 d AS (SELECT *, sha256(list_reduce(list_transform(p, lambda x: sha256(x)), lambda a, x: a || x)) AS digest FROM s),
@@ -88,13 +90,69 @@ h AS (SELECT user_id, segment, ids, anchor, p, unnest(generate_series(1, len(p))
 SELECT user_id, segment * {SMALL} + i AS position, segment, ids[i] AS event_id,
   CASE WHEN i = 1 THEN anchor ELSE list_reduce(list_prepend(anchor, p[1:i - 1]), lambda a, x: sha256(a || '|' || x)) END AS previous_hash,
   list_reduce(list_prepend(anchor, p[1:i]), lambda a, x: sha256(a || '|' || x)) AS record_hash FROM h
-""")
+"""
+
+
+@query(SEGMENTS_SQL)
 def ledger_chain_segments(t):
     """Chains cut into short segments, each anchored in all records before it."""
     return ledger.chain(t.events, "user_id", ORDER, FIELDS, segment_size=SMALL).select(
         "user_id", "position", "segment", "event_id", "previous_hash", "record_hash")
 
 
+@query(SEGMENTS_SQL)
+def ledger_extend(t):
+    """The same chains in three commits, each of which reads the heads and not the records before it."""
+    folder = f"{shared_folder(t.spark)}/ledger-{uuid.uuid4().hex}"
+    ends = t.events.agg(F.min("ts").alias("a"), ((F.max("ts") - F.min("ts")) / 3).alias("d"))
+    stage = F.when(F.col("ts") < F.col("a") + F.col("d"), 0).when(F.col("ts") < F.col("a") + F.col("d") * 2, 1).otherwise(2)
+    dated = checkpointed(t.events.withColumn("a", ends.select("a").scalar()).withColumn("d", ends.select("d").scalar()).withColumn("stage", stage).drop("a", "d"))
+    for number in range(3):
+        ledger_state.commit(dated.filter(F.col("stage") == number).drop("stage"), folder, "user_id", ORDER, FIELDS, SMALL, expected_version=number)
+    return ledger_state.read_records(t.spark, folder).select("user_id", "position", "segment", "event_id", "previous_hash", "record_hash")
+
+
+NARROW, TREE_LEVELS = 2, 14
+LEAVES_SQL = f"""
+r AS (SELECT user_id, {PAYLOAD_SQL} AS p, position FROM ({PLACED_SQL})),
+n0 AS (SELECT user_id, (position - 1) // {SMALL} AS place, sha256(string_agg(sha256(p), '' ORDER BY position)) AS hash FROM r GROUP BY ALL),
+"""
+LEVELS_SQL = ",\n".join(
+    f"n{i + 1} AS (SELECT user_id, place // {NARROW} AS place, sha256(string_agg(hash, '|' ORDER BY place)) AS hash FROM n{i} "
+    f"WHERE user_id IN (SELECT user_id FROM n{i} WHERE place > 0) GROUP BY ALL)" for i in range(TREE_LEVELS))
+TOPS_SQL = " UNION ALL ".join(f"SELECT user_id, any_value(hash) AS root, {i} AS depth FROM n{i} GROUP BY user_id HAVING MAX(place) = 0"
+                              for i in range(TREE_LEVELS + 1))
+
+
+@query(f"""
+WITH {LEAVES_SQL}{LEVELS_SQL},
+tops AS ({TOPS_SQL})
+SELECT r.user_id, r.position, n0.place AS segment, n0.hash AS digest, tops.depth, tops.root, TRUE AS holds
+FROM r JOIN n0 ON r.user_id = n0.user_id AND (r.position - 1) // {SMALL} = n0.place JOIN tops ON r.user_id = tops.user_id
+""")
+def ledger_proof(t):
+    """For every record the proof that it is in the tree of its chain, checked against the root."""
+    stored = checkpointed(ledger.chain(t.events, "user_id", ORDER, FIELDS, segment_size=SMALL))
+    nodes = ledger_state.tree(stored, "user_id", FIELDS, SMALL, NARROW)
+    known = ledger_state.roots(nodes, "user_id").drop("height")
+    proven = ledger_state.proofs(nodes, stored, "user_id", SMALL, NARROW).withColumn("proven", ledger_state.proven_root())
+    return proven.join(known, "user_id").select(
+        "user_id", "position", "segment", "digest", F.size("path").alias("depth"), "root", F.col("proven").eqNullSafe(F.col("root")).alias("holds"))
+
+
+@query("""
+SELECT user_id, position, 'changed' AS problem FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events) WHERE event_id % 89 = 0
+""")
+def ledger_differences(t):
+    """Records that two copies of a ledger hold differently, found by descending their trees."""
+    stored = checkpointed(ledger.chain(t.events, "user_id", ORDER, FIELDS, segment_size=SMALL))
+    copy = stored.withColumn("event_type", F.when(F.col("event_id") % 89 == 0, F.lit("edited")).otherwise(F.col("event_type")))
+    ours, theirs = (ledger_state.tree(df, "user_id", FIELDS, SMALL, NARROW) for df in (stored, copy))
+    segments = ledger_state.differing_segments(ours, theirs, "user_id", NARROW)
+    return ledger_state.changed_records(stored, copy, segments, "user_id", FIELDS, SMALL)
+
+
 @query("""
 WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position,
   COUNT(*) OVER (PARTITION BY user_id) AS n FROM events),

@@ -41,9 +41,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return configure(builder.getOrCreate())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder, so a lost executor cannot change it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share. Only a local session without one gets a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,6 +51,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="attest-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared checkpoint folder, so a lost executor cannot change it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
