@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +13,6 @@ from attest.functions.vocab import OVERLAP_KEEP, OVERLAP_RECOMMEND
 
 # Tables per bit mask.
 MASK_BITS = 60
-PAIR = ("table_a string, table_b string, join_key string")
 
 
 # Classes of columns that can be keys. Those of numbers are compared with each other, the rest within themselves.
@@ -173,23 +171,39 @@ def recommended_joins(relationships: DataFrame) -> DataFrame:
     ).select("table_a", "table_b", "k.*")
 
 
-def key_overlap_sketch(tables: dict[str, DataFrame], log_size: int = 14, classes: tuple[str, ...] = KEY_CLASSES) -> DataFrame:
-    """`key_overlap` by theta sketches: one row per (column, table) is shuffled, not the values."""
+def _sketched(tables: dict[str, DataFrame], log_size: int, classes: tuple[str, ...]) -> DataFrame:
+    """Estimates of sizes and shared values for all table pairs; one row per (column, table) is shuffled, not the values."""
     sketches = _cells(tables, classes).groupBy("join_key", "table_name").agg(
         F.theta_sketch_agg(F.coalesce("text", F.col("number").cast("string")), log_size).alias("sketch"))
-    spark = next(iter(tables.values())).sparkSession
-    pairs = spark.createDataFrame(
-        [(a, b, f"{column}:{kind}") for (column, kind), names in shared_columns(tables, classes).items()
-         for a, b in combinations(names, 2)], PAIR)
     side_a = sketches.withColumnsRenamed({"table_name": "table_a", "sketch": "sketch_a"})
     side_b = sketches.withColumnsRenamed({"table_name": "table_b", "sketch": "sketch_b"})
-    met = pairs.join(side_a, ["join_key", "table_a"]).join(side_b, ["join_key", "table_b"])
-    sized = met.select(
+    met = side_a.join(side_b, "join_key").filter("table_a < table_b")
+    return met.select(
         "table_a", "table_b", F.substring_index("join_key", ":", 1).alias("join_key"),
         F.theta_sketch_estimate(F.theta_intersection("sketch_a", "sketch_b")).alias("overlap_count"),
         F.theta_sketch_estimate("sketch_a").alias("size_a"),
         F.theta_sketch_estimate("sketch_b").alias("size_b"),
     )
+
+
+def key_overlap_sketch(tables: dict[str, DataFrame], log_size: int = 14, classes: tuple[str, ...] = KEY_CLASSES) -> DataFrame:
+    """`key_overlap` by theta sketches: one row per (column, table) is shuffled, not the values."""
+    sized = _sketched(tables, log_size, classes)
     ratio_a = F.least(F.lit(1.0), F.col("overlap_count").cast("double") / F.col("size_a"))
     ratio_b = F.least(F.lit(1.0), F.col("overlap_count").cast("double") / F.col("size_b"))
     return _judged(sized, ratio_a, ratio_b).drop("size_a", "size_b")
+
+
+def overlap_bounds(tables: dict[str, DataFrame], log_size: int = 14, classes: tuple[str, ...] = KEY_CLASSES, deviations: float = 3.0) -> DataFrame:
+    """Estimated shared values of all table pairs with an interval: table_a, table_b, join_key, estimate, low, high.
+
+    A sketch of a set of n values keeps a share of about k / n of them, so of the shared values it finds that share; the
+    interval spans `deviations` standard deviations of that draw. Sets of up to k values are counted exactly.
+    """
+    sized = _sketched(tables, log_size, classes)
+    kept = F.least(F.lit(1.0), F.lit(float(1 << log_size)) / F.greatest("size_a", "size_b"))
+    estimate = F.col("overlap_count").cast("double")
+    # at least one drawn value's worth of doubt, so that an estimate of 0 has an interval too
+    spread = F.lit(deviations) * F.sqrt(F.greatest(estimate, 1 / kept) * (1 - kept) / kept)
+    return sized.select("table_a", "table_b", "join_key", estimate.alias("estimate"),
+                        F.greatest(F.lit(0.0), estimate - spread).alias("low"), (estimate + spread).alias("high"))

@@ -113,6 +113,18 @@ def column_profile(df: DataFrame, table: str, distinct: str = "approx", scale: i
         F.col("column_name").isin(plain), F.lit(0)))).select(*rows.columns)
 
 
+def distinct_bounds(df: DataFrame, table: str, deviations: float = 3.0) -> DataFrame:
+    """Estimated distinct values of every column with an interval: table_name, column_name, estimate, low, high.
+
+    The standard error of a merged sketch is 1.04 / sqrt(2 ** SKETCH_SIZE); the interval spans `deviations` of it, and one value.
+    """
+    error = F.lit(deviations * 1.04 / 2 ** (SKETCH_SIZE / 2))
+    estimate = F.col("distinct_count").cast("double")
+    return column_profile(df, table).filter("distinct_count is not null").select(
+        "table_name", "column_name", estimate.alias("estimate"),
+        F.greatest(F.lit(0.0), estimate / (1 + error) - 1).alias("low"), (estimate / (1 - error) + 1).alias("high"))
+
+
 def missing_profile(df: DataFrame, table: str) -> DataFrame:
     """Missing values per column, the column report: NULL, NaN and white space."""
     counts = df.agg(F.count(F.lit(1)).alias("n"), *[

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 TOPICS = ("aggregates", "filters", "profiling", "cross_table", "verification", "audit", "texts",
-          "gating")
+          "gating", "files")
 
 
 def all_queries():

@@ -61,6 +61,15 @@ def key_overlap_sketch(t):
     return overlap.key_overlap_sketch(keyed(t))
 
 
+@query(f"SELECT table_a, table_b, join_key, overlap_count, TRUE AS within FROM ({OVERLAP_SQL})")
+def key_overlap_bounds(t):
+    """Exact numbers of shared values, and whether each lies in the interval of its estimate."""
+    exact = overlap.key_overlap(keyed(t)).select(*[F.col(c).alias(f"_{c}") for c in ("table_a", "table_b", "join_key")], "overlap_count")
+    bounds = overlap.overlap_bounds(keyed(t))
+    met = bounds.join(exact, [F.col(c) == F.col(f"_{c}") for c in ("table_a", "table_b", "join_key")])
+    return met.select("table_a", "table_b", "join_key", "overlap_count", F.col("overlap_count").between(F.col("low"), F.col("high")).alias("within"))
+
+
 def _yearly(df, date, value):
     return df.groupBy(F.year(date).cast("bigint").alias("year")).agg(
         F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("value"))

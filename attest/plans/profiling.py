@@ -47,6 +47,24 @@ def column_profile_screen(t):
                   [profile.column_profile(df, name, scale=2) for name, df in tables.items()])
 
 
+BOUNDED = ["orders", "customer", "part", "supplier", "nation"]
+
+
+@query("\nUNION ALL\n".join(
+    f"SELECT '{n}' AS table_name, column_name, distinct_count, TRUE AS within "
+    f"FROM (UNPIVOT (SELECT COUNT(DISTINCT COLUMNS(*)) FROM {n}) ON COLUMNS(*) INTO NAME column_name VALUE distinct_count)" for n in BOUNDED))
+def column_profile_bounds(t):
+    """Exact distinct counts, and whether each lies in the interval of its estimate."""
+    parts = []
+    for name, df in t.named(*BOUNDED).items():
+        exact = profile.distinct_counts(df, df.columns)
+        bounds = profile.distinct_bounds(df, name)
+        # a row for each column
+        parts.append(bounds.join(F.broadcast(exact), "column_name").select(
+            "table_name", "column_name", "distinct_count", F.col("distinct_count").between(F.col("low"), F.col("high")).alias("within")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 QUANTILES = [("lineitem", "l_extendedprice"), ("lineitem", "l_quantity")]
 
 

@@ -112,3 +112,31 @@ WHERE 'Brand#' || (n_nationkey * 2) NOT IN (SELECT p_brand FROM part)
 def unknown_literals(t):
     wanted = t.nation.select(F.concat(F.lit("Brand#"), (F.col("n_nationkey") * 2).cast("string")).alias("wanted"))
     return reconcile.unknown_literals(t.part, "p_brand", wanted)
+
+
+# Values that no ordinary result holds, by key: not a number, infinities, near and written numbers.
+ODD_SIDES = {
+    "left_number": "CASE o_orderkey % 8 WHEN 0 THEN {nan} WHEN 1 THEN {inf} WHEN 2 THEN {inf} WHEN 3 THEN {nan} WHEN 4 THEN NULL WHEN 5 THEN o_totalprice ELSE 0.0 END",
+    "right_number": "CASE o_orderkey % 8 WHEN 0 THEN {nan} WHEN 1 THEN {inf} WHEN 2 THEN -{inf} WHEN 3 THEN o_totalprice WHEN 4 THEN {nan} WHEN 5 THEN o_totalprice * (1 + 1e-9) WHEN 6 THEN 1e-10 ELSE 1e-3 END",
+    "left_text": "CASE o_orderkey % 5 WHEN 0 THEN '1.0' WHEN 1 THEN ' 2e3' WHEN 2 THEN o_orderstatus WHEN 3 THEN '7' ELSE NULL END",
+    "right_text": "CASE o_orderkey % 5 WHEN 0 THEN '1' WHEN 1 THEN '2000 ' WHEN 2 THEN ' ' || o_orderstatus WHEN 3 THEN 'seven' ELSE NULL END",
+}
+DUCK = {"nan": "CAST('NaN' AS DOUBLE)", "inf": "CAST('Infinity' AS DOUBLE)"}
+SPARK = {"nan": "double('NaN')", "inf": "double('Infinity')"}
+
+
+@query(f"""
+WITH v AS (SELECT o_orderkey AS k, {", ".join(f"{e.format(**DUCK)} AS {n}" for n, e in ODD_SIDES.items())} FROM orders),
+n AS (SELECT *, TRY_CAST(trim(left_text) AS DOUBLE) AS a, TRY_CAST(trim(right_text) AS DOUBLE) AS b FROM v),
+s AS (SELECT k, left_number IS NOT DISTINCT FROM right_number OR COALESCE(isfinite(left_number) AND isfinite(right_number)
+    AND abs(left_number - right_number) <= greatest(1e-6 * greatest(abs(left_number), abs(right_number)), 1e-9), FALSE) AS same_number,
+  trim(left_text) IS NOT DISTINCT FROM trim(right_text) OR COALESCE(abs(a - b) <= greatest(1e-6 * greatest(abs(a), abs(b)), 1e-9), FALSE) AS same_text FROM n)
+SELECT k, CASE WHEN same_number AND same_text THEN 'match' ELSE 'differs' END AS status,
+  CASE WHEN NOT same_number THEN 'number' WHEN NOT same_text THEN 'text' END AS first_difference FROM s
+""")
+def special_values(t):
+    """Results with NaN, infinities and numbers written as text, compared by key."""
+    def side(name):
+        return t.orders.select(F.col("o_orderkey").alias("k"), *[F.expr(ODD_SIDES[f"{name}_{c}"].format(**SPARK)).alias(c) for c in ("number", "text")])
+
+    return reconcile.compare_results(side("left"), side("right"), ["k"], ["number", "text"]).select("k", "status", "first_difference")

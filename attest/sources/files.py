@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from attest.functions.values import named
 from attest.functions.vocab import PREVIEW_ROWS
+from attest.sources.records import csv_records, parse_records
 
 FORMATS = {".csv": "csv", ".txt": "csv", ".tsv": "tsv", ".parquet": "parquet"}
 REJECT = "_rejected_line"
@@ -47,19 +48,22 @@ def read_table(
 
     Without a schema the types of a text file are inferred, which reads it once more; give one
     for large files. The encoding "auto" searches the file for invalid UTF-8 first, a scan of its own. A quote
-    within quotes is doubled. With `multi_line` quoted values may hold line breaks; such a file is not
-    split, so one task reads it.
+    within quotes is doubled. With `multi_line` quoted values may hold line breaks; byte ranges of such a file are
+    still read by many tasks (`records`), each line once more for its quotes.
     """
     kind = format or format_of(path)
     try:
         if kind == "parquet":
             df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
         elif kind in ("csv", "tsv"):
+            encoding = choose_encoding(spark, path) if encoding == "auto" else encoding
+            if multi_line:
+                declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+                return _with_columns(parse_records(csv_records(spark, path, encoding), "\t" if kind == "tsv" else ",", declared), path)
             reader = (
                 spark.read.option("header", True)
                 .option("sep", "\t" if kind == "tsv" else ",")
-                .option("encoding", choose_encoding(spark, path) if encoding == "auto" else encoding)
-                .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+                .option("encoding", encoding).option("quote", '"').option("escape", '"')
             )
             reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
             df = reader.csv(path)
@@ -67,6 +71,10 @@ def read_table(
             raise SourceError(f"unsupported format '{kind}'")
     except AnalysisException as error:
         raise SourceError(f"cannot read '{path}': {error.getCondition()}") from error
+    return _with_columns(df, path)
+
+
+def _with_columns(df: DataFrame, path: str) -> DataFrame:
     if not df.columns:
         raise SourceError(f"'{path}' holds no columns")
     return df
@@ -81,16 +89,20 @@ class Checked:
 
 
 def read_checked(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
-                 encoding: str = "UTF-8", multi_line: bool = False) -> Checked:
-    """A text file against a declared schema; lines that do not fit go to `rejects`, whole."""
+                 encoding: str = "UTF-8", multi_line: bool = False, header: bool = True) -> Checked:
+    """A text file against a declared schema; lines that do not fit go to `rejects`, whole. With `multi_line` these are records,
+    found and parsed by many tasks in the same pass."""
     wide = T.StructType(schema.fields + [T.StructField(REJECT, T.StringType())])
     try:
-        df = (
-            spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-            .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECT)
-            .schema(wide).csv(path)
-        )
+        if multi_line:
+            df = parse_records(csv_records(spark, path, encoding), sep, wide, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECT)
+        else:
+            df = (
+                spark.read.option("header", header).option("sep", sep).option("encoding", encoding)
+                .option("quote", '"').option("escape", '"')
+                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECT)
+                .schema(wide).csv(path)
+            )
     except AnalysisException as error:
         raise SourceError(f"cannot read '{path}': {error.getCondition()}") from error
     # Spark parses only the fields a query needs, so a line would pass when its bad field is not

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from attest.operators import gates, overlap, reconcile
 from attest.operators.filters import Condition
 from attest.operators.metric import Join, MetricQuery, growth_by_month, run
+from attest.session import checkpointed
 
 SALES = [("o1", "2025-01-05", "p1", "East", 2, 10.0), ("o2", "2025-02-20", "p2", "West", 1, 4.5),
          ("o3", "2025-02-21", "p1", "East", 3, 15.0), ("o4", "2025-04-09", "p3", "North", 1, 7.25)]
@@ -126,3 +127,37 @@ def test_refusal_text_has_three_parts(spark, tables):
     assert gates.refusal_text(verdicts).collect()[0]["text"].split("\n\n") == [
         "REFUSED", "Reason: no column is about 'churn'", "Data issue: the business metric is not recorded",
         "What would be needed: a table that records it"]
+
+
+def test_contradiction_on_the_column_itself(spark):
+    tables = {n: spark.createDataFrame([(1, v)], "id int, sales_total double") for n, v in (("plan", 100.0), ("Actual", 200.0))}
+    claims = reconcile.contradictions(reconcile.metric_totals(tables, {"plan": "sales_total", "Actual": "sales_total"}))
+    requests = spark.createDataFrame([(1, ["plan", "actual"], "Sales_Total"), (2, ["plan"], "sales_total"), (3, ["plan", "actual"], "id")],
+                                     "request_id int, tables array<string>, metric string")
+    found = gates.judge(requests, gates.table_facts(tables, ()), contradictions=claims).orderBy("request_id").collect()
+    assert [v["rule"] for v in found] == ["contradiction", None, None]
+
+
+def test_names_are_looked_up_by_their_parts(spark):
+    facts = spark.createDataFrame([("Orders",), ("orders_old",), ("SALES",), ("sales",), ("x.y",)], "table_name string")
+    found = {r["part"]: r["found"] for r in gates.name_index(facts).collect()}
+    assert found["orders"] == "orders" and found["ders_"] == "orders_old" and found["."] == "x.y"
+    assert not {"sales", "ale", "rder", "", "s"} & set(found)
+
+
+def test_tables_missing_empty_or_repeated(spark, tables):
+    facts = gates.table_facts({n: tables[n] for n in ("sales", "products")}, ())
+    requests = spark.createDataFrame([(1, None, "revenue"), (2, [], "revenue"), (3, ["sales", None], "revenue"), (4, ["SALES", "sales", "ale"], "revenue"), (4, ["sales"], "revenue")],
+                                     "request_id int, tables array<string>, metric string")
+    found = gates.judge(requests, facts).orderBy("request_id", "evidence").collect()
+    assert [v["rule"] for v in found] == ["table", "table", "table", None, None]
+    assert gates.judge(requests.limit(0), facts).count() == 0
+
+
+def test_no_value_of_the_catalog_in_the_plan(spark, tables):
+    facts = gates.table_facts({n: tables[n] for n in ("sales", "products", "summary")}, ())
+    relationships = checkpointed(overlap.key_overlap({n: tables[n].drop("date", "region") for n in ("sales", "products")}))
+    claims = checkpointed(reconcile.contradictions(reconcile.metric_totals(tables, {"sales": "revenue", "summary": "revenue"})))
+    requests = spark.createDataFrame([(1, ["sales"], "revenue")], "request_id int, tables array<string>, metric string")
+    plan = gates.judge(requests, facts, relationships, claims)._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" not in plan and "products" not in plan
