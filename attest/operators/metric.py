@@ -234,7 +234,8 @@ def _joined(query: MetricQuery, owners: list[DataFrame], parts: list[str],
     return left.filter(named(key).isNotNull()).join(slim, named(key) == F.col("_key")).drop("_key"), folded
 
 
-def _folded(query: MetricQuery, owners: list[DataFrame], parts: list[str], groups: list[str]) -> DataFrame:
+def _folded(query: MetricQuery, owners: list[DataFrame], parts: list[str], groups: list[str], copies: bool = False) -> DataFrame:
+    """Parts of the aggregate per group; with `copies` also `excluded`, the copies among the rows of a table that stands alone."""
     rows, folded = _joined(query, owners, parts)
     if query.aggregation == "count_distinct":
         value = F.col("_value") if folded else _number(query, rows)
@@ -242,7 +243,8 @@ def _folded(query: MetricQuery, owners: list[DataFrame], parts: list[str], group
     if folded:
         return rows.groupBy(*[named(g) for g in groups]).agg(*[_PARTS[p][1](F.col(p)).alias(p) for p in parts])
     value = _number(query, rows)
-    return rows.groupBy(*[named(g) for g in groups]).agg(*[_PARTS[p][0](value).alias(p) for p in parts])
+    more = [F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("excluded")] if copies else []
+    return rows.groupBy(*[named(g) for g in groups]).agg(*[_PARTS[p][0](value).alias(p) for p in parts], *more)
 
 
 def _grouped(query: MetricQuery, owners: list[DataFrame]) -> DataFrame:
@@ -256,6 +258,9 @@ def _grouped(query: MetricQuery, owners: list[DataFrame]) -> DataFrame:
 
 def _ungrouped(query: MetricQuery, source: DataFrame, owners: list[DataFrame]) -> DataFrame:
     counts = query.aggregation in ("count", "count_distinct")
+    deduplicates = query.dedup and query.aggregation in DEDUPLICATED
+    # rows, totals and copies of one table are folded together: its rows are shuffled once
+    alone = deduplicates and len(owners) == 1
     zero = F.lit(0).cast("bigint") if counts else F.lit(0.0)
     if query.aggregation in ("median", "count_distinct"):
         rows, _ = _joined(query, owners, [], fold=False)
@@ -267,16 +272,17 @@ def _ungrouped(query: MetricQuery, source: DataFrame, owners: list[DataFrame]) -
         result = result.withColumn("rows_used", used)
     else:
         parts = list(dict.fromkeys(_NEEDS[query.aggregation] + ["rows"]))
-        folded = _folded(query, owners, parts, [])
+        folded = _folded(query, owners, parts, [], copies=alone)
         result = folded.select(_finish(query, grouped=False).alias("value"),
-                               F.coalesce(F.col("rows"), F.lit(0)).alias("rows_used"))
+                               F.coalesce(F.col("rows"), F.lit(0)).alias("rows_used"), *(["excluded"] if alone else []))
     result = result.select(
         F.when(F.col("rows_used") == 0, zero).otherwise(F.col("value")).alias("value"),
         # no column is read for this count: Parquet answers it from the footers
         source.agg(F.count("*")).scalar().alias("rows_total"),
         "rows_used",
+        *([F.col("excluded").cast("bigint").alias("duplicates_excluded")] if alone else []),
     )
-    if query.dedup and query.aggregation in DEDUPLICATED:
+    if deduplicates and not alone:
         excluded = F.lit(0).cast("bigint")
         for owner in owners:
             excluded = excluded + owner.agg(

@@ -62,3 +62,11 @@ def test_pairs_are_never_formed_from_values(t):
 def test_row_count_reads_no_column(t):
     text = plan(t.orders.agg(F.count("*")))
     assert "ReadSchema: struct<>" in text
+
+
+def test_copies_and_totals_are_folded_together(t):
+    query = MetricQuery(("orders",), "o_totalprice", dedup=True, filters=(Condition("o_totalprice", ">", 10),))
+    text = plan(run(query, t.named("orders")))
+    # the rows once, and a count that reads no column
+    assert text.count("FileScan parquet") == 2 and text.count("ReadSchema: struct<>") == 1
+    assert text.count("Exchange hashpartitioning") == 1
