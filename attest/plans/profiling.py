@@ -1,12 +1,13 @@
 """Profiles over whole tables: columns, missing values, keys, tables, dates, currencies, units."""
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.functions.dates import month_text
-from attest.operators import coverage, money_units, profile
+from attest.operators import coverage, keys, money_units, profile
 from attest.operators.median import median_by
 from attest.plans.aggregates import LINES, repeated_lines
 from attest.plans.registry import query
@@ -103,6 +104,29 @@ def composite_key_repeats(t):
     return profile.repeated_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
+KEYED = {
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+}
+
+
+def _sets_sql(table: str, columns: list[str]) -> str:
+    """Every set of up to three columns, and whether it is unique."""
+    sets = [s for n in (1, 2, 3) for s in combinations(columns, n)]
+    return "\nUNION ALL ".join(
+        f"SELECT '{table}' AS t, {list(s)} AS s, COUNT(DISTINCT ({', '.join(s)})) = COUNT(*) AND COUNT(*) > 0 AS is_key FROM {table}" for s in sets)
+
+
+@query(f"""
+WITH sets AS ({" UNION ALL ".join(_sets_sql(n, c) for n, c in KEYED.items())}), k AS (SELECT t, s FROM sets WHERE is_key)
+SELECT t AS table_name, array_to_string(s, ',') AS key_columns, CAST(len(s) AS INTEGER) AS column_count
+FROM k WHERE NOT EXISTS (SELECT 1 FROM k z WHERE z.t = k.t AND len(z.s) < len(k.s) AND list_has_all(k.s, z.s))
+""")
+def minimal_keys(t):
+    return reduce(DataFrame.unionByName, [keys.minimal_keys(df, name) for name, df in t.named(*KEYED).items()])
+
+
 # --- missing values ---------------------------------------------------------
 
 HOLES = {
