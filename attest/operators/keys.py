@@ -8,12 +8,13 @@ from math import prod
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attest.functions.values import is_nested, present, row_digest
+from attest.functions.values import is_nested, named, present, row_text
 
 SKETCH_SIZE = 12
 # Four standard errors of a merged sketch of that size.
 DOUBT = 4 * 1.04 / 2 ** (SKETCH_SIZE / 2)
 SETS_PER_SCAN = 200
+SLICES = 16
 MOST_COLUMNS = 3
 
 
@@ -23,10 +24,23 @@ def _estimates(df: DataFrame, sets: list[tuple[str, ...]]) -> list[float]:
     return list(found.first())
 
 
-def _repeating(df: DataFrame, sets: list[tuple[str, ...]]) -> set[int]:
-    """The numbers of the sets that some values of occur twice: one narrow row for each row and set is shuffled."""
-    cells = [F.struct(F.lit(i).alias("set_id"), row_digest(df, list(s)).alias("digest")) for i, s in enumerate(sets)]
-    repeated = df.select(F.inline(F.array(*cells))).groupBy("set_id", "digest").agg(F.count("*").alias("n")).filter("n > 1")
+def _repeating(df: DataFrame, sets: list[tuple[str, ...]], slices: dict[int, str] | None = None) -> set[int]:
+    """The numbers of the sets that some values of occur twice: one narrow row for each row and set is shuffled.
+
+    `slices` names a column of each set; then only rows with one in SLICES of its values are looked at. Rows that repeat agree in that column,
+    so what is found in a slice repeats in the table.
+    """
+    used = sorted({c for s in sets for c in s})
+    texts = F.array(*[row_text(df, [c]) for c in used])
+    near = F.array(*[F.pmod(F.xxhash64(named(c)), F.lit(SLICES)) == 0 for c in used])
+    # the sets are a literal, and each column is read once for all of them
+    listed = F.array(*[F.struct(F.lit(i).alias("set_id"), F.array(*[F.lit(used.index(c)) for c in s]).alias("places"),
+                                F.lit(used.index(slices[i]) if slices else 0).alias("slice")) for i, s in enumerate(sets)])
+    spread = df.select(texts.alias("texts"), near.alias("near")).select("texts", "near", F.explode(listed).alias("s")).select("texts", "near", "s.*")
+    if slices:
+        spread = spread.filter(F.get("near", F.col("slice")))
+    digest = F.unhex(F.sha2(F.array_join(F.transform("places", lambda i: F.get(F.col("texts"), i)), ""), 256))
+    repeated = spread.select("set_id", digest.alias("digest")).groupBy("set_id", "digest").agg(F.count("*").alias("n")).filter("n > 1")
     return {r["set_id"] for r in repeated.select("set_id").distinct().collect()}
 
 
@@ -36,7 +50,7 @@ def minimal_keys(df: DataFrame, table: str, most_columns: int = MOST_COLUMNS, se
 
     Columns with missing values are in no key; a table without rows has none. Sets are tried by size. A set that holds a
     key is passed over, and one whose columns have too few distinct values together; sketches of all others are filled in
-    scans of `sets_per_scan` sets, and only sets that may be unique by their sketch are counted exactly. What reaches the driver is
+    scans of `sets_per_scan` sets, and only sets that may be unique by their sketch are counted exactly, first over a slice of the rows. What reaches the driver is
     a number for each set.
     """
     fields = [f.name for f in df.schema.fields if not is_nested(f.dataType)]
@@ -53,6 +67,10 @@ def minimal_keys(df: DataFrame, table: str, most_columns: int = MOST_COLUMNS, se
             if size == 1:
                 distinct.update({s[0]: e * (1 + DOUBT) + 1 for s, e in zip(tried, estimates)})
             near = [s for s, e in zip(tried, estimates) if e * (1 + DOUBT) + 1 >= rows]
+            # most sets that are no keys show it in a slice; the rest are counted over all rows
+            if near and size > 1:
+                repeating = _repeating(df, near, {i: max(s, key=distinct.__getitem__) for i, s in enumerate(near)})
+                near = [s for i, s in enumerate(near) if i not in repeating]
             if near:
                 repeating = _repeating(df, near)
                 keys += [s for i, s in enumerate(near) if i not in repeating]
