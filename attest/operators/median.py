@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attest.functions.values import named, present
-from attest.operators.quantiles import quantiles
 from attest.session import broadcast_if_small
 
 ACCURACY = 100_000
@@ -21,11 +20,9 @@ def quantile_by(df: DataFrame, keys: list[str], value: str, probability: float,
     `percentile` keeps every distinct value of a group in one task. Here an approximate bracket
     around the rank comes first; rows below it are only counted, and just the distinct values
     inside it, about 1 in 10,000 of a group, are ordered. The result is exact: a rank outside the
-    bracket, which the stated error rules out, is an error and never a guess. Without keys the whole
-    column is one group, and radix selection finds the rank without ordering rows at all.
+    bracket, which the stated error rules out, is an error and never a guess. Quantiles of whole columns of any size,
+    many at once, are in `quantiles`.
     """
-    if not keys:
-        return quantiles(df, [value], (probability,)).select(F.col("quantile_value").alias(name))
     given, keys = keys, [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*[named(g).alias(k) for g, k in zip(given, keys)], present(df, value).alias("_v"))
     for key in keys:
@@ -35,7 +32,10 @@ def quantile_by(df: DataFrame, keys: list[str], value: str, probability: float,
         F.count("_v").alias("_n"), F.percentile_approx("_v", edges, ACCURACY).alias("_b"))
     bracket = broadcast_if_small(bracket.select(
         *keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi")))
-    placed = rows.join(bracket, keys)
+    if keys:
+        placed = rows.join(bracket, keys)
+    else:
+        placed = rows.select("_v", *[bracket.select(c).scalar().alias(c) for c in ("_n", "_lo", "_hi")])
     inside = (
         placed.filter(F.col("_v") <= F.col("_hi"))
         # all rows below the bracket fall into one counted NULL value

@@ -7,54 +7,61 @@ next scan counts only rows that share its bits. No rows are ordered, only the co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+import struct
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attest.functions.values import present
-from attest.session import checkpointed
 
 DIGIT = 16
 BINS = 1 << DIGIT
 MANTISSA = 52
 _LEAST_EXPONENT = -1022
 _BIAS = 1023
+_SIDES = ("low", "high")
 
 
-def order_key(value: Column) -> Column:
-    """A double as the integer of its bits, negated for negative numbers: ordered as doubles are, -0.0 and 0.0 alike.
+def with_key(df: DataFrame, value: str, name: str = "key") -> DataFrame:
+    """Adds a double as the integer of its bits, negated for negative numbers: ordered as doubles are, -0.0 and 0.0 alike.
 
-    NULL and NaN have none. Dividing by a power of two is exact, so exponent and fraction are.
+    NULL and NaN have none. Dividing by a power of two is exact, so exponent and fraction are. Each step is a projection of its own,
+    so that none is computed twice.
     """
-    size = F.abs(value)
-    guess = F.floor(F.log2(size)).cast("int")
-    power = F.pow(F.lit(2.0), guess)
-    exponent = F.greatest(F.when(power > size, guess - 1).when(power * 2 <= size, guess + 1).otherwise(guess), F.lit(_LEAST_EXPONENT))
+    kept = df.columns
+    size, power, guess, exponent = (F.col(f"_{n}") for n in ("size", "power", "guess", "exponent"))
+    step = df.withColumn("_size", F.abs(F.when(~F.isnan(value), F.col(value))))
+    finite = (size > 0) & (size < float("inf"))
+    step = step.withColumn("_guess", F.when(finite, F.floor(F.log2(size)).cast("int")).otherwise(0))
+    step = step.withColumn("_power", F.pow(F.lit(2.0), guess))
+    step = step.withColumn("_exponent", F.greatest(F.when(power > size, guess - 1).when(power * 2 <= size, guess + 1).otherwise(guess), F.lit(_LEAST_EXPONENT)))
     # below the least exponent there is no leading one
-    scaled = size / F.pow(F.lit(2.0), exponent)
-    fraction = (scaled * F.lit(float(1 << MANTISSA))).cast("bigint")
+    fraction = F.when(finite, (size / F.pow(F.lit(2.0), exponent) * F.lit(float(1 << MANTISSA))).cast("bigint")).otherwise(0)
     bits = F.shiftleft((exponent + (_BIAS - 1)).cast("bigint"), MANTISSA) + fraction
-    bits = F.when(size == 0, F.lit(0).cast("bigint")).when(size == float("inf"), F.lit(0x7FF << MANTISSA).cast("bigint")).otherwise(bits)
-    return F.when(~F.isnan(value), F.when(value < 0, -bits).otherwise(bits))
+    step = step.withColumn("_bits", F.when(size == 0, F.lit(0).cast("bigint")).when(size == float("inf"), F.lit(0x7FF << MANTISSA).cast("bigint")).otherwise(bits))
+    return step.select(*kept, F.when(size.isNotNull(), F.when(F.col(value) < 0, -F.col("_bits")).otherwise(F.col("_bits"))).alias(name))
 
 
-def key_value(key: Column) -> Column:
+def key_value(key: int) -> float:
     """The double that an order key stands for."""
-    bits = F.abs(key)
-    exponent = F.shiftright(bits, MANTISSA)
-    fraction = bits.bitwiseAND(F.lit((1 << MANTISSA) - 1)).cast("double")
-    small = fraction * F.pow(F.lit(2.0), F.lit(_LEAST_EXPONENT - MANTISSA))
-    normal = (F.lit(1.0) + fraction / F.lit(float(1 << MANTISSA))) * F.pow(F.lit(2.0), (exponent - _BIAS).cast("int"))
-    size = F.when(exponent == 0, small).when(exponent == 0x7FF, F.lit(float("inf"))).otherwise(normal)
-    return F.when(key < 0, -size).otherwise(size)
+    size = struct.unpack(">d", struct.pack(">q", abs(key)))[0]
+    return -size if key < 0 else size
+
 
+def _chosen(counts: DataFrame, targets: DataFrame) -> list:
+    """The bin that holds each target's rank, and the rank within it. At most BINS rows meet for a prefix.
 
-def _chosen(targets: DataFrame, counts: DataFrame) -> DataFrame:
-    """The bin that holds each target's rank, and the rank within it. At most BINS rows meet for a prefix."""
-    running = Window.partitionBy("column_id", "prefix").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("upto", F.sum("rows").over(running))
-    met = targets.join(placed, ["column_id", "prefix"]).filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("rows")))
-    return met.select("column_id", "probability_id", "side", "share", F.col("bin").alias("prefix"),
-                      (F.col("rank") - F.col("upto") + F.col("rows")).alias("rank"), "rows")
+    Targets without a rank get it from the number of rows; two rows for each column and probability reach the driver.
+    """
+    whole = Window.partitionBy("column_id", "prefix")
+    running = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("upto", F.sum("rows").over(running)).withColumn("n", F.sum("rows").over(whole))
+    place = (F.col("n") - 1) * F.col("p")
+    met = placed.join(F.broadcast(targets), ["column_id", "prefix"]).withColumn("rank", F.coalesce(
+        "rank", F.when(F.col("side") == "low", F.floor(place)).otherwise(F.ceil(place)) + 1))
+    met = met.filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("rows")))
+    return met.select("column_id", "probability_id", "side", "bin", (F.col("rank") - F.col("upto") + F.col("rows")).alias("rank"), "rows", "n").collect()
 
 
 def quantiles(df: DataFrame, columns: list[str], probabilities: tuple[float, ...]) -> DataFrame:
@@ -65,36 +72,37 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: tuple[float, ...
     """
     if not columns or not probabilities:
         raise ValueError("quantiles need a column and a probability")
-    cells = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("column_id"), order_key(present(df, name).cast("double")).alias("key"))
-        for i, name in enumerate(columns)]))).filter("key is not null")
     spark = df.sparkSession
-    asked = spark.createDataFrame([(c, i, float(p)) for c in range(len(columns)) for i, p in enumerate(probabilities)],
-                                  "column_id int, probability_id int, p double")
-    shift = 64 - DIGIT
-    counts = checkpointed(cells.groupBy("column_id", F.lit(0).cast("bigint").alias("prefix"), F.shiftright("key", shift).alias("bin"))
-                          .agg(F.count("*").alias("rows")))
-    totals = counts.groupBy("column_id").agg(F.sum("rows").alias("n"))
-    place = (F.col("n") - 1) * F.col("p")
-    ranked = asked.join(F.broadcast(totals), "column_id").select(  # one row per column
-        "column_id", "probability_id", (place - F.floor(place)).alias("share"), F.lit(0).cast("bigint").alias("prefix"),
-        F.explode(F.array(F.struct(F.lit("low").alias("side"), (F.floor(place) + 1).alias("rank")),
-                          F.struct(F.lit("high").alias("side"), (F.ceil(place) + 1).alias("rank")))).alias("t"))
-    targets = ranked.select("column_id", "probability_id", "share", "prefix", "t.side", "t.rank")
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("column_id"), present(df, name).cast("double").alias("value")) for i, name in enumerate(columns)])))
+    cells = with_key(cells.filter("value is not null"), "value").select("column_id", "key")
+    target = "column_id int, probability_id int, side string, p double, prefix bigint, rank bigint"
+    targets = [(c, i, side, float(p), 0, None) for c in range(len(columns)) for i, p in enumerate(probabilities) for side in _SIDES]
+    shift, lower, totals = 64, 64 - DIGIT, {}
     while True:
-        # two rows per column and probability
-        targets = checkpointed(_chosen(targets, counts))
-        if shift == 0:
-            break
-        most = targets.agg(F.max("rows")).first()[0] or 0
-        lower = 0 if most <= BINS else shift - DIGIT
-        wanted = F.broadcast(targets.select("column_id", "prefix").distinct())
-        near = cells.withColumn("prefix", F.shiftright("key", shift)).join(wanted, ["column_id", "prefix"], "left_semi")
+        frame = spark.createDataFrame(targets, target)
+        if shift == 64:
+            near = cells.withColumn("prefix", F.lit(0).cast("bigint"))
+        else:
+            near = cells.withColumn("prefix", F.shiftright("key", shift)).join(
+                F.broadcast(frame.select("column_id", "prefix").distinct()), ["column_id", "prefix"], "left_semi")
         counts = near.groupBy("column_id", "prefix", F.shiftright("key", lower).alias("bin")).agg(F.count("*").alias("rows"))
-        targets, shift = targets.drop("rows"), lower
-    found = targets.groupBy("column_id", "probability_id").agg(
-        F.max("share").alias("share"), *[F.max(F.when(F.col("side") == s, key_value(F.col("prefix")))).alias(s) for s in ("low", "high")])
-    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") * (1 - F.col("share")) + F.col("high") * F.col("share"))
-    names = F.array(*[F.lit(c) for c in columns])
-    return asked.join(F.broadcast(found), ["column_id", "probability_id"], "left").select(
-        F.get(names, F.col("column_id")).alias("column_name"), F.col("p").alias("probability"), value.alias("quantile_value"))
+        found = _chosen(counts, frame)
+        if shift == 64:
+            totals = {r["column_id"]: r["n"] for r in found}
+        targets = [(r["column_id"], r["probability_id"], r["side"], float(probabilities[r["probability_id"]]), r["bin"], r["rank"]) for r in found]
+        if lower == 0 or not found:
+            break
+        shift, lower = lower, 0 if max(r["rows"] for r in found) <= BINS else lower - DIGIT
+    keys = {(c, i, side): key for c, i, side, _, key, _ in targets}
+
+    def value(c: int, i: int) -> float | None:
+        if c not in totals:
+            return None
+        low, high = (key_value(keys[c, i, side]) for side in _SIDES)
+        place = (totals[c] - 1) * float(probabilities[i])
+        share = place - math.floor(place)
+        return low if low == high else low * (1 - share) + high * share
+
+    rows = [(name, float(p), value(c, i)) for c, name in enumerate(columns) for i, p in enumerate(probabilities)]
+    return spark.createDataFrame(rows, "column_name string, probability double, quantile_value double")
