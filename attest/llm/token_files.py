@@ -178,7 +178,7 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int, dr
     returns are listed. Returns one row per file: path, bytes, n_docs, n_ids, start (ids in files before it).
 
     Reads `doc_id` and `text` only, so other columns cannot clash. A null or empty text has the end id alone;
-    repeated rows are written each; rows of one doc_id are in no set order among themselves; an empty table
+    repeated rows are written each; rows of one doc_id are ordered by text; an empty table
     gives no files.
     """
     spark = documents.sparkSession
@@ -205,7 +205,8 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int, dr
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], names=["task", "path", "bytes", "n_docs", "n_ids"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    by_id = F.col("doc_id").asc_nulls_first()
+    ranged = docs.repartitionByRange(by_id).sortWithinPartitions(by_id, F.col("text").asc_nulls_first())
     files = written(ranged.mapInArrow(write_task, "task long, path string, bytes long, n_docs long, n_ids long"), "token-files")
     # One row per file reaches the driver, as for any listing of files.
     rows, start = [], 0

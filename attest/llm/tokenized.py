@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from attest.llm.common import Pool, space_pieces, word_pieces
 
@@ -37,7 +38,8 @@ class TextEncoder:
     """Encodes texts with a tokenizer file. `drops_space`: the tokenizer's words never hold white space.
 
     Pieces between spaces are normalised by the library one by one, split by the file's pattern, and each
-    distinct word is merged by the library's model. Other kinds of file are left to the library whole.
+    distinct word is merged by the library's model. Other kinds of file are left to the library whole, and so are
+    texts that hold the string of an added token, which is one id.
     """
 
     def __init__(self, path: str, end_id: int, drops_space: bool):
@@ -45,10 +47,12 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings are ordinary text here
         self._model = self._tokenizer.model
         with open(path, encoding="utf-8") as file:
-            pattern = _pattern(json.load(file)["pre_tokenizer"])
+            spec = json.load(file)
+        pattern = _pattern(spec["pre_tokenizer"])
+        # A token that is sought in normalised text can come from any text.
+        self._marks = ["" if t["normalized"] and spec["normalizer"] else t["content"] for t in spec.get("added_tokens") or []]
         self._find = regex.compile(pattern).findall if pattern else None
         self._letters = _byte_letters()
         self._cut = word_pieces if drops_space else space_pieces
@@ -79,8 +83,20 @@ class TextEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and the number of ids of each."""
-        ids, counts = self._pool.run(*self._cut(texts))
+        marked = np.zeros(len(texts), bool)
+        for mark in self._marks:
+            marked |= pc.fill_null(pc.match_substring(texts, mark), False).to_numpy(zero_copy_only=False)
+        places = np.flatnonzero(marked)
+        plain = pc.if_else(pa.array(marked), pa.scalar("", texts.type), texts) if len(places) else texts
+        ids, counts = self._pool.run(*self._cut(plain))
         ends = np.cumsum(counts)
+        if len(places):
+            whole = [np.array(self._tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32) for i in places.tolist()]
+            lengths = np.array([len(w) for w in whole], np.int64)
+            ids = np.insert(ids, np.repeat(ends[places], lengths), np.concatenate(whole))
+            counts = counts.copy()
+            counts[places] = lengths
+            ends = np.cumsum(counts)
         return np.insert(ids, ends, np.uint32(self._end)).astype("<u4", copy=False), counts + 1
 
 

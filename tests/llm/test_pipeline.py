@@ -2,10 +2,13 @@
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from attest.llm import toxicity
+from attest.llm.common import written
 from attest.llm.queries import QUERIES
 
-OPERATORS = range(1, 11)
+OPERATORS = range(1, 14)
 
 
 def test_every_operator_is_registered_once():
@@ -77,3 +80,22 @@ def test_stages_keep_columns_and_take_effect(spark, odd_documents, tmp_path):
     assert "passage20" in both[1010] and "passage20" not in both[2001] + both[2002] and "a59" in both[2001]
     packed = corpus_pipeline.run(spark, folder)
     assert {r.doc_id for r in packed.collect()} == set(both)
+
+
+def test_stages_keep_columns_whose_names_clash(spark, tmp_path):
+    names = ("toxicity_score", "kept_id", "had_text", "row", "carried", "a.b")
+    table = labelled(spark)
+    odd = spark.createDataFrame([(900, None), (901, ""), (None, None), (None, "no id"), (5, "a second row of one id")], "doc_id long, text string")
+    docs = table.select("doc_id", "text").unionByName(odd)
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.coalesce("doc_id", F.lit(-1))).alias(n) for n in names], F.length("text").cast("long").alias("n_chars"))
+    table.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = written(stage(spark, kept, str(tmp_path)), name)
+        assert kept.dtypes == docs.dtypes
+        for r in kept.collect():
+            assert [r[n] for n in names] == [f"{n}:{-1 if r.doc_id is None else r.doc_id}" for n in names]
+    left = kept.collect()
+    assert {r.doc_id for r in left} >= {900, 901, None} and any(r.text is None for r in left)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

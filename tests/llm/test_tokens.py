@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from attest.llm import byte_bpe, packing, token_files
 from attest.llm.token_files import TokenFile, pack_block, unpack_block, write_file
-from attest.llm.tokenized import TextEncoder
+from attest.llm.tokenized import TextEncoder, text_encoder
 
 RANKS, BYTE, WORD = (P.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -27,7 +27,6 @@ def tiktoken_encoding():
 
 def by_library(path, text, end):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -97,6 +96,24 @@ def test_blank_lines_and_inner_white_space_keep_words_apart():
         assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", " ", "\n", "a", "Don't", "é", "12"]), max_size=6), min_size=1, max_size=5))
+def test_added_tokens_are_one_id_wherever_they_stand(parts):
+    texts = ["".join(p) for p in parts]
+    for path, end, drops in ((WORD, 2, True), (BYTE, 1, False)):
+        ids, counts = text_encoder(path, end, drops)(pa.array(texts))
+        expected = [by_library(path, t, end) for t in texts]
+        assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+
+
+def test_rows_of_one_doc_id_start_alike_in_every_run(spark):
+    rows = [(5, f"text {i * 7 % 40} " * (i % 9)) for i in range(40)] + [(5, None), (None, "x"), (None, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [sorted((r.start, r.doc_id or -1, bytes(r.ids)) for r in token_files.read_token_files(token_files.write_token_files(t, WORD, 2)).collect())
+            for t in (table, table.repartition(5, "text"))]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**40) | st.just(2**64 - 1) | st.integers(0, 9), min_size=1, max_size=300), st.sampled_from([0.5, 0.95, 1.0]))
 def test_blocks_round_trip(values, share):
