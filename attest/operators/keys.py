@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import prod
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attest.functions.values import is_nested, named, present, row_text
+from attest.functions.values import is_nested, named, present, row_digest, row_text
 
 SKETCH_SIZE = 12
 # Four standard errors of a merged sketch of that size.
 DOUBT = 4 * 1.04 / 2 ** (SKETCH_SIZE / 2)
 SETS_PER_SCAN = 200
-SLICES = 16
+SLICES = (4096, 256, 16)
+LEAST_SLICE = 100
 MOST_COLUMNS = 3
 
 
@@ -24,33 +26,53 @@ def _estimates(df: DataFrame, sets: list[tuple[str, ...]]) -> list[float]:
     return list(found.first())
 
 
-def _repeating(df: DataFrame, sets: list[tuple[str, ...]], slices: dict[int, str] | None = None) -> set[int]:
-    """The numbers of the sets that some values of occur twice: one narrow row for each row and set is shuffled.
+def _repeating(df: DataFrame, sets: list[tuple[str, ...]], slices: list[str], share: int) -> set[int]:
+    """The numbers of the sets that some values of occur twice in a slice: one narrow row for each of its rows and set is shuffled.
 
-    `slices` names a column of each set; then only rows with one in SLICES of its values are looked at. Rows that repeat agree in that column,
+    `slices` names a column of each set; only rows with one in `share` of its values are looked at. Rows that repeat agree in that column,
     so what is found in a slice repeats in the table.
     """
     used = sorted({c for s in sets for c in s})
+    near = {c: F.pmod(F.xxhash64(named(c)), F.lit(share)) == 0 for c in set(slices)}
+    rows = df.filter(reduce(Column.__or__, near.values()))
     texts = F.array(*[row_text(df, [c]) for c in used])
-    near = F.array(*[F.pmod(F.xxhash64(named(c)), F.lit(SLICES)) == 0 for c in used])
+    flags = F.array(*[near.get(c, F.lit(False)) for c in used])
     # the sets are a literal, and each column is read once for all of them
     listed = F.array(*[F.struct(F.lit(i).alias("set_id"), F.array(*[F.lit(used.index(c)) for c in s]).alias("places"),
-                                F.lit(used.index(slices[i]) if slices else 0).alias("slice")) for i, s in enumerate(sets)])
-    spread = df.select(texts.alias("texts"), near.alias("near")).select("texts", "near", F.explode(listed).alias("s")).select("texts", "near", "s.*")
-    if slices:
-        spread = spread.filter(F.get("near", F.col("slice")))
+                                F.lit(used.index(slices[i])).alias("slice")) for i, s in enumerate(sets)])
+    spread = rows.select(texts.alias("texts"), flags.alias("near")).select("texts", "near", F.explode(listed).alias("s")).select("texts", "near", "s.*")
+    spread = spread.filter(F.get("near", F.col("slice")))
     digest = F.unhex(F.sha2(F.array_join(F.transform("places", lambda i: F.get(F.col("texts"), i)), ""), 256))
     repeated = spread.select("set_id", digest.alias("digest")).groupBy("set_id", "digest").agg(F.count("*").alias("n")).filter("n > 1")
     return {r["set_id"] for r in repeated.select("set_id").distinct().collect()}
 
 
+def _repeats(df: DataFrame, columns: tuple[str, ...], bits: int = 64) -> bool:
+    """Whether some values of the columns occur twice in the whole table: 64 bits for each row are shuffled, not its values.
+
+    Rows with different hashes differ, so no hash that occurs twice settles it. The least hash that does is looked at by its digests; where
+    these differ (a collision), digests decide on all rows.
+    """
+    texts = [row_text(df, [c]) for c in columns]
+    code = F.shiftrightunsigned(F.xxhash64(*texts), 64 - bits)
+    least = df.select(code.alias("code")).groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").agg(F.min("code")).first()[0]
+    if least is None:
+        return False
+
+    def met(rows: DataFrame) -> bool:
+        digests = rows.select(row_digest(df, list(columns)).alias("digest"))
+        return not digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+    return met(df.filter(code == least)) or met(df)
+
+
 def minimal_keys(df: DataFrame, table: str, most_columns: int = MOST_COLUMNS, sets_per_scan: int = SETS_PER_SCAN) -> DataFrame:
     """Sets of at most `most_columns` columns that identify every row, none of which holds a smaller such set: table_name, key_columns
     (joined by commas, in the table's order), column_count.
 
     Columns with missing values are in no key; a table without rows has none. Sets are tried by size. A set that holds a
     key is passed over, and one whose columns have too few distinct values together; sketches of all others are filled in
-    scans of `sets_per_scan` sets, and only sets that may be unique by their sketch are counted exactly, first over a slice of the rows. What reaches the driver is
+    scans of `sets_per_scan` sets, and only sets that may be unique by their sketch are counted exactly, first over slices of the rows. What reaches the driver is
     a number for each set.
     """
     fields = [f.name for f in df.schema.fields if not is_nested(f.dataType)]
@@ -67,12 +89,11 @@ def minimal_keys(df: DataFrame, table: str, most_columns: int = MOST_COLUMNS, se
             if size == 1:
                 distinct.update({s[0]: e * (1 + DOUBT) + 1 for s, e in zip(tried, estimates)})
             near = [s for s, e in zip(tried, estimates) if e * (1 + DOUBT) + 1 >= rows]
-            # most sets that are no keys show it in a slice; the rest are counted over all rows
-            if near and size > 1:
-                repeating = _repeating(df, near, {i: max(s, key=distinct.__getitem__) for i, s in enumerate(near)})
-                near = [s for i, s in enumerate(near) if i not in repeating]
-            if near:
-                repeating = _repeating(df, near)
-                keys += [s for i, s in enumerate(near) if i not in repeating]
+            # most sets that are no keys show it in a slice, from thin to thick; the rest are counted over all rows, one by one
+            for share in SLICES if size > 1 else ():
+                if near and rows >= share * LEAST_SLICE:
+                    repeating = _repeating(df, near, [max(s, key=distinct.__getitem__) for s in near], share)
+                    near = [s for i, s in enumerate(near) if i not in repeating]
+            keys += [s for s in near if not _repeats(df, s)]
     found = [(table, ",".join(k), len(k)) for k in keys]
     return df.sparkSession.createDataFrame(found, "table_name string, key_columns string, column_count int")

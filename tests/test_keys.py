@@ -38,6 +38,22 @@ def test_no_rows_and_nested_columns(spark):
     assert keys.minimal_keys(df.limit(0), "t").count() == 0
 
 
+def test_whole_tables_are_counted_by_hashes_set_by_set(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id as a", "id div 2 as b", "id % 2 as c", "id % 50 as d", "cast(id div 50 as string) as e")
+    assert keys._repeats(df, ("b",)) and not keys._repeats(df, ("a",)) and not keys._repeats(df, ("b", "c"))
+    # hashes that collide are told apart by digests
+    assert not keys._repeats(df, ("b", "c"), bits=8) and keys._repeats(df, ("b", "d", "e"), bits=8) == keys._repeats(df, ("b", "d", "e"))
+    seen = []
+    monkeypatch.setattr(keys, "SLICES", (4096, 30, 10))
+    whole, sliced = keys._repeats, keys._repeating
+    monkeypatch.setattr(keys, "_repeats", lambda df, s: seen.append(s) or whole(df, s))
+    monkeypatch.setattr(keys, "_repeating", lambda df, sets, slices, share: seen.append((share, len(sets))) or sliced(df, sets, slices, share))
+    found = {r["key_columns"] for r in keys.minimal_keys(df, "t").collect()}
+    assert found == {"a", "b,c", "b,d", "d,e"}
+    # no pass over all rows takes several sets, and thin slices come before thick ones
+    assert [s for s in seen if isinstance(s[0], str)][0] == ("a",) and [s[0] for s in seen if isinstance(s[0], int)][:2] == [30, 10]
+
+
 def test_intervals(spark):
     left = spark.range(60_000).selectExpr("id as k", "id % 7 as m")
     right = spark.range(30_000, 100_000).selectExpr("id as k", "cast(null as bigint) as m")
