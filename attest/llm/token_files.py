@@ -14,6 +14,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ PACKED_SHARE = 0.95
 _HEAD = struct.Struct("<QBII")  # minimum, width, values, exceptions
 _FOOT = struct.Struct("<QQQQQQ8s")
 READ_BYTES = 1 << 22
+_WORD_WIDTH = 57  # wider values can lie in nine bytes
 
 
 def pack_block(values: np.ndarray, share: float = PACKED_SHARE) -> bytes:
@@ -50,18 +52,31 @@ def block_bytes(head: bytes) -> int:
     return _HEAD.size + (width * n + 7) // 8 + 12 * exceptions
 
 
+@lru_cache(maxsize=64)
+def _places(width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each of `n` packed values, and the bits before it there."""
+    bits = np.arange(n, dtype=np.int64) * width
+    return bits >> 3, (bits & 7).astype(np.uint64)
+
+
 def unpack_block(data: bytes) -> np.ndarray:
     low, width, n, exceptions = _HEAD.unpack_from(data)
     at = _HEAD.size
     size = (width * n + 7) // 8
     rest = np.zeros(n, np.uint64)
-    if width:
+    if 0 < width <= _WORD_WIDTH:
+        # every value lies in the eight bytes from its first one on
+        held = np.zeros(size + 8, np.uint8)
+        held[:size] = np.frombuffer(data, np.uint8, size, at)
+        first, shift = _places(width, n)
+        rest = np.ndarray(size + 1, "<u8", held, strides=(1,))[first]
+        rest >>= shift
+        rest &= np.uint64((1 << width) - 1)
+    elif width:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=width * n).reshape(n, width)
-        wide = np.zeros((n, 8 * ((width + 7) // 8)), np.uint8)
-        wide[:, :width] = bits
-        whole = np.zeros((n, 8), np.uint8)
-        whole[:, : wide.shape[1] // 8] = np.packbits(wide, axis=1, bitorder="little")
-        rest = whole.view("<u8").ravel().astype(np.uint64)
+        whole = np.zeros((n, 64), np.uint8)
+        whole[:, :width] = bits
+        rest = np.packbits(whole, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
     at += size
     places = np.frombuffer(data, "<u4", exceptions, at)
     rest[places] = np.frombuffer(data, "<u8", exceptions, at + 4 * exceptions)

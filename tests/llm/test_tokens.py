@@ -132,3 +132,17 @@ def test_random_access_and_damage():
     with pytest.raises(ValueError):
         TokenFile(io.BytesIO(out.getvalue()[:-1]), len(out.getvalue()) - 1)
     assert zlib.crc32(ids.tobytes()) == zlib.crc32(np.concatenate([x for _, _, x in file.documents()]).tobytes())
+
+
+@pytest.mark.parametrize("n", [1, 7, 128])
+def test_blocks_of_every_width(monkeypatch, n):
+    rng = np.random.default_rng(n)
+    spread = np.unpackbits
+    for width in range(65):
+        values = rng.integers(0, 1 << width, n, np.uint64, endpoint=False) if width < 64 else rng.integers(0, (1 << 64) - 1, n, np.uint64, endpoint=True)
+        for share in (1.0, 0.5):
+            data = pack_block(values, share)
+            # only values that can lie in nine bytes are spread to single bits
+            monkeypatch.setattr(np, "unpackbits", spread if width > 57 else None)
+            assert unpack_block(data).tolist() == values.tolist()
+            monkeypatch.setattr(np, "unpackbits", spread)
