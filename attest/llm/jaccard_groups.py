@@ -5,7 +5,9 @@ that two documents which reach the threshold must agree on some classes whole (a
 spoils one class). A shared passage rarely fills a class, so tokens are shared by near copies only.
 
 1. Tokens that one document alone has are dropped. Each document is put into a group with the holder it shares
-   most tokens with, of the least holders of its tokens; members of a group are compared in blocks.
+   most tokens with, of the least holders of its tokens, if these are MET or more. Groups that still meet are
+   joined in the same way, so that a cluster of near copies is one group and not many that all meet each other.
+   Members of a group are compared in blocks.
 2. The matrix keeps each group's token union. A document's overlap with the unions of other groups bounds its
    overlap with their members; only groups that reach the bound are opened.
 3. Members of opened groups that share enough tokens are verified. All verified links give the components.
@@ -24,10 +26,11 @@ from attest.llm.common import arrow_slices, ragged, written
 from attest.llm.graph import components, least_roots
 from attest.llm.shingles import mixed, shingle_sets
 
-BLOCK = 512
+BLOCK = 1024
 ORDERS = 3
 MET = 3
-COLUMNS = 4096
+ROUNDS = 4
+COLUMNS = 2048
 _TOKEN_BYTES = 7
 _ROW = "doc_id long, n long, vertex long"
 
@@ -245,6 +248,53 @@ def _inside(groups: DataFrame, rows: DataFrame, documents: DataFrame, words: int
     return written(spread.groupBy("component", "low", "high").applyInArrow(compare, "a long, b long"), "inside")
 
 
+def _apart(held: DataFrame) -> DataFrame:
+    """The rows of `held` that can matter between groups.
+
+    Tokens of one group alone, and then documents with fewer tokens of a band than they must share, cannot.
+    """
+    in_band = Window.partitionBy("vertex", "band")
+    for _ in range(2):
+        apart = held.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("token")
+        held = written(held.drop("tokens").join(written(apart, "tokens-apart"), "token", "left_semi").withColumn(
+            "tokens", F.count("*").over(in_band)).filter("tokens >= need"), "holders-apart")
+    return held
+
+
+def _meeting(held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of groups: for each document, of the least groups of its tokens, that which holds most of them."""
+    rank = [F.struct(F.xxhash64("grp", F.lit(i)).alias("rank"), F.col("grp").alias("b"), F.lit(i).alias("turn")) for i in range(ORDERS)]
+    # The greatest too, so that the documents of a token's least group see another one.
+    seen = [*[F.min(r) for r in rank], F.max(rank[0].withField("turn", F.lit(ORDERS)))]
+    least = written(held.groupBy("token").agg(F.array(*seen).alias("least")), "least-groups")
+    stars = held.join(least, "token").select("vertex", "band", "need", "grp", F.inline("least")).filter("grp <> b").groupBy(
+        "vertex", "grp", "turn", "b", "band").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter(f"shared >= least(need, {MET})")
+    best = stars.groupBy("vertex", "grp", "turn").agg(F.max(F.struct("shared", "b")).alias("best"))
+    return written(best.select(F.col("grp").alias("a"), "best.b").distinct(), "meeting-groups")
+
+
+def _joined_groups(holders: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The groups (node, component) after joining those that meet, and the holders that matter between them.
+
+    A group that a document shares MET tokens with may hold a link. Where many such groups meet, asking each
+    document for each of them would grow with the square of their number; joined they are compared in blocks.
+    """
+    held = holders.join(groups, F.col("vertex") == F.col("node"), "left").select(
+        "token", "vertex", "band", "need", "n", F.coalesce("component", "vertex").alias("grp")).distinct()
+    held = _apart(written(held, "holders"))
+    for _ in range(ROUNDS):
+        meeting = _meeting(held)
+        if meeting.isEmpty():
+            break
+        into = written(components(meeting).select(F.col("node").alias("grp"), F.col("component").alias("into")), "joined-groups")
+        alone = into.select(F.col("grp").alias("node"), F.col("grp").alias("component")).join(groups.select("node"), "node", "left_anti")
+        groups = groups.unionByName(alone).join(into, F.col("component") == F.col("grp"), "left").select(
+            "node", F.coalesce("into", "component").alias("component"))
+        groups = written(groups, "groups")
+        held = _apart(held.join(into, "grp", "left").withColumn("grp", F.coalesce("into", "grp")).drop("into"))
+    return groups, held
+
+
 def _sizes_allow(percent: int):
     return F.expr(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)")
 
@@ -274,21 +324,14 @@ def join_similar(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
         F.col("vertex").alias("a"), F.col("n").alias("own_n"), "band", "need", F.inline("least"))
     stars = stars.select("a", "band", "need", "turn", F.col("vertex").alias("b"), F.col("own_n").alias("n"), F.col("n").alias("other_n"))
     stars = stars.filter("a <> b").filter(_sizes_allow(percent)).groupBy("a", "turn", "b", "band").agg(
-        F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= need")
+        F.count("*").alias("shared"), F.min("need").alias("need")).filter(f"shared >= least(need, {MET})")
     stars = written(stars.groupBy("a", "turn").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b"), "stars")
     groups = written(components(stars), "groups")
+    groups, held = _joined_groups(holders, groups)
     links = _inside(groups, rows, docs, words, percent)
 
-    # The matrix: which groups hold a token. Tokens of one group alone, and then documents with fewer tokens of
-    # a band than they must share, cannot matter.
-    held = holders.join(groups, F.col("vertex") == F.col("node"), "left").select(
-        "token", "vertex", "band", "need", "n", F.coalesce("component", "vertex").alias("grp")).distinct()
-    held = written(held, "holders")
+    # The matrix: which groups hold a token.
     in_band = Window.partitionBy("vertex", "band")
-    for _ in range(2):
-        apart = held.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low <> high").select("token")
-        held = written(held.drop("tokens").join(written(apart, "tokens-apart"), "token", "left_semi").withColumn(
-            "tokens", F.count("*").over(in_band)).filter("tokens >= need"), "holders-apart")
     matrix = written(held.select("token", F.col("grp").alias("other")).distinct(), "matrix")
     # A group that shares `need` of a document's tokens has MET of them among all but its `need` - MET commonest.
     # Only groups met there are asked for the others.

@@ -90,6 +90,30 @@ def test_similar_documents(spark, odd_documents, monkeypatch):
     assert jaccard_groups.join_similar(odd_documents.limit(0), 3, 90).count() == 0
 
 
+def test_unlinked_near_copies_do_not_all_meet(spark, monkeypatch):
+    draw = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(150):  # most pairs share several tokens, few or none the nine tenths of a link
+        copy = list(base)
+        for at in draw.sample(range(200), 5):
+            copy[at] = f"n{draw.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    rows = {}
+
+    def counted(df, name, written=jaccard_groups.written):
+        rows[name] = (table := written(df, name)).count()
+        return table
+
+    monkeypatch.setattr(jaccard_groups, "written", counted)
+    sets = [shingles(t, 3) for t in texts]
+    nodes = range(len(texts))
+    label = least_reached(nodes, [(i, j) for i in nodes for j in range(i) if 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])])
+    found = jaccard_groups.join_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90)
+    assert {r.doc_id: r.component_id for r in found.collect()} == label
+    assert rows["groups-met"] + rows["pairs"] <= len(texts)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.binary(min_size=0, max_size=6) | st.sampled_from([b"aaaaaa", b"ab"]), max_size=60))
 def test_deep_shallow_sorting(values):
