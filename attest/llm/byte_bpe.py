@@ -2,7 +2,7 @@
 
 1. Each task cuts its texts into pre-tokens (matches of the pattern) and keeps a chapter: the distinct words
    of a bounded amount of text, and for each document the words' numbers in order of position.
-2. The chapters' words are shuffled by word, and each distinct word is merged into ids once.
+2. The chapters' words are shuffled by word, in packed runs, and each distinct word is merged into ids once.
 3. The ids go back to their chapters, where each document's ids are gathered by position.
 4. Decoding joins ids with the token-byte table, whose size is the vocabulary's and is checked.
 """
@@ -25,9 +25,9 @@ from attest.llm.tokenized import ENCODE_CHARS
 
 CHAPTER_WORDS = 300_000
 CHAPTER_CHARS = 32_000_000
+KEPT_WORDS = 600_000
 TABLE_BYTES = 64 << 20
-_CHAPTER = "chapter long, docs binary, known binary, counts binary, numbers binary, words binary, first long, size long"
-_WORDS_ROW = 20_000
+_CHAPTER = "chapter long, docs binary, known binary, counts binary, numbers binary, shard int, words binary, places binary, size long"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -49,7 +49,6 @@ class _Chapter:
 
     def __init__(self, pattern):
         self.words: dict[str, int] = {}
-        self.sent = 0
         self.chars = 0
         number = self.words
 
@@ -61,23 +60,31 @@ class _Chapter:
         self.pool = Pool(numbers, limit=2 * CHAPTER_WORDS)
 
 
-def _packed(values: list[str]) -> bytes:
-    data = [v.encode("utf-8", "surrogatepass") for v in values]
-    return zlib.compress(np.array([len(d) for d in data], "<u4").tobytes() + b"".join(data), 1)
+def _packed(values: list[bytes]) -> bytes:
+    return zlib.compress(np.array([len(d) for d in values], "<u4").tobytes() + b"".join(values), 1)
 
 
-def _unpacked(data: bytes, n: int) -> list[str]:
+def _unpacked(data: bytes, n: int) -> list[bytes]:
     data = zlib.decompress(data)
     ends = np.cumsum(np.frombuffer(data, "<u4", n), dtype=np.int64).tolist()
     body, start, out = data[4 * n :], 0, []
     for end in ends:
-        out.append(body[start:end].decode("utf-8", "surrogatepass"))
+        out.append(body[start:end])
         start = end
     return out
 
 
-def _chapters(documents: DataFrame, pattern: str) -> DataFrame:
-    """Rows of documents with word numbers, and rows of words with the number of the first."""
+def _planes(numbers: np.ndarray) -> bytes:
+    """Integers by planes of equal bytes, which compress better than whole ones."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _chapters(documents: DataFrame, pattern: str, shards: int) -> DataFrame:
+    """Rows of documents with word numbers, and rows of words with the steps between their numbers, one for each shard."""
 
     def task(batches):
         import regex
@@ -86,87 +93,84 @@ def _chapters(documents: DataFrame, pattern: str) -> DataFrame:
         number, chapter = 0, _Chapter(compiled)
         base = TaskContext.get().partitionId() << 32
 
-        def row(docs=None, counts=None, numbers=None, words=None):
-            known = docs is not None
-            cells = [
-                base + number,
-                np.array([d or 0 for d in docs], "<i8").tobytes() if known else None,
-                np.array([d is not None for d in docs], np.uint8).tobytes() if known else None,
-                counts.astype("<i8").tobytes() if known else None,
-                zlib.compress(numbers.astype("<u4").tobytes(), 1) if known else None,
-                None if known else _packed(words),
-                None if known else chapter.sent,
-                None if known else len(words),
-            ]
-            kinds = (pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64())
-            arrays = [pa.array([c], k) for c, k in zip(cells, kinds)]
-            return pa.RecordBatch.from_arrays(arrays, names=["chapter", "docs", "known", "counts", "numbers", "words", "first", "size"])
-
-        def unsent():
-            words = list(chapter.words)[chapter.sent :]
-            for at in range(0, len(words), _WORDS_ROW):
-                yield row(words=words[at : at + _WORDS_ROW])
-                chapter.sent += len(words[at : at + _WORDS_ROW])
+        def row(*docs, words=(None,) * 4):
+            docs = docs or (None,) * 4
+            kinds = (pa.int64(), *[pa.binary()] * 4, pa.int32(), *[pa.binary()] * 2, pa.int64())
+            arrays = [pa.array([c], k) for c, k in zip((base + number, *docs, *words), kinds)]
+            return pa.RecordBatch.from_arrays(arrays, names=["chapter", "docs", "known", "counts", "numbers", "shard", "words", "places", "size"])
+
+        def known_words():
+            words = [w.encode("utf-8", "surrogatepass") for w in chapter.words]
+            dealt = [[] for _ in range(shards)]
+            for place, word in enumerate(words):
+                dealt[zlib.crc32(word) % shards].append(place)
+            for shard, places in enumerate(dealt):
+                if places:
+                    yield row(words=(shard, _packed([words[p] for p in places]), _planes(np.diff(places, prepend=0)), len(places)))
 
         for batch in arrow_slices(batches, ENCODE_CHARS):
             numbers, counts = chapter.pool.run(*space_pieces(batch.column("text")))
             chapter.chars += pc.sum(pc.utf8_length(batch.column("text"))).as_py()
-            yield row(batch.column("doc_id").to_pylist(), counts, numbers)
+            docs = batch.column("doc_id").to_pylist()
+            yield row(np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is not None for d in docs], np.uint8).tobytes(),
+                      counts.astype("<i8").tobytes(), _planes(numbers))
             if len(chapter.words) > CHAPTER_WORDS or chapter.chars > CHAPTER_CHARS:
-                yield from unsent()
+                yield from known_words()
                 number, chapter = number + 1, _Chapter(compiled)
-        yield from unsent()
+        yield from known_words()
 
     return written(documents.mapInArrow(task, _CHAPTER), "chapters")
 
 
 def _encoded_words(chapters: DataFrame, tokenizer_path: str) -> DataFrame:
-    """chapter, number, ids of each chapter's words; equal words meet in one task and are merged once."""
+    """chapter, places, lengths, ids of each chapter's words; equal words meet in one task and are merged once.
 
-    def explode(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                size = row["size"]
-                words = _unpacked(row["words"], size)
-                numbers = pa.array(np.arange(row["first"], row["first"] + size))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([row["chapter"]] * size, pa.int64()), numbers], names=["word", "chapter", "number"])
+    A task keeps KEPT_WORDS merged words at most; only beyond that is a word merged again.
+    """
 
     def merge(batches):
         encode = byte_merger(ranks_of(tokenizer_path))
-        last, last_ids = None, b""
+        kept: dict[bytes, bytes] = {}
         for batch in batches:
-            out = []
-            for word in batch.column("word").to_pylist():  # sorted, so equal words are neighbours
-                if word != last:
-                    last, last_ids = word, np.array(encode(word), "<u4").tobytes()
-                out.append(last_ids)
-            yield pa.RecordBatch.from_arrays([batch.column("chapter"), batch.column("number"), pa.array(out, pa.binary())], names=["chapter", "number", "ids"])
+            for row in batch.to_pylist():
+                if len(kept) > KEPT_WORDS:
+                    kept.clear()
+                out = []
+                for word in _unpacked(row["words"], row["size"]):
+                    if (ids := kept.get(word)) is None:
+                        ids = kept[word] = np.array(encode(word.decode("utf-8", "surrogatepass")), "<u4").tobytes()
+                    out.append(ids)
+                cells = (row["chapter"], row["places"], _planes(np.array([len(i) // 4 for i in out])), _planes(np.frombuffer(b"".join(out), "<u4")))
+                kinds = (pa.int64(), *[pa.binary()] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names=["chapter", "places", "lengths", "ids"])
 
-    rows = chapters.filter("words is not null").select("chapter", "first", "words", "size")
-    words = rows.mapInArrow(explode, "word string, chapter long, number long")
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(merge, "chapter long, number long, ids binary")
+    rows = chapters.filter("words is not null").select("chapter", "shard", "words", "places", "size")
+    return rows.repartition("shard").mapInArrow(merge, "chapter long, places binary, lengths binary, ids binary")
 
 
 def encode(documents: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
     """Ids of every whole text by the ranks of `tokenizer_path`, each match of `pattern` alone: doc_id, ids.
 
     ids are little-endian unsigned 32-bit integers. The words of a chapter are at most CHAPTER_WORDS and those
-    of one more slice of texts, so what meets in one task is bounded; a frequent word has one row per chapter.
+    of one more slice of texts, so what meets in one task is bounded; a frequent word is sent once per chapter.
 
     Reads `doc_id` and `text` only, so other columns cannot clash. A null or empty text has no ids; a null
     doc_id is kept; repeated rows are encoded each; an empty table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chapters = _chapters(docs, pattern)
+    # More shards than tasks, so that tasks get even shares; a chapter has one row of words for each.
+    shards = 2 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chapters = _chapters(docs, pattern, shards)
     words = _encoded_words(chapters, tokenizer_path)
 
     def assemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("number").to_numpy())
-        if len(order) != (right.column("number").to_numpy()[order[-1]] + 1 if len(order) else 0):
+        rows = right.select(["places", "lengths", "ids"]).to_pylist()
+        places = np.concatenate([np.cumsum(_numbers(r["places"])) for r in rows] or [np.zeros(0, np.int64)])
+        lengths = np.concatenate([_numbers(r["lengths"]) for r in rows] or [np.zeros(0, np.int64)])
+        flat = np.concatenate([_numbers(r["ids"]) for r in rows] or [np.zeros(0, np.int64)]).astype("<u4")
+        order = np.argsort(places)
+        if len(order) != (places[order[-1]] + 1 if len(order) else 0):
             raise ValueError("a chapter's words are incomplete")
-        ids = right.column("ids").to_pylist()
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
         starts = (np.cumsum(lengths) - lengths)[order]
         lengths = lengths[order]
         names, encoded = [], []
@@ -174,7 +178,7 @@ def encode(documents: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame
             docs = np.frombuffer(row["docs"], "<i8").tolist()
             known = np.frombuffer(row["known"], np.uint8).tolist()
             counts = np.frombuffer(row["counts"], "<i8")
-            at = np.frombuffer(zlib.decompress(row["numbers"]), "<u4").astype(np.int64)
+            at = _numbers(row["numbers"])
             size = lengths[at]
             all_ids = flat[ragged(starts[at], size)]
             bounds = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))]

@@ -42,6 +42,22 @@ def test_encode_and_decode(spark, odd_documents):
     assert byte_bpe.decode(byte_bpe.encode(empty, RANKS, P.PATTERN), RANKS).count() == 0
 
 
+def test_words_travel_packed(spark, monkeypatch):
+    sent, words = [], byte_bpe._encoded_words
+
+    def counted(chapters, path):
+        sent.append(words(chapters, path))
+        return sent[0]
+
+    monkeypatch.setattr(byte_bpe, "_encoded_words", counted)
+    texts = {i: " ".join(f"w{i}x{j}" for j in range(2000)) for i in range(4)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    encoding = tiktoken_encoding()
+    for r in byte_bpe.encode(table, RANKS, P.PATTERN).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == encoding.encode_ordinary(texts[r.doc_id])
+    assert sent[0].count() <= 100
+
+
 def test_packing(spark, odd_documents):
     rows = packing.pack(odd_documents, BYTE, 1, capacity=64).collect()
     texts = {r.doc_id: r.text for r in odd_documents.collect()}
