@@ -25,7 +25,7 @@ from attest.llm.tokenized import ENCODE_CHARS
 
 CHAPTER_WORDS = 300_000
 CHAPTER_CHARS = 32_000_000
-KEPT_WORDS = 600_000
+KEPT_WORDS = 100_000
 TABLE_BYTES = 64 << 20
 _CHAPTER = "chapter long, docs binary, known binary, counts binary, numbers binary, shard int, words binary, places binary, size long"
 
@@ -83,6 +83,19 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _marked(numbers: np.ndarray, known: int) -> np.ndarray:
+    """`known`, then the numbers with 0 for each word met for the first time, as such words are numbered in turn."""
+    numbers = np.asarray(numbers, np.int64)
+    before = np.maximum.accumulate(np.concatenate(([known - 1], numbers)))[:-1]
+    return np.concatenate(([known], np.where(numbers > before, 0, numbers + 1)))
+
+
+def _unmarked(marked: np.ndarray) -> np.ndarray:
+    numbers, new = marked[1:] - 1, marked[1:] == 0
+    numbers[new] = marked[0] + np.arange(np.count_nonzero(new))
+    return numbers
+
+
 def _chapters(documents: DataFrame, pattern: str, shards: int) -> DataFrame:
     """Rows of documents with word numbers, and rows of words with the steps between their numbers, one for each shard."""
 
@@ -100,20 +113,20 @@ def _chapters(documents: DataFrame, pattern: str, shards: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, names=["chapter", "docs", "known", "counts", "numbers", "shard", "words", "places", "size"])
 
         def known_words():
-            words = [w.encode("utf-8", "surrogatepass") for w in chapter.words]
-            dealt = [[] for _ in range(shards)]
-            for place, word in enumerate(words):
-                dealt[zlib.crc32(word) % shards].append(place)
-            for shard, places in enumerate(dealt):
-                if places:
-                    yield row(words=(shard, _packed([words[p] for p in places]), _planes(np.diff(places, prepend=0)), len(places)))
+            words = list(chapter.words)
+            dealt = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % shards for w in words), np.int32, len(words))
+            order = np.argsort(dealt, kind="stable")
+            for places in np.split(order, np.flatnonzero(np.diff(dealt[order])) + 1) if len(words) else []:
+                data = _packed([words[p].encode("utf-8", "surrogatepass") for p in places.tolist()])
+                yield row(words=(int(dealt[places[0]]), data, _planes(np.diff(places, prepend=0)), len(places)))
 
         for batch in arrow_slices(batches, ENCODE_CHARS):
+            known = len(chapter.words)
             numbers, counts = chapter.pool.run(*space_pieces(batch.column("text")))
             chapter.chars += pc.sum(pc.utf8_length(batch.column("text"))).as_py()
             docs = batch.column("doc_id").to_pylist()
             yield row(np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is not None for d in docs], np.uint8).tobytes(),
-                      counts.astype("<i8").tobytes(), _planes(numbers))
+                      counts.astype("<i8").tobytes(), _planes(_marked(numbers, known)))
             if len(chapter.words) > CHAPTER_WORDS or chapter.chars > CHAPTER_CHARS:
                 yield from known_words()
                 number, chapter = number + 1, _Chapter(compiled)
@@ -125,16 +138,16 @@ def _chapters(documents: DataFrame, pattern: str, shards: int) -> DataFrame:
 def _encoded_words(chapters: DataFrame, tokenizer_path: str) -> DataFrame:
     """chapter, places, lengths, ids of each chapter's words; equal words meet in one task and are merged once.
 
-    A task keeps KEPT_WORDS merged words at most; only beyond that is a word merged again.
+    A task keeps the merged words of one shard, KEPT_WORDS and those of one row at most; beyond that a word is merged again.
     """
 
     def merge(batches):
         encode = byte_merger(ranks_of(tokenizer_path))
-        kept: dict[bytes, bytes] = {}
+        shard, kept = None, {}
         for batch in batches:
             for row in batch.to_pylist():
-                if len(kept) > KEPT_WORDS:
-                    kept.clear()
+                if row["shard"] != shard or len(kept) > KEPT_WORDS:
+                    shard, kept = row["shard"], {}
                 out = []
                 for word in _unpacked(row["words"], row["size"]):
                     if (ids := kept.get(word)) is None:
@@ -145,7 +158,7 @@ def _encoded_words(chapters: DataFrame, tokenizer_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names=["chapter", "places", "lengths", "ids"])
 
     rows = chapters.filter("words is not null").select("chapter", "shard", "words", "places", "size")
-    return rows.repartition("shard").mapInArrow(merge, "chapter long, places binary, lengths binary, ids binary")
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "chapter long, places binary, lengths binary, ids binary")
 
 
 def encode(documents: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
@@ -178,7 +191,7 @@ def encode(documents: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame
             docs = np.frombuffer(row["docs"], "<i8").tolist()
             known = np.frombuffer(row["known"], np.uint8).tolist()
             counts = np.frombuffer(row["counts"], "<i8")
-            at = _numbers(row["numbers"])
+            at = _unmarked(_numbers(row["numbers"]))
             size = lengths[at]
             all_ids = flat[ragged(starts[at], size)]
             bounds = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))]

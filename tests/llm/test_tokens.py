@@ -58,6 +58,18 @@ def test_words_travel_packed(spark, monkeypatch):
     assert sent[0].count() <= 100
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 6), max_size=12), max_size=5))
+def test_first_occurrences_are_marked(rows):
+    known = {}
+    for row in rows:
+        before = len(known)
+        numbers = np.array([known.setdefault(w, len(known)) for w in row], np.int64)
+        marked = byte_bpe._marked(numbers, before)
+        assert byte_bpe._unmarked(byte_bpe._numbers(byte_bpe._planes(marked))).tolist() == numbers.tolist()
+        assert np.count_nonzero(marked[1:] == 0) == len(known) - before
+
+
 def test_packing(spark, odd_documents):
     rows = packing.pack(odd_documents, BYTE, 1, capacity=64).collect()
     texts = {r.doc_id: r.text for r in odd_documents.collect()}
