@@ -14,6 +14,7 @@ from attest.llm.common import written
 
 K = 2
 PERMUTATIONS = 32
+LINE = 32
 NULL_ID = -(1 << 63)
 _HASH_BITS = 0x7FFFFFFF00000000  # a rank holds 31 bits of hash above 32 bits of position
 
@@ -43,13 +44,17 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", k: int =
     """
     # The words are a column of their own, or each k-mer would split the text again.
     split = texts.select(*keys, *carried, F.split(text, r"\s+").alias("words"))
-    runs = F.transform("words", lambda word, i: F.xxhash64(*[F.get("words", i - j) for j in range(1, k)], word))
-    rows = split.select(*keys, *carried, F.posexplode(runs).alias("at", "run"))
-    rows = rows.select(*keys, *[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in carried], "at", "run")
+    rows = split.select(*keys, *carried, "words", F.posexplode("words").alias("at", "word"))
+    run = F.xxhash64(*[F.get("words", F.col("at") - j) for j in range(1, k)], "word")
+    rows = rows.select(*keys, *[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in carried], "at", run.alias("run"))
     occurrence = F.row_number().over(Window.partitionBy(*keys, "run").orderBy("at"))
     rows = rows.withColumn("run", F.xxhash64("run", occurrence))
-    ranks = [F.xxhash64("run", F.lit(i)).bitwiseAND(F.lit(_HASH_BITS)).bitwiseOR(F.col("at").cast("long")).alias(f"r{i}") for i in range(permutations)]
-    ranked = rows.select(*keys, *carried, *ranks)
+    # Places in a grid of LINE columns: any two lie in different lines or in different columns, so the two least
+    # ranks of a text are each the least of some line or column, and only these least ones are compared.
+    lines = F.explode(F.array(F.expr(f"at div {LINE}"), F.expr(f"-1L - at % {LINE}")))
+    rows = rows.select(*keys, *carried, "at", "run", lines.alias("line"))
+    ranks = [F.xxhash64("run", F.lit(i)).bitwiseAND(F.lit(_HASH_BITS)).bitwiseOR(F.col("at").cast("long")) for i in range(permutations)]
+    ranked = rows.groupBy(*keys, *carried, "line").agg(*[F.min(r).alias(f"r{i}") for i, r in enumerate(ranks)])
     whole = Window.partitionBy(*keys)
     least = ranked.select(*keys, *carried, *[f"r{i}" for i in range(permutations)], *[F.min(f"r{i}").over(whole).alias(f"m{i}") for i in range(permutations)])
     two = least.groupBy(*keys).agg(
@@ -95,7 +100,7 @@ def compare_edited(documents: DataFrame, k: int = K, permutations: int = PERMUTA
     heads = heads.groupBy("doc").agg(F.min("head").alias("head"))
     both = docs.join(heads, "doc").withColumn("half", half).withColumn(
         "edited", F.expr("concat(substring(text, 1, length(text) - half), substring(head, 1, half))")).withColumn(
-        "number", F.monotonically_increasing_id())
+        "number", 2 * F.monotonically_increasing_id())
     pair = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))
     texts = both.select("doc", "number", F.inline(pair)).select(
         "doc", "number", "kind", "text", F.when(F.col("kind") == 0, F.length("text")).cast("long").alias("n_chars"),

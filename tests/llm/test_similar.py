@@ -198,3 +198,29 @@ def test_order_minhash_selects_the_two_least(spark):
     two = sorted(sorted(h.r for h in hashed)[:2], key=lambda r: r & 0xFFFFFFFF)
     expected = spark.createDataFrame([(two[0] >> 32, two[1] >> 32)], "a long, b long").select(F.hash("a", "b")).first()[0]
     assert order_minhash.fingerprints(table, ["id"], permutations=1).first().fingerprint == [expected]
+
+
+def test_two_least_of_long_texts_come_from_one_fold(spark, monkeypatch):
+    draw = random.Random(7)
+    texts = [" ".join(f"w{draw.randrange(40)}" for _ in range(n)) for n in (1, 2, 3, 5, 31, 32, 33, 64, 65, 150, 400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    runs, seen = [], {}
+    for i, t in enumerate(texts):
+        words = t.split(" ")
+        for at, pair in enumerate(zip([None, *words], words)):
+            seen[i, pair] = seen.get((i, pair), 0) + 1
+            runs.append((i, at, *pair, seen[i, pair]))
+    one = spark.createDataFrame(runs, "id int, at int, p string, w string, n int").withColumn("run", F.xxhash64(F.xxhash64("p", "w"), "n"))
+    ranks = [F.xxhash64("run", F.lit(i)).bitwiseAND(F.lit(0x7FFFFFFF00000000)).bitwiseOR(F.col("at").cast("long")) for i in range(6)]
+    ranked = one.select("id", F.array(*ranks).alias("ranks")).collect()
+    tuples = []
+    for i in range(len(texts)):
+        for p in range(6):
+            two = sorted(sorted(r.ranks[p] for r in ranked if r.id == i)[:2], key=lambda r: r & 0xFFFFFFFF)
+            tuples.append((i, p, two[-1] >> 32 if len(two) == 1 else two[0] >> 32, None if len(two) == 1 else two[1] >> 32))
+    hashed = {(r.id, r.p): r.h for r in spark.createDataFrame(tuples, "id int, p int, a long, b long").select("id", "p", F.hash("a", "b").alias("h")).collect()}
+    for line in (32, 3, 1):
+        monkeypatch.setattr(order_minhash, "LINE", line)
+        for r in order_minhash.fingerprints(table, ["id"], permutations=6).collect():
+            if len(texts[r.id].split(" ")) > 1:
+                assert r.fingerprint == [hashed[r.id, p] for p in range(6)]
