@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Characters of text that a Python task works on at a time; a longer text is a slice of its own.
 SLICE_CHARS = 2_000_000
+# Bytes of an Arrow batch of texts where tasks need the memory for other things; a longer text is a batch of its own.
+BATCH_BYTES = 2_000_000
 
 _own_folders: dict[str, str] = {}
 
@@ -38,6 +41,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def open_folder(folder: str):
+    """The Arrow file system of a shared folder, and the folder's path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: computed once, and safe from lost executors."""
     spark = df.sparkSession
@@ -46,6 +56,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What runs inside gets Arrow batches of BATCH_BYTES: a batch is held in the JVM, twice while it grows, and in Python."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def plain_names(df: DataFrame, *kept: str) -> DataFrame:
     """`df` with columns numbered, save those in `kept`: the Arrow maps of Spark take no names with dots."""
     return df.toDF(*(c if c in kept else f"column{i}" for i, c in enumerate(df.columns)))

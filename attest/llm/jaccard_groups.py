@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attest.llm.common import arrow_slices, ragged, written
+from attest.llm.common import arrow_slices, ragged, small_batches, written
 from attest.llm.graph import components, least_roots
 from attest.llm.shingles import mixed, shingle_sets
 
@@ -153,14 +153,14 @@ def _shared_tokens(documents: DataFrame, words: int, percent: int, shards: int)
                                                np.frombuffer(row["needs"], "<i4"), np.frombuffer(row["sizes"], "<i8")[docs]))
         found = []
         if parts[0]:
-            columns = [np.concatenate(c) for c in zip(*parts[0])]
+            columns = [np.concatenate(c) for c in zip(*parts.pop(0))]
             order = np.lexsort((columns[1], columns[0]))
-            columns = [c[order] for c in columns]
-            tokens, vertices = columns[:2]
+            tokens, vertices = columns[0][order], columns[1][order]
             starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
             ends = np.append(starts[1:], len(tokens))
             several = vertices[starts] != vertices[ends - 1]
-            found.append([c[ragged(starts[several], (ends - starts)[several])] for c in columns])
+            kept = order[ragged(starts[several], (ends - starts)[several])]
+            found.append([c[kept] for c in columns])
         found += parts[1]
         tokens, vertices, needs, sizes = (np.concatenate(c) for c in zip(*found))
         return pa.table({"token": tokens, "vertex": vertices, "band": needs >> 20, "need": needs & 0xFFFFF, "n": sizes})
@@ -310,10 +310,14 @@ def join_similar(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
     never names a component. Rows of one doc_id are documents of their own. An empty table gives no rows.
     Returns a row per row: doc_id, n_shingles, component_id (smallest doc_id reached, itself included).
     """
-    spark = documents.sparkSession
+    with small_batches(documents.sparkSession):
+        return _join_similar(documents, words, percent)
+
+
+def _join_similar(documents: DataFrame, words: int, percent: int) -> DataFrame:
     docs = _source(documents)
     rows = _rows(docs, words)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     holders = _shared_tokens(docs, words, percent, shards)
 
     # Similar documents: each vertex with that least holder of its tokens which it shares most of them with.

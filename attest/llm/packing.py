@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attest.llm.common import arrow_slices, written
-from attest.llm.tokenized import ENCODE_CHARS, text_encoder
+from attest.llm.tokenized import ENCODE_CHARS, TextEncoder, text_encoder
 
 OPEN_WINDOWS = 64
 MERGE_PARTITIONS = 32
@@ -82,13 +82,14 @@ def _rows(pieces: list[tuple], part) -> pa.RecordBatch:
 
 
 def pack(documents: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048, drops_space: bool = False,
-         open_windows: int = OPEN_WINDOWS) -> DataFrame:
+         open_windows: int = OPEN_WINDOWS, keep_words: bool = True) -> DataFrame:
     """Packs the token ids of every text, each followed by `end_id`, into sequences of at most `capacity` ids.
 
     Each task packs its own documents online: pieces of `capacity` ids are sequences of their own, the rest
     goes to the open window it fits best, and when none of the `open_windows` fits, the fullest is emitted.
     What is open at the end of a task (at most `open_windows` windows) meets the leftovers of
     MERGE_PARTITIONS tasks, and is merged there by filling windows to the end. Nothing is dropped.
+    Without `keep_words` a worker's encoded words go with its task, which takes less memory and more time.
 
     Reads `doc_id` and `text` only, so other columns cannot clash. A null or empty text has the end id alone; a
     null doc_id is kept; repeated rows are documents of their own; an empty table gives no rows.
@@ -96,7 +97,7 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int, capacity: int =
     """
 
     def pack_task(batches):
-        encode = text_encoder(tokenizer_path, end_id, drops_space)
+        encode = (text_encoder if keep_words else TextEncoder)(tokenizer_path, end_id, drops_space)
         task = TaskContext.get().partitionId()
         packer = Packer(capacity, open_windows, task << 32)
         for batch in arrow_slices(batches, ENCODE_CHARS):

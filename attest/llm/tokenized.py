@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -57,15 +58,15 @@ class TextEncoder:
         self._letters = _byte_letters()
         self._cut = word_pieces if drops_space else space_pieces
         self._end = end_id
-        self._merged: dict[str, list[int]] = {}
+        self._merged: dict[str, bytes] = {}  # packed: a list of integers takes several times the memory
         self._pool = Pool(self._words)
 
-    def _merge(self, word: str) -> list[int]:
+    def _merge(self, word: str) -> bytes:
         spelled = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self._letters)
-        ids = self._merged[word] = [t.id for t in self._model.tokenize(spelled)]
+        ids = self._merged[word] = array("I", [t.id for t in self._model.tokenize(spelled)]).tobytes()
         return ids
 
-    def _words(self, new: list[str]) -> tuple[list[int], np.ndarray]:
+    def _words(self, new: list[str]) -> tuple[list[int] | np.ndarray, np.ndarray]:
         if self._find is None:
             ids = [e.ids for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             return [i for x in ids for i in x], np.fromiter(map(len, ids), np.int64, len(ids))
@@ -73,13 +74,15 @@ class TextEncoder:
             self._merged.clear()
         if normalizer := self._tokenizer.normalizer:
             new = [normalizer.normalize_str(w) for w in new]  # alone: a normaliser can drop, merge or add white space
-        ids, lengths = [], []
+        parts, lengths = [], []
         for piece in new:
-            before = len(ids)
+            size = 0
             for word in self._find(piece):
-                ids += self._merged.get(word) or self._merge(word)
-            lengths.append(len(ids) - before)
-        return ids, np.array(lengths, np.int64)
+                ids = self._merged.get(word) or self._merge(word)
+                parts.append(ids)
+                size += len(ids)
+            lengths.append(size)
+        return np.frombuffer(b"".join(parts), np.uintc), np.array(lengths, np.int64) // np.dtype(np.uintc).itemsize
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and the number of ids of each."""

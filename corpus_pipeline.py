@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attest.llm import jaccard_groups, packing, repeats, toxicity
-from attest.llm.common import written
-from attest.session import configure
+from attest.llm.common import BATCH_BYTES, written
+from attest.session import configure as configure_library
 
 TOXIC_SCORE = 0.5
 NEAR_WORDS = 5
@@ -24,6 +24,12 @@ END_ID = 1
 ORACLE_SQL = None
 
 
+def configure(spark: SparkSession) -> None:
+    """The library's settings, and small Arrow batches: a stage's texts are read by its caller, beside what earlier stages left in the workers."""
+    configure_library(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _closed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and the other columns numbered in a struct `row`, so that no name can clash with a stage's own."""
     others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
@@ -82,7 +88,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is its end id alone; repeated rows are packed each; an empty table gives no rows.
     """
     configure(spark)
-    return packing.pack(docs, TOKENIZER, END_ID).withColumn("length", F.expr("cast(octet_length(ids) div 4 as long)"))
+    return packing.pack(docs, TOKENIZER, END_ID, keep_words=False).withColumn("length", F.expr("cast(octet_length(ids) div 4 as long)"))
 
 
 STAGES = [

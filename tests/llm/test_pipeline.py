@@ -2,11 +2,13 @@
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from attest.llm import toxicity
+from attest.llm import common, packing, toxicity
 from attest.llm.common import written
 from attest.llm.queries import QUERIES
+from attest.llm.tokenized import TextEncoder
 
 OPERATORS = range(1, 14)
 
@@ -99,3 +101,36 @@ def test_stages_keep_columns_whose_names_clash(spark, tmp_path):
     assert {r.doc_id for r in left} >= {900, 901, None} and any(r.text is None for r in left)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stages_get_small_batches_and_leave_no_words_behind(spark, tmp_path):
+    spark.range(4000).selectExpr("id as doc_id", "repeat(concat('some words ', id, ' '), 150) as text").repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["doc_id"])
+
+    def largest():
+        return max(r.doc_id for r in docs.mapInArrow(sizes, "doc_id long").collect())
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, 64 << 20)
+        assert largest() > 2 * common.BATCH_BYTES
+        with common.small_batches(spark):
+            assert largest() <= 1.1 * common.BATCH_BYTES
+        assert int(spark.conf.get(setting)) == 64 << 20
+        kept = {r.doc_id: r.length for r in corpus_pipeline.pack_sequences(spark, docs.limit(50), str(tmp_path)).collect()}
+        assert largest() <= 1.1 * common.BATCH_BYTES and len(kept) == 50
+        plain = packing.pack(docs.limit(50), corpus_pipeline.TOKENIZER, corpus_pipeline.END_ID)
+        assert kept == {r.doc_id: len(r.ids) // 4 for r in plain.collect()}
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_encoded_words_are_kept_packed():
+    encoder = TextEncoder(corpus_pipeline.TOKENIZER, 1, False)
+    encoder(pa.array(["some words, some more words"]))
+    assert encoder._merged and all(isinstance(ids, bytes) for ids in encoder._merged.values())
