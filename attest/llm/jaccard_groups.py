@@ -31,6 +31,8 @@ ORDERS = 3
 MET = 3
 ROUNDS = 4
 COLUMNS = 2048
+ID_BITS = 16
+MOST_BITS = 1 << 26
 _TOKEN_BYTES = 7
 _ROW = "doc_id long, n long, vertex long"
 
@@ -170,9 +172,36 @@ def _shared_tokens(documents: DataFrame, words: int, percent: int, shards: int)
     return written(holders, "shared-tokens")
 
 
+def _thinned(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is in `ids`, and few others, so that a join with the ids need not shuffle every text.
+
+    Ids are marked by hash in ID_BITS bits for each, which the driver collects: MOST_BITS, or 8 MB, at most. With more
+    ids than these bits can tell apart more documents pass, never fewer.
+    """
+    count = ids.count()
+    size = min(MOST_BITS, 1 << max(10, (ID_BITS * count).bit_length()))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
+
+    words = placed(ids).groupBy(F.expr("place div 64").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")).toArrow()
+    marks = np.zeros(size // 64, np.int64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    marks = documents.sparkSession.sparkContext.broadcast(marks)
+
+    def task(batches):
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            marked = marks.value[place >> 6] >> (place & 63) & 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(marked.astype(bool)))
+
+    return placed(documents).mapInArrow(task, "doc_id long, text string")
+
+
 def _sets(wanted: DataFrame, rows: DataFrame, documents: DataFrame, words: int) -> DataFrame:
     """The shingle sets of the wanted vertices, made again from the text of one document each."""
-    chosen = rows.join(wanted, "vertex").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
+    chosen = written(rows.join(wanted, "vertex").groupBy("vertex").agg(F.min("doc_id").alias("doc_id")), "chosen")
 
     def sets(batches):
         for batch in arrow_slices(batches):
@@ -181,7 +210,7 @@ def _sets(wanted: DataFrame, rows: DataFrame, documents: DataFrame, words: int)
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["vertex", "shingles"])
 
     ids = chosen.select(F.col("doc_id").alias("wanted"))
-    texts = documents.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    texts = _thinned(documents, chosen.select("doc_id")).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     return written(texts.select("doc_id", "text").mapInArrow(sets, "vertex long, shingles binary").dropDuplicates(["vertex"]), "sets")
 
 

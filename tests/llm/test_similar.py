@@ -224,3 +224,17 @@ def test_two_least_of_long_texts_come_from_one_fold(spark, monkeypatch):
         for r in order_minhash.fingerprints(table, ["id"], permutations=6).collect():
             if len(texts[r.id].split(" ")) > 1:
                 assert r.fingerprint == [hashed[r.id, p] for p in range(6)]
+
+
+def test_texts_that_are_not_compared_stay_where_they_are(spark, monkeypatch):
+    texts = [" ".join(f"d{i}x{j}" for j in range(20)) for i in range(400)] + [" ".join(f"s{j}" for j in range(60)) + f" e{i}" for i in range(5)]
+    passed, thinned = [], jaccard_groups._thinned
+
+    def counted(documents, ids):
+        passed.append((table := thinned(documents, ids)).count())
+        return table
+
+    monkeypatch.setattr(jaccard_groups, "_thinned", counted)
+    found = jaccard_groups.join_similar(spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string"), 3, 90).collect()
+    assert {r.doc_id: r.component_id for r in found if r.doc_id is not None} == {i: min(i, 400) for i in range(405)}
+    assert 5 <= sum(passed) <= 100
