@@ -1,15 +1,17 @@
 """Byte-level BPE: every distinct word of the corpus is encoded once, and texts are put together by position.
 
 1. Each task cuts its texts into pre-tokens (matches of the pattern) and keeps a chapter: the distinct words
-   of a bounded amount of text, and for each document the words' numbers in order of position.
+   of a bounded amount of text, and for each document the words' numbers in order of position. The numbers stay
+   in a file of the shared folder, one for each chapter.
 2. The chapters' words are shuffled by word, in packed runs, and each distinct word is merged into ids once.
-3. The ids go back to their chapters, where each document's ids are gathered by position.
+3. The ids of a chapter meet, its file is read, and each document's ids are gathered by position.
 4. Decoding joins ids with the token-byte table, whose size is the vocabulary's and is checked.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
 
 import numpy as np
@@ -20,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from attest.llm.common import Pool, arrow_slices, ragged, space_pieces, written
+from attest.llm.common import Pool, arrow_slices, new_path, open_folder, ragged, small_batches, space_pieces, written
 from attest.llm.tokenized import ENCODE_CHARS
 
 CHAPTER_WORDS = 300_000
 CHAPTER_CHARS = 32_000_000
 KEPT_WORDS = 100_000
 TABLE_BYTES = 64 << 20
-_CHAPTER = "chapter long, docs binary, known binary, counts binary, numbers binary, shard int, words binary, places binary, size long"
+_CHAPTER = "chapter long, folder string, path string, shard int, words binary, places binary, size long"
+_DOCS = pa.schema([(c, pa.binary()) for c in ("docs", "known", "counts", "numbers")])
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -45,11 +48,14 @@ def byte_merger(ranks: dict[bytes, int]):
 
 
 class _Chapter:
-    """Distinct words numbered as they come, with the numbers of the pieces between spaces kept."""
+    """Distinct words numbered as they come, with the numbers of the pieces between spaces kept; documents go to a file."""
 
-    def __init__(self, pattern):
+    def __init__(self, pattern, system, path: str):
         self.words: dict[str, int] = {}
         self.chars = 0
+        self.path = path
+        self._file = system.open_output_stream(path)
+        self._docs = pa.ipc.new_stream(self._file, _DOCS)
         number = self.words
 
         def numbers(pieces: list[str]) -> tuple[list[int], np.ndarray]:
@@ -59,6 +65,18 @@ class _Chapter:
 
         self.pool = Pool(numbers, limit=2 * CHAPTER_WORDS)
 
+    def add(self, docs: list, texts: pa.Array) -> None:
+        known = len(self.words)
+        numbers, counts = self.pool.run(*space_pieces(texts))
+        self.chars += pc.sum(pc.utf8_length(texts)).as_py()
+        cells = (np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is not None for d in docs], np.uint8).tobytes(),
+                 counts.astype("<i8").tobytes(), _planes(_marked(numbers, known)))
+        self._docs.write_batch(pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], schema=_DOCS))
+
+    def close(self) -> None:
+        self._docs.close()
+        self._file.close()
+
 
 def _packed(values: list[bytes]) -> bytes:
     return zlib.compress(np.array([len(d) for d in values], "<u4").tobytes() + b"".join(values), 1)
@@ -97,22 +115,27 @@ def _unmarked(marked: np.ndarray) -> np.ndarray:
 
 
 def _chapters(documents: DataFrame, pattern: str, shards: int) -> DataFrame:
-    """Rows of documents with word numbers, and rows of words with the steps between their numbers, one for each shard."""
+    """A row for each chapter with its file of documents, and rows of words with the steps between their numbers, one for each shard.
+
+    A retried task writes files of other names, and only those that the surviving task names are read.
+    """
+    folder = new_path(documents.sparkSession, "chapter-files")
 
     def task(batches):
         import regex
 
         compiled = regex.compile(pattern)
-        number, chapter = 0, _Chapter(compiled)
+        number, chapter = 0, None
         base = TaskContext.get().partitionId() << 32
 
-        def row(*docs, words=(None,) * 4):
-            docs = docs or (None,) * 4
-            kinds = (pa.int64(), *[pa.binary()] * 4, pa.int32(), *[pa.binary()] * 2, pa.int64())
-            arrays = [pa.array([c], k) for c, k in zip((base + number, *docs, *words), kinds)]
-            return pa.RecordBatch.from_arrays(arrays, names=["chapter", "docs", "known", "counts", "numbers", "shard", "words", "places", "size"])
+        def row(path=None, words=(None,) * 4):
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 2, pa.int64())
+            arrays = [pa.array([c], k) for c, k in zip((base + number, path and folder, path, *words), kinds)]
+            return pa.RecordBatch.from_arrays(arrays, names=["chapter", "folder", "path", "shard", "words", "places", "size"])
 
-        def known_words():
+        def ended():
+            chapter.close()
+            yield row(path=chapter.path)
             words = list(chapter.words)
             dealt = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % shards for w in words), np.int32, len(words))
             order = np.argsort(dealt, kind="stable")
@@ -121,18 +144,19 @@ def _chapters(documents: DataFrame, pattern: str, shards: int) -> DataFrame:
                 yield row(words=(int(dealt[places[0]]), data, _planes(np.diff(places, prepend=0)), len(places)))
 
         for batch in arrow_slices(batches, ENCODE_CHARS):
-            known = len(chapter.words)
-            numbers, counts = chapter.pool.run(*space_pieces(batch.column("text")))
-            chapter.chars += pc.sum(pc.utf8_length(batch.column("text"))).as_py()
-            docs = batch.column("doc_id").to_pylist()
-            yield row(np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is not None for d in docs], np.uint8).tobytes(),
-                      counts.astype("<i8").tobytes(), _planes(_marked(numbers, known)))
+            if chapter is None:
+                system, place = open_folder(folder)
+                system.create_dir(place, recursive=True)
+                chapter = _Chapter(compiled, system, f"{place}/{base + number:x}-{uuid.uuid4().hex}")
+            chapter.add(batch.column("doc_id").to_pylist(), batch.column("text"))
             if len(chapter.words) > CHAPTER_WORDS or chapter.chars > CHAPTER_CHARS:
-                yield from known_words()
-                number, chapter = number + 1, _Chapter(compiled)
-        yield from known_words()
+                yield from ended()
+                number, chapter = number + 1, None
+        if chapter is not None:
+            yield from ended()
 
-    return written(documents.mapInArrow(task, _CHAPTER), "chapters")
+    with small_batches(documents.sparkSession):
+        return written(documents.mapInArrow(task, _CHAPTER), "chapters")
 
 
 def _encoded_words(chapters: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -161,11 +185,18 @@ def _encoded_words(chapters: DataFrame, tokenizer_path: str) -> DataFrame:
     return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "chapter long, places binary, lengths binary, ids binary")
 
 
+def _read(folder: str, path: str) -> list[dict]:
+    system, _ = open_folder(folder)
+    with system.open_input_stream(path) as source:
+        return pa.ipc.open_stream(source).read_all().to_pylist()
+
+
 def encode(documents: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame:
     """Ids of every whole text by the ranks of `tokenizer_path`, each match of `pattern` alone: doc_id, ids.
 
     ids are little-endian unsigned 32-bit integers. The words of a chapter are at most CHAPTER_WORDS and those
-    of one more slice of texts, so what meets in one task is bounded; a frequent word is sent once per chapter.
+    of one more slice of texts, so what meets in one task is bounded; a frequent word is sent once per chapter,
+    the numbers of a text's words are stored once and never shuffled.
 
     Reads `doc_id` and `text` only, so other columns cannot clash. A null or empty text has no ids; a null
     doc_id is kept; repeated rows are encoded each; an empty table gives no rows.
@@ -187,7 +218,7 @@ def encode(documents: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame
         starts = (np.cumsum(lengths) - lengths)[order]
         lengths = lengths[order]
         names, encoded = [], []
-        for row in left.select(["docs", "known", "counts", "numbers"]).to_pylist():
+        for row in (r for place in left.select(["folder", "path"]).to_pylist() for r in _read(**place)):
             docs = np.frombuffer(row["docs"], "<i8").tolist()
             known = np.frombuffer(row["known"], np.uint8).tolist()
             counts = np.frombuffer(row["counts"], "<i8")
@@ -200,8 +231,8 @@ def encode(documents: DataFrame, tokenizer_path: str, pattern: str) -> DataFrame
                 encoded.append(all_ids[bounds[i] : bounds[i + 1]].tobytes())
         return pa.table({"doc_id": pa.array(names, pa.int64()), "ids": pa.array(encoded, pa.binary())})
 
-    texts = chapters.filter("docs is not null").select("chapter", "docs", "known", "counts", "numbers")
-    return texts.groupBy("chapter").cogroup(words.groupBy("chapter")).applyInArrow(assemble, "doc_id long, ids binary")
+    files = chapters.filter("path is not null").select("chapter", "folder", "path")
+    return files.groupBy("chapter").cogroup(words.groupBy("chapter")).applyInArrow(assemble, "doc_id long, ids binary")
 
 
 def token_table(spark, tokenizer_path: str):

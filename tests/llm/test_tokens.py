@@ -58,6 +58,24 @@ def test_words_travel_packed(spark, monkeypatch):
     assert sent[0].count() <= 100
 
 
+def test_numbers_of_words_are_not_shuffled(spark, monkeypatch):
+    held, chapters = [], byte_bpe._chapters
+
+    def counted(documents, pattern, shards):
+        held.append(chapters(documents, pattern, shards))
+        return held[0]
+
+    monkeypatch.setattr(byte_bpe, "_chapters", counted)
+    monkeypatch.setattr(byte_bpe, "CHAPTER_CHARS", 50_000)
+    texts = [(i if i % 7 else None, "the same few words " * 2000 + str(i)) for i in range(20)] + [(30, ""), (31, None)]
+    encoding = tiktoken_encoding()
+    found = byte_bpe.encode(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), RANKS, P.PATTERN).collect()
+    key = lambda x: (x[0] or 0, x[1])
+    assert sorted(((r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in found), key=key) == sorted(((i, encoding.encode_ordinary(t or "")) for i, t in texts), key=key)
+    rows = held[0].toArrow()
+    assert rows.nbytes < 100_000 and rows.num_rows - rows.column("path").null_count >= 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 6), max_size=12), max_size=5))
 def test_first_occurrences_are_marked(rows):
