@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from attest.operators import keys, overlap, profile
 
@@ -54,6 +55,43 @@ def test_whole_tables_are_counted_by_hashes_set_by_set(spark, monkeypatch):
     assert [s for s in seen if isinstance(s[0], str)][0] == ("a",) and [s[0] for s in seen if isinstance(s[0], int)][:2] == [30, 10]
 
 
+def test_sets_that_share_a_base_take_one_count_of_the_whole_table(spark, monkeypatch):
+    rows = [(i // 50, f"q{i % 50}", 0.0, i % 3, 1) for i in range(3000)] + [(0, f"q{i}", 1.0 if i else -0.0, i % 3, i % 2 + 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "p int, `q.r` string, x double, y int, z int")
+    seen = []
+    whole = keys._repeats
+    monkeypatch.setattr(keys, "_repeats", lambda df, s: seen.append(s) or whole(df, s))
+    # row 0 comes a second time with -0.0, which equals 0.0
+    assert keys.minimal_keys(df, "t").count() == 0
+    assert [s for s in seen if len(s) == 2] == [("p", "q.r")] and not [s for s in seen if len(s) == 3]
+    assert [r["key_columns"] for r in keys.minimal_keys(df.filter("not (p = 0 and `q.r` = 'q0' and y = 0 and z = 1)"), "t").collect()] == ["p,q.r,x"]
+    assert not [s for s in seen if len(s) == 3]
+    # a base whose hashes collide only keeps more rows
+    hashed = keys._code
+    monkeypatch.setattr(keys, "_code", lambda df, s: F.pmod(hashed(df, s), F.lit(1000)))
+    assert keys._repeating_by_base(df, [("p", "q.r", "x"), ("p", "q.r", "y")], {("p", "q.r"): 0.0})[1] == {("p", "q.r", "x"), ("p", "q.r", "y")}
+    assert keys._repeating_by_base(df.filter("z = 1"), [("p", "q.r", "y"), ("p", "q.r", "z")], {("p", "q.r"): 0.0}) == (2 * ({("p", "q.r", "y"), ("p", "q.r", "z")},))
+
+
+def test_sets_that_repeat_in_a_slice_are_not_sketched(spark, monkeypatch):
+    df = spark.range(6000).selectExpr("id as a", "id div 4 as b", "id % 1500 as c", "id % 1499 as d", "cast(id % 1000 as string) as e")
+    seen = []
+    sketched = keys._estimates
+    monkeypatch.setattr(keys, "SLICES", (4096, 15, 8))
+    monkeypatch.setattr(keys, "_estimates", lambda df, sets: seen.append(list(sets)) or sketched(df, sets))
+    assert {r["key_columns"] for r in keys.minimal_keys(df.drop("a"), "t").collect()} == {"b,c", "b,d", "b,e", "c,d", "d,e"}
+    assert [len(s) for sets in seen for s in sets] == [1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_all_sets_by_slices_and_bases(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(300), rng.choice("xyz"), rng.randrange(700), i // 2, rng.choice((0.0, -0.0, 0.5, 1.5))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "a int, `b.c` string, d int, e int, f double")
+    monkeypatch.setattr(keys, "SLICES", (40, 20, 4))
+    assert {(r["key_columns"], r["column_count"]) for r in keys.minimal_keys(df, "t").collect()} == by_hand(rows, 3)
+
+
 def test_intervals(spark):
     left = spark.range(60_000).selectExpr("id as k", "id % 7 as m")
     right = spark.range(30_000, 100_000).selectExpr("id as k", "cast(null as bigint) as m")
