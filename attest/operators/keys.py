@@ -22,7 +22,7 @@ LEAST_SLICE = 100
 RARE = 1 / 16
 # Hashes of a base that may be sent to every executor, 8 bytes each.
 ALIKE_BROADCAST = 1_000_000
-HASHES_A_TASK = 200_000
+HASHES_A_TASK = 500_000
 MOST_COLUMNS = 3
 
 
@@ -89,10 +89,8 @@ def _twice(df: DataFrame, code: Column, name: str) -> DataFrame:
 
     Most occur once, so folding them before the shuffle takes time and spills. They are dealt out first, with a bounded number of rows to a task.
     """
-    codes, parts = df.select(code.alias(name)), df.count() // HASHES_A_TASK
-    few = parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = codes.repartition(name) if few else codes.repartition(parts, name)
-    return dealt.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").select(name)
+    parts = max(1, df.count() // HASHES_A_TASK)
+    return df.select(code.alias(name)).repartition(parts, name).groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").select(name)
 
 
 def _repeats(df: DataFrame, columns: tuple[str, ...], bits: int = 64) -> bool:
