@@ -244,11 +244,16 @@ def score(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     def task(batches):
         fold, automaton = _Fold(), lexicon.automaton()
         a, b, c = lexicon.curve
-        for batch, texts in text_batches(batches):
-            out = []
-            for text in texts:
-                total, density = measures(text, fold, automaton)
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a * total + b * density + c)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, SCORE])
+        for whole in batches:
+            start = 0
+            for batch, texts in text_batches([whole]):
+                out = []
+                for text in texts:
+                    total, density = measures(text, fold, automaton)
+                    out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a * total + b * density + c)))))
+                # the columns as they came: null texts are empty in the slices only
+                columns = whole.slice(start, batch.num_rows).columns
+                start += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.float64())], names=[*whole.schema.names, SCORE])
 
     return documents.mapInArrow(task, StructType([*documents.schema.fields, StructField(SCORE, DoubleType())]))
